@@ -24,54 +24,120 @@ from tidemark.llm.common import scratch, slices, table
 
 STORED = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Letters that normalise to themselves and have one lower-case letter each, and visible ASCII.
+_PLAIN = r"[\x21-\x7e\u00c0-\u012f\u0131-\u024f]+"
+#: The pieces that tokenizers of this kind cut words into.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _tokenizer(path: str):
-    import os
+class WordEncoder:
+    """Ids of whole texts, for tokenizers that drop white space, never merge across it and mark the end of each piece.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def word_encoder(path: str):
-    """bytes -> list of ids of the whole text, for tokenizers that drop white space and never merge across it.
-
-    Every distinct word is encoded once by the library and remembered, as no id depends on what stands
-    beyond the next white space.
+    Every distinct word is encoded once by the library and remembered, as no id depends on what stands beyond
+    the next white space. Plain words are cut into their pieces and encoded many in one text, the marked ends telling
+    them apart; other words are encoded one by one.
     """
-    tokenizer, known = _tokenizer(path), {}
-
-    def encode(texts: list[bytes | None]) -> list[list[int]]:
-        words = [(x or b"").split() for x in texts]
-        new = list(set(chain.from_iterable(words)).difference(known))
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set(chain.from_iterable(words)))
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            known.update(zip(some, (tuple(x.ids) for x in found), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, w))) for w in words]
 
-    return encode
+    def __init__(self, path: str, end_id: int):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.plain, self.pieces = regex.compile(_PLAIN).fullmatch, regex.compile(_PIECES).findall
+        self.forget()
+
+    def forget(self) -> None:
+        #: Each word's number; by number, where its ids start and how many they are. Number 0: the end of a document.
+        self.number: dict[bytes, int] = {b"": 0}
+        self.ids, self.start, self.length = np.array([self.end_id], dtype=np.int32), np.array([0]), np.array([1])
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _flat(self, plain: list[str], other: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces, then of other words, and how many each has."""
+        together = self._encoded([" ".join(plain[i : i + 200]) for i in range(0, len(plain), 200)])
+        ids = np.array(list(chain.from_iterable(together)), dtype=np.int32)
+        cuts = np.flatnonzero(self.ends[ids])
+        if len(cuts) != len(plain):
+            other, plain, ids, cuts = plain + other, [], ids[:0], cuts[:0]
+        apart = self._encoded(other)
+        sizes = np.concatenate((np.diff(cuts, prepend=-1), np.array([len(x) for x in apart], dtype=np.int64)))
+        return np.concatenate((ids, np.array(list(chain.from_iterable(apart)), dtype=np.int32))), sizes
+
+    def learn(self, new: list[bytes]) -> None:
+        number: dict[str, int] = {}
+        words, cut, other = [], [], []
+        for w, t in zip(new, b"\n".join(new).decode("utf-8", "replace").split("\n"), strict=True):
+            if "<|" in t or not (t.isascii() and t.isprintable() or self.plain(t)):
+                other.append((w, t))
+                continue
+            t = t.lower()
+            words.append(w)
+            if t.isalpha():
+                cut.append((number.setdefault(t, len(number)),))
+            elif t[:-1].isalpha() and t[-1] in ".,":
+                cut.append((number.setdefault(t[:-1], len(number)), number.setdefault(t[-1], len(number))))
+            else:
+                cut.append(tuple(number.setdefault(p, len(number)) for p in self.pieces(t)))
+        ids, sizes = self._flat(list(number), [t for _, t in other])
+        cut += [(len(number) + k,) for k in range(len(other))]
+        starts = np.cumsum(sizes) - sizes
+        pieces = np.fromiter(chain.from_iterable(cut), dtype=np.int64)
+        ends = np.cumsum(sizes[pieces])
+        at = np.repeat(starts[pieces] - (ends - sizes[pieces]), sizes[pieces]) + np.arange(ends[-1] if len(ends) else 0)
+        last = np.concatenate(([0], ends))[np.cumsum([len(c) for c in cut])]
+        self.number.update(zip([*words, *(w for w, _ in other)], range(len(self.length), len(self.length) + len(new)), strict=True))
+        length = np.diff(last, prepend=0)
+        self.start = np.concatenate((self.start, len(self.ids) + last - length))
+        self.length = np.concatenate((self.length, length))
+        self.ids = np.concatenate((self.ids, ids[at]))
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each ended by the end id, and how many each text has."""
+        words = [[*(x or b"").split(), b""] for x in texts]
+        new = list(set(chain.from_iterable(words)).difference(self.number))
+        if len(self.number) + len(new) > REMEMBERED:
+            self.forget()
+            new = list(set(chain.from_iterable(words)).difference(self.number))
+        if new:
+            self.learn(new)
+        n = np.array([len(w) for w in words])
+        seq = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(n.sum()))
+        lengths = self.length[seq]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.start[seq] - (ends - lengths), lengths) + np.arange(ends[-1])
+        return self.ids[at], np.diff(np.concatenate(([0], ends[np.cumsum(n) - 1])))
+
+
+def word_encoder(path: str, end_id: int) -> WordEncoder:
+    """The worker's own encoder, kept from task to task."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    if (path, end_id) not in kept:
+        kept[path, end_id] = WordEncoder(path, end_id)
+    return kept[path, end_id]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", stripe_mb: int = 64) -> None:
     """Encodes whole texts and writes them to ``path`` in ascending order of the id, one sorted ORC file per range."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, start = word_encoder(tokenizer), 0
-        for part, texts in slices(batches, "text"):
-            ids = [np.array([*x, end_id], dtype=np.int32) for x in run(texts)]
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            starts = start + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-            start += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(starts), pa.array(sizes), lists], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
+        encoder, start = word_encoder(tokenizer, end_id), 0
+        for part, texts in slices(batches, "text", 4 << 20):
+            ids, sizes = encoder.encode(texts)
+            ends = np.cumsum(sizes)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(start + ends - sizes), pa.array(sizes), lists], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
+            start += int(ends[-1])
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranges = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(*order)
