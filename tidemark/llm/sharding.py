@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import maybe_broadcast, scratch, table
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 42, bucket_mb: int = 16, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes all columns of ``docs``, shuffled, with ``slot`` (gapless from 0 in each shard), to ``path``/shard=k."""
+def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 42, bucket_mb: int = 16, least: int = 64, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Writes all columns of ``docs``, shuffled, with ``slot`` (gapless from 0 in each shard), to ``path``/shard=k.
+
+    There are ``least`` buckets at least, so that small inputs are dealt out too.
+    """
     bare = docs.drop("shard", "slot")
     total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
-    n, buckets = total["n"], max(1, -(-(total["bytes"] + 64 * total["n"]) // (bucket_mb << 20)))
+    n, buckets = total["n"], max(least, -(-(total["bytes"] + 64 * total["n"]) // (bucket_mb << 20)))
     dealt = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
     bucket = F.pmod(dealt, F.lit(buckets)).cast("int")
     counts = docs.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("rows"))
