@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import maybe_broadcast, scratch, table
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 42, bucket_mb: int = 16, least: int = 64, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 42, bucket_mb: int = 16, least: int = 16, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes all columns of ``docs``, shuffled, with ``slot`` (gapless from 0 in each shard), to ``path``/shard=k.
 
     There are ``least`` buckets at least, so that small inputs are dealt out too.

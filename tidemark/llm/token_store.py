@@ -11,9 +11,11 @@ Empty input: an empty store that reads back as no rows. Columns besides id and t
 
 from __future__ import annotations
 
+import json
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from tidemark.llm.common import scratch, slices, table
 
 STORED = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Letters that normalise to themselves and have one lower-case letter each, and visible ASCII.
 _PLAIN = r"[\x21-\x7e\u00c0-\u012f\u0131-\u024f]+"
 #: The pieces that tokenizers of this kind cut words into.
@@ -47,40 +49,58 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        # plain pieces are in lower case and apart already
+        bare = json.loads(self.tokenizer.to_str())
+        bare["normalizer"] = None
+        bare["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.plain, self.pieces = regex.compile(_PLAIN).fullmatch, regex.compile(_PIECES).findall
-        self.forget()
-
-    def forget(self) -> None:
-        #: Each word's number; by number, where its ids start and how many they are. Number 0: the end of a document.
-        self.number: dict[bytes, int] = {b"": 0}
-        self.ids, self.start, self.length = np.array([self.end_id], dtype=np.int32), np.array([0]), np.array([1])
-
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        #: Each word's number; by number, where its ids start, how many they are, and uses. Number 0: the end of a document.
+        self._hold([b""], np.array([end_id], dtype=np.int32), np.array([0]), np.array([1]), np.array([0]))
+
+    def _hold(self, words: list[bytes], ids: np.ndarray, start: np.ndarray, length: np.ndarray, uses: np.ndarray) -> None:
+        self.number: dict[bytes, int] = defaultdict(None, zip(words, range(len(words)), strict=True))
+        self.number.default_factory = self.number.__len__
+        self.ids, self.start, self.length, self.uses = ids, start, length, uses
+
+    def _gather(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered words one after another, and where each word ends."""
+        length = self.length[of]
+        ends = np.cumsum(length)
+        return self.ids[np.repeat(self.start[of] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _forget(self) -> None:
+        """Half of the words stay, those used most."""
+        kept = np.sort(np.argsort(-self.uses[1:], kind="stable")[: REMEMBERED // 2] + 1)
+        kept = np.concatenate(([0], kept))
+        words = list(self.number)
+        ids, ends = self._gather(kept)
+        length = self.length[kept]
+        self._hold([words[i] for i in kept], ids, ends - length, length, self.uses[kept] // 2)
 
     def _flat(self, plain: list[str], other: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain pieces, then of other words, and how many each has."""
-        together = self._encoded([" ".join(plain[i : i + 200]) for i in range(0, len(plain), 200)])
-        ids = np.array(list(chain.from_iterable(together)), dtype=np.int32)
+        together = self.bare.encode_batch_fast([" ".join(plain[i : i + 2000]) for i in range(0, len(plain), 2000)], add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable(x.ids for x in together)), dtype=np.int32)
         cuts = np.flatnonzero(self.ends[ids])
         if len(cuts) != len(plain):
             other, plain, ids, cuts = plain + other, [], ids[:0], cuts[:0]
-        apart = self._encoded(other)
+        apart = [x.ids for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
         sizes = np.concatenate((np.diff(cuts, prepend=-1), np.array([len(x) for x in apart], dtype=np.int64)))
         return np.concatenate((ids, np.array(list(chain.from_iterable(apart)), dtype=np.int32))), sizes
 
     def learn(self, new: list[bytes]) -> None:
         number: dict[str, int] = {}
         words, cut, other = [], [], []
-        for w, t in zip(new, b"\n".join(new).decode("utf-8", "replace").split("\n"), strict=True):
+        for k, t in enumerate(b"\n".join(new).decode("utf-8", "replace").split("\n")):
             if "<|" in t or not (t.isascii() and t.isprintable() or self.plain(t)):
-                other.append((w, t))
+                other.append((k, t))
                 continue
             t = t.lower()
-            words.append(w)
+            words.append(k)
             if t.isalpha():
                 cut.append((number.setdefault(t, len(number)),))
             elif t[:-1].isalpha() and t[-1] in ".,":
@@ -94,27 +114,27 @@ class WordEncoder:
         ends = np.cumsum(sizes[pieces])
         at = np.repeat(starts[pieces] - (ends - sizes[pieces]), sizes[pieces]) + np.arange(ends[-1] if len(ends) else 0)
         last = np.concatenate(([0], ends))[np.cumsum([len(c) for c in cut])]
-        self.number.update(zip([*words, *(w for w, _ in other)], range(len(self.length), len(self.length) + len(new)), strict=True))
-        length = np.diff(last, prepend=0)
-        self.start = np.concatenate((self.start, len(self.ids) + last - length))
-        self.length = np.concatenate((self.length, length))
+        # back to the order of the new words' numbers
+        place = np.fromiter(chain(words, (k for k, _ in other)), dtype=np.int64, count=len(new))
+        length, start = np.empty(len(new), dtype=np.int64), np.empty(len(new), dtype=np.int64)
+        length[place] = np.diff(last, prepend=0)
+        start[place] = len(self.ids) + last - length[place]
+        self.start, self.length = np.concatenate((self.start, start)), np.concatenate((self.length, length))
+        self.uses = np.concatenate((self.uses, np.zeros(len(new), dtype=np.int64)))
         self.ids = np.concatenate((self.ids, ids[at]))
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each ended by the end id, and how many each text has."""
+        if len(self.number) > REMEMBERED:
+            self._forget()
         words = [[*(x or b"").split(), b""] for x in texts]
-        new = list(set(chain.from_iterable(words)).difference(self.number))
-        if len(self.number) + len(new) > REMEMBERED:
-            self.forget()
-            new = list(set(chain.from_iterable(words)).difference(self.number))
-        if new:
-            self.learn(new)
         n = np.array([len(w) for w in words])
         seq = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(n.sum()))
-        lengths = self.length[seq]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.start[seq] - (ends - lengths), lengths) + np.arange(ends[-1])
-        return self.ids[at], np.diff(np.concatenate(([0], ends[np.cumsum(n) - 1])))
+        if len(self.number) > len(self.length):
+            self.learn(list(islice(self.number, len(self.length), None)))
+        self.uses += np.bincount(seq, minlength=len(self.uses))
+        ids, ends = self._gather(seq)
+        return ids, np.diff(ends[np.cumsum(n) - 1], prepend=0)
 
 
 def word_encoder(path: str, end_id: int) -> WordEncoder:
