@@ -12,6 +12,7 @@ Empty input: an empty store that reads back as no rows. Columns besides id and t
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,11 +27,11 @@ from tidemark.llm.common import scratch, slices, table
 
 STORED = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Letters that normalise to themselves and have one lower-case letter each, and visible ASCII.
 _PLAIN = r"[\x21-\x7e\u00c0-\u012f\u0131-\u024f]+"
-#: The pieces that tokenizers of this kind cut words into.
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The pieces that tokenizers of this kind cut lower-case plain words into, and the line feeds between words.
+_PIECES = r"[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|\n"
 
 
 class WordEncoder:
@@ -45,7 +46,6 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
@@ -57,7 +57,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.plain, self.pieces = regex.compile(_PLAIN).fullmatch, regex.compile(_PIECES).findall
+        self.plain, self.pieces = re.compile(_PLAIN).fullmatch, re.compile(_PIECES).findall
         #: Each word's number; by number, where its ids start, how many they are, and uses. Number 0: the end of a document.
         self._hold([b""], np.array([end_id], dtype=np.int32), np.array([0]), np.array([1]), np.array([0]))
 
@@ -93,27 +93,26 @@ class WordEncoder:
         return np.concatenate((ids, np.array(list(chain.from_iterable(apart)), dtype=np.int32))), sizes
 
     def learn(self, new: list[bytes]) -> None:
-        number: dict[str, int] = {}
-        words, cut, other = [], [], []
-        for k, t in enumerate(b"\n".join(new).decode("utf-8", "replace").split("\n")):
-            if "<|" in t or not (t.isascii() and t.isprintable() or self.plain(t)):
-                other.append((k, t))
-                continue
-            t = t.lower()
-            words.append(k)
-            if t.isalpha():
-                cut.append((number.setdefault(t, len(number)),))
-            elif t[:-1].isalpha() and t[-1] in ".,":
-                cut.append((number.setdefault(t[:-1], len(number)), number.setdefault(t[-1], len(number))))
-            else:
-                cut.append(tuple(number.setdefault(p, len(number)) for p in self.pieces(t)))
-        ids, sizes = self._flat(list(number), [t for _, t in other])
-        cut += [(len(number) + k,) for k in range(len(other))]
+        text = b"\n".join(new).decode("utf-8", "replace")
+        texts = text.split("\n")
+        words, other = range(len(new)), []
+        if "<|" in text or not self.plain(text.replace("\n", "!")):
+            is_plain = ["<|" not in t and self.plain(t) is not None for t in texts]
+            words = [k for k, x in enumerate(is_plain) if x]
+            other = [(k, texts[k]) for k, x in enumerate(is_plain) if not x]
+            text = "\n".join(texts[k] for k in words)
+        number: dict[str, int] = defaultdict(None, {"\n": 0})
+        number.default_factory = number.__len__
+        flat = self.pieces(text.lower() + "\n") if len(words) else []
+        flat = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        per_word = np.diff(np.flatnonzero(flat == 0), prepend=-1) - 1
+        pieces = np.concatenate((flat[flat > 0] - 1, len(number) - 1 + np.arange(len(other))))
+        per_word = np.concatenate((per_word, np.ones(len(other), dtype=np.int64)))
+        ids, sizes = self._flat(list(islice(number, 1, None)), [t for _, t in other])
         starts = np.cumsum(sizes) - sizes
-        pieces = np.fromiter(chain.from_iterable(cut), dtype=np.int64)
         ends = np.cumsum(sizes[pieces])
         at = np.repeat(starts[pieces] - (ends - sizes[pieces]), sizes[pieces]) + np.arange(ends[-1] if len(ends) else 0)
-        last = np.concatenate(([0], ends))[np.cumsum([len(c) for c in cut])]
+        last = np.concatenate(([0], ends))[np.cumsum(per_word)]
         # back to the order of the new words' numbers
         place = np.fromiter(chain(words, (k for k, _ in other)), dtype=np.int64, count=len(new))
         length, start = np.empty(len(new), dtype=np.int64), np.empty(len(new), dtype=np.int64)
