@@ -27,7 +27,7 @@ from tidemark.llm.common import scratch, slices, table
 
 STORED = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Letters that normalise to themselves and have one lower-case letter each, and visible ASCII.
 _PLAIN = r"[\x21-\x7e\u00c0-\u012f\u0131-\u024f]+"
 #: The pieces that tokenizers of this kind cut lower-case plain words into, and the line feeds between words.
@@ -81,16 +81,24 @@ class WordEncoder:
         length = self.length[kept]
         self._hold([words[i] for i in kept], ids, ends - length, length, self.uses[kept] // 2)
 
-    def _flat(self, plain: list[str], other: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain pieces, then of other words, and how many each has."""
-        together = self.bare.encode_batch_fast([" ".join(plain[i : i + 2000]) for i in range(0, len(plain), 2000)], add_special_tokens=False)
+    def _flat(self, plain: list[str], other: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, where in it those of each plain piece and then of each other word start, and how many they are."""
+        known = len(self.length)
+        at = np.fromiter((self.number.get(p, known) for p in map(str.encode, plain)), dtype=np.int64, count=len(plain))
+        new = [p for p, k in zip(plain, at.tolist(), strict=True) if k >= known]
+        together = self.bare.encode_batch_fast([" ".join(new[i : i + 2000]) for i in range(0, len(new), 2000)], add_special_tokens=False)
         ids = np.array(list(chain.from_iterable(x.ids for x in together)), dtype=np.int32)
         cuts = np.flatnonzero(self.ends[ids])
-        if len(cuts) != len(plain):
-            other, plain, ids, cuts = plain + other, [], ids[:0], cuts[:0]
+        if len(cuts) != len(new):
+            raise ValueError("the tokenizer doesn't mark the end of each piece once")
         apart = [x.ids for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        sizes = np.concatenate((np.diff(cuts, prepend=-1), np.array([len(x) for x in apart], dtype=np.int64)))
-        return np.concatenate((ids, np.array(list(chain.from_iterable(apart)), dtype=np.int32))), sizes
+        sizes, old = np.empty(len(plain) + len(other), dtype=np.int64), np.zeros(len(plain) + len(other), dtype=bool)
+        starts = np.empty_like(sizes)
+        old[: len(plain)] = at < known
+        sizes[old], starts[old] = self.length[at[at < known]], self.start[at[at < known]]
+        sizes[~old] = np.concatenate((np.diff(cuts, prepend=-1), np.array([len(x) for x in apart], dtype=np.int64)))
+        starts[~old] = len(self.ids) + np.cumsum(sizes[~old]) - sizes[~old]
+        return np.concatenate((self.ids, ids, np.array(list(chain.from_iterable(apart)), dtype=np.int32))), starts, sizes
 
     def learn(self, new: list[bytes]) -> None:
         text = b"\n".join(new).decode("utf-8", "replace")
@@ -108,8 +116,7 @@ class WordEncoder:
         per_word = np.diff(np.flatnonzero(flat == 0), prepend=-1) - 1
         pieces = np.concatenate((flat[flat > 0] - 1, len(number) - 1 + np.arange(len(other))))
         per_word = np.concatenate((per_word, np.ones(len(other), dtype=np.int64)))
-        ids, sizes = self._flat(list(islice(number, 1, None)), [t for _, t in other])
-        starts = np.cumsum(sizes) - sizes
+        ids, starts, sizes = self._flat(list(islice(number, 1, None)), [t for _, t in other])
         ends = np.cumsum(sizes[pieces])
         at = np.repeat(starts[pieces] - (ends - sizes[pieces]), sizes[pieces]) + np.arange(ends[-1] if len(ends) else 0)
         last = np.concatenate(([0], ends))[np.cumsum(per_word)]
@@ -183,7 +190,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, values = b.column(3), b.column(3).values.to_numpy(zero_copy_only=False).astype("<u4")
+            ids, values = b.column(3), b.column(3).values.to_numpy(zero_copy_only=False)
             ends = ids.offsets.to_numpy()
             sums = [zlib.crc32(values[a:z].tobytes()) for a, z in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
