@@ -17,9 +17,10 @@ import base64
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, table
 
-STRETCH = 16 << 20
+STRETCH = 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,106 +36,167 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """Ids of each piece: all merges over all pieces, in rank order."""
-    data = b"".join(pieces)
-    starts = [0]
-    for p in pieces:
-        starts.append(starts[-1] + len(p))
-    spelled = {v: k for k, v in ranks.items()}
-    one = [ranks[bytes([b])] for b in range(256)]
-    token = [one[b] for b in data]
-    after = list(range(1, len(data) + 1))
-    before = list(range(-1, len(data) - 1))
-    for a, z in zip(starts[:-1], starts[1:], strict=True):
-        if z > a:
-            before[a], after[z - 1] = -1, -1
-    rank_of: dict[tuple[int, int], int | None] = {}
-
-    def rank(a: int, b: int) -> int | None:
-        key = (a, b)
-        if key not in rank_of:
-            rank_of[key] = ranks.get(spelled[a] + spelled[b])
-        return rank_of[key]
-
-    places: dict[int, list[int]] = defaultdict(list)
-    for i, j in enumerate(after):
-        if j > 0 and (r := rank(token[i], token[j])) is not None:
-            places[r].append(i)
-    queue = list(places)
-    heapify(queue)
+def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of a pool one after another, and where each ends."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+class Merges:
+    """Ranks of token pairs: the rank of a pair is that of the bytes that it spells."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.spelled = ranks, {v: k for k, v in ranks.items()}
+        self.one = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.known: dict[int, int] = {}
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Ranks of coded pairs; -1: no merge."""
+        out = np.empty(len(codes), dtype=np.int64)
+        for k, code in enumerate(codes.tolist()):
+            if code not in self.known:
+                self.known[code] = self.ranks.get(self.spelled[code >> 24] + self.spelled[code & 0xFFFFFF], -1)
+            out[k] = self.known[code]
+        return out
+
+
+def replay(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the (non-empty) pieces one after another, and how many each has: all merges over all pieces, in rank order."""
+    token = merges.one[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+    ends = np.cumsum([len(p) for p in pieces])
+    after, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
+    after[ends - 1], before[np.concatenate(([0], ends[:-1]))] = -1, -1
+    places: dict[int, list[np.ndarray]] = {}
+    pairs: dict[int, set[int]] = defaultdict(set)
+    queue: list[int] = []
+
+    def note(at: np.ndarray) -> None:
+        """Enters the pairs that begin at these places into the index."""
+        if not len(at):
+            return
+        codes, of = np.unique((token[at] << 24) | token[after[at]], return_inverse=True)
+        ranks = merges.of(codes)
+        for code, r in zip(codes[ranks >= 0].tolist(), ranks[ranks >= 0].tolist(), strict=True):
+            pairs[r].add(code)
+        rank = ranks[of]
+        at, rank = at[rank >= 0], rank[rank >= 0]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        cuts = np.flatnonzero(np.diff(rank, prepend=-1))
+        for r, some in zip(rank[cuts].tolist(), np.split(at, cuts[1:]), strict=True) if len(at) else ():
+            if r not in places:
+                places[r] = []
+                heappush(queue, r)
+            places[r].append(some)
+
+    note(np.flatnonzero(after >= 0))
     while queue:
         r = heappop(queue)
-        for i in sorted(places.pop(r)):
-            j = after[i]
-            # a place may have gone, or hold another pair, since it was noted
-            if token[i] < 0 or j <= 0 or rank(token[i], token[j]) != r:
-                continue
-            k = after[j]
-            token[i], token[j], after[i] = r, -1, k
-            if k > 0:
-                before[k] = i
-                if (s := rank(r, token[k])) is not None:
-                    if s not in places:
-                        heappush(queue, s)
-                    places[s].append(i)
-            h = before[i]
-            if h >= 0 and (s := rank(token[h], r)) is not None:
-                if s not in places:
-                    heappush(queue, s)
-                places[s].append(h)
-    return [[t for t in token[a:z] if t >= 0] for a, z in zip(starts[:-1], starts[1:], strict=True)]
-
-
-def encoder(ranks: dict[bytes, int], pattern: str):
-    """list of texts -> list of lists of ids.
-
-    White space is the Unicode property, as the reference library for this file format has it. Texts without two
-    white space characters in a row are cut before single spaces first; the pattern never matches across those cuts.
+        at = np.unique(np.concatenate(places.pop(r)))
+        # a place may have gone, or hold another pair, since it was noted
+        at = at[(token[at] >= 0) & (after[at] >= 0)]
+        codes = (token[at] << 24) | token[after[at]]
+        at = at[np.isin(codes, list(pairs[r]))]
+        # of places that follow each other, every second is merged, from the left
+        follows = np.concatenate(([False], after[at[:-1]] == at[1:]))
+        if follows.any():
+            run = np.arange(len(at)) - np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
+            at = at[run % 2 == 0]
+        gone = after[at]
+        after[at] = after[gone]
+        token[at], token[gone] = r, -1
+        next_ = after[at]
+        before[next_[next_ >= 0]] = at[next_ >= 0]
+        left = before[at]
+        note(np.unique(np.concatenate((at[next_ >= 0], left[left >= 0]))))
+    kept = token >= 0
+    return token[kept].astype(np.int32), np.add.reduceat(kept, np.concatenate(([0], ends[:-1])), dtype=np.int64)
+
+
+class Encoder:
+    """Ids of whole texts.
+
+    White space is the Unicode property, as the library of this file format has it. Texts without two white space
+    characters in a row are cut before single spaces first; the pattern never matches across those cuts.
     """
-    exact = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-    pieces_of = regex.compile(exact).findall
-    doubled = regex.compile(r"\p{White_Space}\p{White_Space}").search
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        cut = []
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        exact = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        self.pieces_of = regex.compile(exact).findall
+        self.doubled = regex.compile(r"\p{White_Space}\p{White_Space}").search
+        self.merges = Merges(ranks)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and where each text ends."""
+        heads, rests = [], []
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__
         for t in texts:
-            if not t or doubled(t) or t[0] == " " or t[-1] == " ":
-                cut.append([t] if t else [])
-            else:
+            head, rest = t, []
+            if t and t[0] != " " and t[-1] != " " and not self.doubled(t):
                 head, *rest = t.split(" ")
-                cut.append([head, *map(" ".__add__, rest)])
-        chunks = {c: pieces_of(c) for c in set(chain.from_iterable(cut))}
-        pieces = list(set(chain.from_iterable(chunks.values())))
-        merged = dict(zip(pieces, replay([p.encode() for p in pieces], ranks), strict=True))
-        ids = {c: list(chain.from_iterable(map(merged.__getitem__, p))) for c, p in chunks.items()}
-        return [list(chain.from_iterable(map(ids.__getitem__, c))) for c in cut]
-
-    return encode
+            heads.append(head)
+            rests.append(np.fromiter(map(number.__getitem__, rest), dtype=np.int64, count=len(rest)))
+        sizes = np.array([len(x) + 1 for x in rests], dtype=np.int64)
+        first = np.cumsum(sizes) - sizes
+        seq = np.empty(int(sizes.sum()), dtype=np.int64)
+        is_head = np.zeros(len(seq), dtype=bool)
+        is_head[first] = True
+        seq[first] = np.arange(len(heads))
+        seq[~is_head] = len(heads) + np.concatenate(rests)
+        # chunks are cut into pieces, and each distinct piece is merged once
+        piece: dict[str, int] = defaultdict()
+        piece.default_factory = piece.__len__
+        cut, counts = [], []
+        for chunk in chain(heads, map(" ".__add__, number)):
+            found = self.pieces_of(chunk)
+            cut.extend(map(piece.__getitem__, found))
+            counts.append(len(found))
+        if not piece:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+        ids, n = replay([p.encode() for p in piece], self.merges)
+        cut, counts = np.array(cut, dtype=np.int64), np.array(counts, dtype=np.int64)
+        ids, ends = gather(ids, (np.cumsum(n) - n)[cut], n[cut])
+        ends = np.concatenate(([0], ends))[np.cumsum(counts)]
+        n = np.diff(ends, prepend=0)
+        ids, ends = gather(ids, (ends - n)[seq], n[seq])
+        return ids, np.concatenate(([0], ends))[np.cumsum(sizes)]
+
+
+def lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", stretch: int = STRETCH) -> DataFrame:
     """doc_id, ids of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(load_ranks(ranks_path), pattern)
+        encoder = Encoder(load_ranks(ranks_path), pattern)
         for part, texts in slices(batches, "text", stretch):
-            ids = ids_of([(x or b"").decode("utf-8", "replace") for x in texts])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists(*encoder.encode([(x or b"").decode("utf-8", "replace") for x in texts]))], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, ids array<int>")
 
 
-def decode(tokens: DataFrame, ranks_path: str, doc_id: str = "doc_id") -> DataFrame:
+def decode(tokens: DataFrame, ranks_path: str, doc_id: str = "doc_id", rows: int = 500) -> DataFrame:
     """doc_id, ids, decoded: the bytes that the ids spell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = {v: k for k, v in load_ranks(ranks_path).items()}
+        ranks = load_ranks(ranks_path)
+        sizes, starts = (np.zeros(max(ranks.values()) + 1, dtype=np.int64) for _ in range(2))
+        spelled = sorted(ranks, key=ranks.__getitem__)
+        at = [ranks[x] for x in spelled]
+        sizes[at] = [len(x) for x in spelled]
+        starts[at] = np.cumsum(sizes[at]) - sizes[at]
+        pool = np.frombuffer(b"".join(spelled), dtype=np.uint8)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                s = b.slice(at, 500)
-                texts = [b"".join(map(spelled.__getitem__, x)) for x in s.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+            for k in range(0, b.num_rows, rows):
+                s = b.slice(k, rows)
+                flat, counts = s.column(1).flatten().to_numpy(), s.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                data, ends = gather(pool, starts[flat], sizes[flat])
+                offsets = np.concatenate(([0], np.concatenate(([0], ends))[np.cumsum(counts)])).astype(np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), s.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), texts], ["doc_id", "ids", "decoded"])
 
     return tokens.select(F.col(doc_id).alias("doc_id"), "ids").mapInArrow(run, f"doc_id {dict(tokens.dtypes)[doc_id]}, ids array<int>, decoded binary")
 
