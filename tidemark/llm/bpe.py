@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, table
 
-STRETCH = 8 << 20
+STRETCH = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, ids array<int>")
 
 
-def decode(tokens: DataFrame, ranks_path: str, doc_id: str = "doc_id", rows: int = 500) -> DataFrame:
+def decode(tokens: DataFrame, ranks_path: str, doc_id: str = "doc_id", rows: int = 200) -> DataFrame:
     """doc_id, ids, decoded: the bytes that the ids spell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
