@@ -207,7 +207,7 @@ def search(own: np.ndarray, all_: np.ndarray, sizes: np.ndarray, prints: np.ndar
             forest.link(a[x], b[y])
 
 
-def near_links(nodes: DataFrame, radius: int, ratio: float = 0.0, leaf: int = 32_768, part: int = 32_768) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int, ratio: float = 0.0, leaf: int = 65_536, part: int = 262_144) -> DataFrame:
     """(a, b): links whose components are those of all pairs of nodes within ``radius`` bits and with sizes in ``ratio`` (0: any)."""
     reach = math.log(1 / ratio) if ratio else math.inf
     count = nodes.count()
