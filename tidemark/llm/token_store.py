@@ -20,6 +20,7 @@ from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,18 +130,32 @@ class WordEncoder:
         self.uses = np.concatenate((self.uses, np.zeros(len(new), dtype=np.int64)))
         self.ids = np.concatenate((self.ids, ids[at]))
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each ended by the end id, and how many each text has."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each ended by the end id, and how many each text has.
+
+        Arrow splits the texts at ASCII white space and finds the distinct words of this stretch; only these are looked up.
+        """
         if len(self.number) > REMEMBERED:
             self._forget()
-        words = [[*(x or b"").split(), b""] for x in texts]
-        n = np.array([len(w) for w in words])
-        seq = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(n.sum()))
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        of = words.flatten().dictionary_encode()
+        index, spelled = of.indices.to_numpy(), of.dictionary.cast(pa.binary()).to_pylist()
+        number = np.fromiter(map(self.number.__getitem__, spelled), dtype=np.int64, count=len(spelled))
         if len(self.number) > len(self.length):
             self.learn(list(islice(self.number, len(self.length), None)))
-        self.uses += np.bincount(seq, minlength=len(self.uses))
-        ids, ends = self._gather(seq)
-        return ids, np.diff(ends[np.cumsum(n) - 1], prepend=0)
+        # number 0 stands for the empty strings that lead and trail, and here for none of them but the last
+        seq = number[index]
+        text = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy(zero_copy_only=False))
+        n = np.bincount(text[seq > 0], minlength=len(texts)) + 1
+        seq = seq[seq > 0]
+        last = np.cumsum(n) - 1
+        ended = np.zeros(len(seq) + len(texts), dtype=np.int64)
+        is_word = np.ones(len(ended), dtype=bool)
+        is_word[last] = False
+        ended[is_word] = seq
+        self.uses += np.bincount(ended, minlength=len(self.uses))
+        ids, ends = self._gather(ended)
+        return ids, np.diff(ends[last], prepend=0)
 
 
 def word_encoder(path: str, end_id: int) -> WordEncoder:
@@ -158,8 +173,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, do
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start = word_encoder(tokenizer, end_id), 0
-        for part, texts in slices(batches, "text", 4 << 20):
-            ids, sizes = encoder.encode(texts)
+        for part, _ in slices(batches, "text", 4 << 20):
+            ids, sizes = encoder.encode(part.column(1).cast(pa.string()))
             ends = np.cumsum(sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(start + ends - sizes), pa.array(sizes), lists], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
