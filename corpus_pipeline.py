@@ -17,6 +17,8 @@ from tidemark.llm.quality import keep_good
 from tidemark.llm.simhash import drop_near_duplicates
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Bytes of text that are encoded at once; the stages before leave less memory than an encoder alone has.
+STRETCH = 2 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row, repeats included."""
     ranks = public_tokenizers.path(RANKS)
-    return digests(decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+    return digests(decode(encode(docs, ranks, public_tokenizers.PATTERN, stretch=STRETCH), ranks))
 
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates), ("mixing sources to target weights", mixed_sources), ("byte-level BPE encoding and decoding", byte_level_bpe)]

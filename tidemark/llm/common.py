@@ -49,7 +49,7 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Parts of the batches with about ``most`` bytes of text at most (one row at least), and their texts as bytes (None: null)."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())

@@ -218,7 +218,7 @@ def judge(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value and Model(*shared.value)
-        for part, texts in slices(batches, "text", 4 << 20):
+        for part, texts in slices(batches, "text", 1 << 20):
             s = Slice(texts)
             base = s.base()
             p = model.probability(s) if model else None

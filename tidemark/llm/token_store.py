@@ -173,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, do
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start = word_encoder(tokenizer, end_id), 0
-        for part, _ in slices(batches, "text", 4 << 20):
+        for part, _ in slices(batches, "text"):
             ids, sizes = encoder.encode(part.column(1).cast(pa.string()))
             ends = np.cumsum(sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
