@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.bpe import decode, digests, encode
+from tidemark.llm.bpe import digests, encode
 from tidemark.llm.common import table, written
 from tidemark.llm.mixing import mix
 from tidemark.llm.quality import keep_good
@@ -36,7 +36,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row, repeats included."""
     ranks = public_tokenizers.path(RANKS)
-    return digests(decode(encode(docs, ranks, public_tokenizers.PATTERN, stretch=STRETCH), ranks))
+    return digests(encode(docs, ranks, public_tokenizers.PATTERN, stretch=STRETCH, decoded=True))
 
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates), ("mixing sources to target weights", mixed_sources), ("byte-level BPE encoding and decoding", byte_level_bpe)]

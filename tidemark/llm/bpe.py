@@ -167,36 +167,53 @@ def lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", stretch: int = STRETCH) -> DataFrame:
-    """doc_id, ids of every whole text."""
+class Decoder:
+    """The bytes that ids spell."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        spelled = sorted(ranks, key=ranks.__getitem__)
+        at = [ranks[x] for x in spelled]
+        self.sizes, self.starts = (np.zeros(max(at) + 1, dtype=np.int64) for _ in range(2))
+        self.sizes[at] = [len(x) for x in spelled]
+        self.starts[at] = np.cumsum(self.sizes[at]) - self.sizes[at]
+        self.pool = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray, rows: int = 200) -> pa.Array:
+        """Binary values from ids one after another and where each row's end; ``rows`` of them at a time."""
+        out, bounds = [], np.concatenate(([0], ends))
+        for k in range(0, len(ends), rows):
+            own = bounds[k : k + rows + 1]
+            flat = ids[own[0] : own[-1]]
+            data, places = gather(self.pool, self.starts[flat], self.sizes[flat])
+            offsets = np.concatenate(([0], places))[own - own[0]].astype(np.int32)
+            out.append(pa.Array.from_buffers(pa.binary(), len(own) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", stretch: int = STRETCH, decoded: bool = False) -> DataFrame:
+    """doc_id, ids of every whole text; with ``decoded`` the ids are decoded too, in the same pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(ranks_path), pattern)
+        ranks = load_ranks(ranks_path)
+        encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
         for part, texts in slices(batches, "text", stretch):
-            yield pa.RecordBatch.from_arrays([part.column(0), lists(*encoder.encode([(x or b"").decode("utf-8", "replace") for x in texts]))], ["doc_id", "ids"])
+            ids, ends = encoder.encode([(x or b"").decode("utf-8", "replace") for x in texts])
+            columns = [part.column(0), lists(ids, ends), *([decoder.decode(ids, ends)] if decoded else [])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, ids array<int>")
+    schema = f"doc_id {dict(docs.dtypes)[doc_id]}, ids array<int>" + ", decoded binary" * decoded
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def decode(tokens: DataFrame, ranks_path: str, doc_id: str = "doc_id", rows: int = 200) -> DataFrame:
-    """doc_id, ids, decoded: the bytes that the ids spell."""
+def decode(tokens: DataFrame, ranks_path: str, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, ids, decoded: the bytes that the ids of a stored table spell. Null ids spell nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(ranks_path)
-        sizes, starts = (np.zeros(max(ranks.values()) + 1, dtype=np.int64) for _ in range(2))
-        spelled = sorted(ranks, key=ranks.__getitem__)
-        at = [ranks[x] for x in spelled]
-        sizes[at] = [len(x) for x in spelled]
-        starts[at] = np.cumsum(sizes[at]) - sizes[at]
-        pool = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        decoder = Decoder(load_ranks(ranks_path))
         for b in batches:
-            for k in range(0, b.num_rows, rows):
-                s = b.slice(k, rows)
-                flat, counts = s.column(1).flatten().to_numpy(), s.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                data, ends = gather(pool, starts[flat], sizes[flat])
-                offsets = np.concatenate(([0], np.concatenate(([0], ends))[np.cumsum(counts)])).astype(np.int32)
-                texts = pa.Array.from_buffers(pa.binary(), s.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), texts], ["doc_id", "ids", "decoded"])
+            counts = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = decoder.decode(b.column(1).flatten().to_numpy(), np.cumsum(counts))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], ["doc_id", "ids", "decoded"])
 
     return tokens.select(F.col(doc_id).alias("doc_id"), "ids").mapInArrow(run, f"doc_id {dict(tokens.dtypes)[doc_id]}, ids array<int>, decoded binary")
 
@@ -211,4 +228,4 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return digests(decode(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+    return digests(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True))
