@@ -219,8 +219,10 @@ def train(docs: DataFrame, lex: Lexicon, text: str = "text", seed_column: str =
             for _, texts in slices(batches, "text"):
                 x = Coded(texts, number, single)
                 order = np.random.default_rng(part).permutation(len(x.cls))
-                for at in range(0, len(order), BATCH):
-                    i = order[at : at + BATCH]
+                # at least 64 steps over a stretch of text, however short it is
+                batch = min(BATCH, max(32, len(order) // 64))
+                for at in range(0, len(order), batch):
+                    i = order[at : at + batch]
                     trainer.step(x.cls[i], x.before[i], x.before2[i])
             if trainer.tokens:
                 flat = np.concatenate([v.ravel() for v in trainer.p.values()]).astype("<f8") * trainer.tokens
