@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, table
 
-STRETCH = 4 << 20
+STRETCH = 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
