@@ -38,6 +38,8 @@ REMEMBERED = 400_000
 #: Share of the training documents in each round, in hundredths, and the rate of learning.
 ROUNDS, RATE = ((0, 20), (20, 100)), 0.15
 BATCH, NOISE = 2048, 64
+#: Bytes of text that are coded at once.
+STRETCH = 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -59,7 +61,7 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
             n.clear()
             return out
 
-        for _, texts in slices(batches, "text"):
+        for _, texts in slices(batches, "text", STRETCH):
             for words in tokens_of(texts):
                 n.update(words)
             if len(n) > 1_000_000:
@@ -216,7 +218,7 @@ def train(docs: DataFrame, lex: Lexicon, text: str = "text", seed_column: str =
             part = TaskContext.get().partitionId()
             trainer = Trainer(*start.value, seed=1000 * k + part)
             number, single = words.value
-            for _, texts in slices(batches, "text"):
+            for _, texts in slices(batches, "text", STRETCH):
                 x = Coded(texts, number, single)
                 order = np.random.default_rng(part).permutation(len(x.cls))
                 # at least 64 steps over a stretch of text, however short it is
@@ -253,7 +255,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model, doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, single, log_count, class_log, a1, a2, norm = shared.value
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", STRETCH):
             x = Coded(texts, number, single)
             n = len(texts)
             total = lambda v: np.bincount(x.of, weights=v, minlength=n)
