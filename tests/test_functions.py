@@ -87,3 +87,14 @@ def test_rules(spark):
     assert one(spark, lambda c: rules.response_action(F.lit(412), c), "") == "VERIFICATION_REQUIRED"
     assert one(spark, lambda c: rules.result_mode(F.lit(None).cast("string"), c), "给我完整结果") == "FULL"
     assert [one(spark, rules.completeness_state, v, "int") for v in (90, 60, 59, 3)] == ["COMPLETE", "USABLE", "PARTIAL", "INSUFFICIENT"]
+
+
+def test_notice_helpers(spark):
+    assert [one(spark, text.change_type, v) for v in ("延期公告", "变更公告", "招标公告", None)] == ["extension", "change", "original", "original"]
+    assert [one(spark, text.time_precision, v) for v in ("截至2026年9月5日", "9月1日至9月5日", "2026-09-05 17:00")] == ["DATE_ONLY", "RANGE", "DATETIME"]
+    low, high = spark.range(1).select(*text.day_bounds(F.lit(NOW).cast("timestamp_ntz"))).first()
+    assert (low, high) == (dt.datetime(2026, 8, 28), dt.datetime(2026, 8, 28, 23, 59, 59, 999999))
+    pages = spark.createDataFrame([([(1, "a b"), (2, "招 标\n公告")],)], "v array<struct<page_number:int,text:string>>")
+    assert pages.select(text.page_for(F.col("v"), F.lit("招标 公告")).alias("r"), text.page_for(F.col("v"), F.lit("q")).alias("n")).first()[:] == (2, None)
+    assert one(spark, lambda c: F.array_join(text.missing_fields({"a": c, "b": F.lit(1), "c": F.lit(" ")}), ","), None) == "a,c"
+    assert [one(spark, text.http_status_note, v) for v in ("seen HTTP 412 twice", "none")] == [412, None]

@@ -160,3 +160,40 @@ def source_level(url: Column) -> Column:
 def level_rank(level: Column) -> Column:
     """1 to 5 for A to E; null counts as E, others 9."""
     return F.coalesce(F.element_at(F.create_map(*[x for k, v in zip("ABCDE", range(1, 6), strict=True) for x in (F.lit(k), F.lit(v))]), F.coalesce(level, F.lit("E"))), F.lit(9))
+
+
+def change_type(title: Column) -> Column:
+    """What kind of follow-up a notice's title announces; ``original`` if none."""
+    t = F.coalesce(title, F.lit(""))
+    out = F.when(F.contains(t, F.lit("延期")), "extension")
+    for word, kind in (("澄清", "clarification"), ("更正", "correction"), ("补充", "supplement"), ("变更", "change"), ("调整", "change")):
+        out = out.when(F.contains(t, F.lit(word)), kind)
+    return out.otherwise("original")
+
+
+def time_precision(raw: Column) -> Column:
+    """RANGE, DATETIME or DATE_ONLY of a raw date; 截至 doesn't make a range."""
+    clock = r"\d{1,2}\s*[:：点时]"
+    return F.when(raw.rlike(r"(?<!截)至|到|~|～|\s-\s"), "RANGE").when(raw.rlike(clock), "DATETIME").otherwise("DATE_ONLY")
+
+
+def day_bounds(day: Column) -> tuple[Column, Column]:
+    """First and last microsecond of a day in local time."""
+    start = F.date_trunc("day", day).cast("timestamp_ntz")
+    return start, start + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 0.000001 SECOND")
+
+
+def page_for(pages: Column, fragment: Column) -> Column:
+    """Number of the first page, of an array of (page_number, text), that holds a fragment whatever its white space."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    return F.get(F.filter(pages, lambda p: F.contains(bare(p.text), bare(fragment))), F.lit(0)).page_number
+
+
+def missing_fields(columns: dict[str, Column]) -> Column:
+    """Names of the columns that are null or blank, in order."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(F.trim(c.cast("string")), F.lit("")) == "", F.lit(n)) for n, c in columns.items()]))
+
+
+def http_status_note(note: Column) -> Column:
+    """The status that a note names as ``HTTP nnn``."""
+    return F.regexp_extract(note, r"\bHTTP\s+(\d{3})\b", 1).try_cast("int")
