@@ -126,7 +126,7 @@ def result_layer(excluded: Column, blocked: Column, historic: Column, status: Co
 
 
 def completeness_state(score: Column) -> Column:
-    return first_match([(score >= 85, "COMPLETE"), (score >= 60, "USABLE"), (score >= 30, "PARTIAL")], "INSUFFICIENT")
+    return first_match([(score >= 85, "COMPLETE"), (score >= 60, "USABLE"), (score >= 30, "PARTIAL")], "LEAD_ONLY")
 
 
 def source_health(items: Column, previous: Column, failures: Column, manual: Column) -> Column:
