@@ -86,7 +86,7 @@ def test_rules(spark):
     assert [strength("INFERRED", "t", "p"), strength("DIRECT_TEXT", None, None), strength("other", "t", "p"), strength("other", "t", None)] == [1, 2, 2, 0]
     assert one(spark, lambda c: rules.response_action(F.lit(412), c), "") == "VERIFICATION_REQUIRED"
     assert one(spark, lambda c: rules.result_mode(F.lit(None).cast("string"), c), "给我完整结果") == "FULL"
-    assert [one(spark, rules.completeness_state, v, "int") for v in (90, 60, 59, 3)] == ["COMPLETE", "USABLE", "PARTIAL", "INSUFFICIENT"]
+    assert [one(spark, rules.completeness_state, v, "int") for v in (90, 60, 59, 3)] == ["COMPLETE", "USABLE", "PARTIAL", "LEAD_ONLY"]
 
 
 def test_notice_helpers(spark):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ TRACKING = ("fbclid", "from", "gclid", "msclkid", "ref", "referrer", "share_toke
 PAGINATION = ("limit", "offset", "page", "page_index", "page_no", "page_size", "pageindex", "pageno", "pagesize", "pn", "rn", "size")
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it, also within higher-order functions."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
@@ -100,21 +106,25 @@ def capacity_mw(c: Column) -> Column:
 
 def parse_datetime(c: Column, year: int, default_hour: int = 17) -> Column:
     """Local time of a Chinese or ISO date; without a clock at ``default_hour``, without a year in ``year``, null if invalid."""
-    text = F.regexp_replace(F.trim(c), "(星期|周)[一二三四五六日天]", " ")
-    text = F.regexp_replace(F.regexp_replace(text, "^DATE ", ""), "半", "30分")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), "(星期|周)[一二三四五六日天]", " "), "^DATE ", ""), "半", "30分")
+    return bind(text, lambda t: _datetime(t, year, default_hour))
+
+
+def _datetime(text: Column, year: int, default_hour: int) -> Column:
     iso = F.regexp_like(text, F.lit(r"\dT\d.*(Z|[+-]\d{2}:?\d{2})$"))
     date = r"(?:(\d{4})\s*[年/\-.])?\s*(\d{1,2})\s*[月/\-.]\s*(\d{1,2})\s*日?"
-    part = lambda k: F.regexp_extract(text, date, k)
     clock = r"日?\s*(上午|下午|晚上|傍晚|AM|PM)?\s*(\d{1,2})(?:[:：]|[点时]\s*)(\d{1,2})?"
-    after = F.regexp_replace(text, "^.*?" + date, "")
-    period, hour, minute = (F.regexp_extract(after, clock, k) for k in (1, 2, 3))
-    h = F.when(hour == "", default_hour).otherwise(hour.try_cast("int"))
-    h = F.when(period.isin("下午", "晚上", "傍晚", "PM") & (h < 12), h + 12).when(period.isin("上午", "AM") & (h == 12), 0).otherwise(h)
-    day = F.expr("1") * 0 + F.when(h == 24, 1).otherwise(0)
-    base = F.try_make_timestamp_ntz(F.when(part(1) == "", year).otherwise(part(1).try_cast("int")), part(2).try_cast("int"), part(3).try_cast("int"), F.when(h == 24, 0).otherwise(h), F.coalesce(minute.try_cast("int"), F.lit(0)), F.lit(0).cast("decimal(16,6)"))
-    local = base + F.make_dt_interval(day)
+    part, after = (lambda k: F.regexp_extract(text, date, k)), F.regexp_replace(text, "^.*?" + date, "")
+    bound = F.struct(*[part(k).alias(n) for k, n in ((1, "y"), (2, "m"), (3, "d"))], *[F.regexp_extract(after, clock, k).alias(n) for k, n in ((1, "period"), (2, "hour"), (3, "minute"))])
+
+    def local(x: Column) -> Column:
+        h = F.when(x.hour == "", default_hour).otherwise(x.hour.try_cast("int"))
+        h = F.when(x.period.isin("下午", "晚上", "傍晚", "PM") & (h < 12), h + 12).when(x.period.isin("上午", "AM") & (h == 12), 0).otherwise(h)
+        base = F.try_make_timestamp_ntz(F.when(x.y == "", year).otherwise(x.y.try_cast("int")), x.m.try_cast("int"), x.d.try_cast("int"), F.when(h == 24, 0).otherwise(h), F.coalesce(x.minute.try_cast("int"), F.lit(0)), F.lit(0).cast("decimal(16,6)"))
+        return base + F.make_dt_interval(F.when(h == 24, 1).otherwise(0))
+
     zoned = F.convert_timezone(F.lit("UTC"), F.lit("Asia/Shanghai"), F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone()).cast("timestamp_ntz"))
-    return F.when(iso, zoned).otherwise(local)
+    return F.when(iso, zoned).otherwise(bind(bound, local))
 
 
 def document_quality(text: Column, terms: Sequence[str]) -> Column:
@@ -135,10 +145,9 @@ def matched_terms(text: Column, terms: Sequence[str]) -> Column:
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
-    low, hit = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
-    for t in terms:
-        hit = hit | F.contains(low, F.lit(t.lower()))
-    return hit
+    """One of the terms occurs, whatever its case; one scan of the text for all of them."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_like(low, F.lit("|".join(re.escape(t.lower()) for t in terms))) if terms else F.lit(False)
 
 
 def contains_all(text: Column, query: str) -> Column:

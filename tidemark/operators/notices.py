@@ -18,6 +18,26 @@ CONFIDENCE = {
 MARKERS = ("投标截止时间前", "开标前", "截止前下载", "自行下载")
 
 
+def with_schedules(notices: DataFrame, year: int) -> DataFrame:
+    """Adds start, deadline and raw text of each schedule; a lone date with 截止 is a deadline only.
+
+    Step by step, each a projection of its own, so that no text is scanned and no date parsed twice.
+    """
+    kinds, text = X.SCHEDULE_LABELS, F.coalesce("text", F.lit(""))
+    out = notices.withColumns({f"_{k}{part}": X.schedule_head(text, labels, part) for k, labels in kinds.items() for part in (1, 2)})
+    out = out.withColumns({f"_{k}3": X.schedule_window(F.col(f"_{k}1"), F.col(f"_{k}2")) for k in kinds})
+    out = out.withColumns({f"_{k}4": X.dates_in(F.col(f"_{k}3"), year) for k in kinds})
+    c, ends = F.col, {}
+    for k in kinds:
+        dates = c(f"_{k}4")
+        ends |= {
+            f"{k}_start": F.when(~X.lone_deadline(c(f"_{k}1"), c(f"_{k}3"), dates), F.get(dates, F.lit(0))),
+            f"{k}_deadline": F.try_element_at(dates, F.lit(-1)),
+            f"{k}_raw": F.when(F.size(dates) > 0, collapse(c(f"_{k}3"))),
+        }
+    return out.withColumns(ends).drop(*[f"_{k}{i}" for k in kinds for i in range(1, 5)])
+
+
 def extract_notices(notices: DataFrame, year: int, now: Column) -> DataFrame:
     """``notices`` (url, title, text) with the fields, the status at ``now`` without a gate, and the required fields missing."""
     text, title = F.coalesce("text", F.lit("")), F.coalesce(collapse(F.col("title")), F.lit(""))
@@ -34,22 +54,19 @@ def extract_notices(notices: DataFrame, year: int, now: Column) -> DataFrame:
             "announcement_type": X.notice_type(title),
             "capacity_mw": capacity_mw(both),
             "capacity_mwh": X.capacity_mwh(both),
-            **{f"_{k}": X.schedule(text, labels, year) for k, labels in X.SCHEDULE_LABELS.items()},
         }
     )
+    out = with_schedules(out, year)
     out = out.withColumns(
         {
             "budget": money(F.col("budget_raw")),
-            **{f"{k}_{end}": F.col(f"_{k}")[end] for k in ("qualification", "registration", "document") for end in ("start", "deadline")},
-            "bid_deadline": F.col("_bid.deadline"),
-            "open_time": F.coalesce("_open.deadline", "_open.start"),
-            **{f"{k}_raw": F.col(f"_{k}.raw") for k in X.SCHEDULE_LABELS},
+            "open_time": F.coalesce("open_deadline", "open_start"),
             "project_id": X.stable_project_id(F.col("project_code"), F.col("project_name"), F.col("url")),
             "canonical_name": normalize_identity(F.col("project_name")),
             "canonical_url": canonicalize_url(F.col("url")),
             "content_hash": content_hash(text),
         }
-    ).drop(*[f"_{k}" for k in X.SCHEDULE_LABELS])
+    ).drop("bid_start", "open_start", "open_deadline")
     missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in REQUIRED]))
     reason = status_reason(now, F.lit(False), contains_any(F.col("participation_method"), MARKERS))
     out = out.withColumns({"missing": missing, "reason_code": reason})
@@ -60,7 +77,7 @@ def evidence_of(records: DataFrame) -> DataFrame:
     """project_id, url and, for each field found, its normalised and raw value, surroundings and confidence."""
     raws = {"budget": "budget_raw", "bid_deadline": "bid_raw", "open_time": "open_raw", "qualification_deadline": "qualification_raw"} | {f"{k}_{end}": f"{k}_raw" for k in ("registration", "document") for end in ("start", "deadline")}
     rows = [F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("normalized_value"), F.coalesce(F.col(raws.get(f, f)).cast("string"), F.col(f).cast("string")).alias("raw_value"), F.lit(c).alias("confidence")) for f, c in CONFIDENCE.items()]
-    found = records.select("project_id", "url", "text", F.explode(F.filter(F.array(*rows), lambda x: F.coalesce(x.normalized_value, F.lit("")) != "")).alias("e")).select("project_id", "url", "text", "e.*")
+    found = records.select("project_id", "url", "text", F.explode(F.array(*rows)).alias("e")).select("project_id", "url", "text", "e.*").where("normalized_value <> ''")
     at = F.expr("locate(raw_value, text)")
     around = F.when(at > 0, F.substring(F.col("text"), F.greatest(F.lit(1), at - 80), at + 240 - F.greatest(F.lit(1), at - 80))).otherwise(F.substring(F.col("text"), 1, 320))
     return found.withColumn("source_text", around).drop("text")

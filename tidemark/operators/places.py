@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import normalize_region
+from tidemark.functions.text import bind, normalize_region
 
 LEVELS = {"province": 0, "special_region": 0, "city": 1, "prefecture": 1, "county": 2, "district": 2}
 #: Labels that a plan may carry; more belong in a table of their own.
@@ -43,20 +44,21 @@ class Places:
         return [e for e in self.entries if e["code"] in wanted - set(excluded)]
 
     def labels(self) -> Column:
+        """All labels as one constant array, best last."""
         rows = []
         for i, e in enumerate(self.entries):
             for label in {e["name"], *e.get("aliases", ())}:
-                rows.append({"level": LEVELS.get(e["level"], 0), "place": -i, "label": label, "code": e["code"], "path": [x["name"] for x in self.chain(e["code"])]})
+                plain = re.sub(r"[\s，。、；：:（）()【】\[\]「」《》/\\_\-]+", "", label).lower()  # as normalize_region
+                if plain:
+                    rows.append({"level": LEVELS.get(e["level"], 0), "length": len(plain), "place": -i, "label": plain, "code": e["code"], "path": [x["name"] for x in self.chain(e["code"])]})
         if len(rows) > MOST:
             raise ValueError(f"{len(rows)} labels are more than a plan should carry")
-        table = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), _SCHEMA)
-        return F.transform(table, lambda x: F.struct(x.level, F.length(normalize_region(x.label)).alias("length"), x.place, normalize_region(x.label).alias("label"), x.code, x.path))
+        return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), _SCHEMA)  # folded once to a constant
 
     def match(self, text: Column) -> Column:
         """Struct of code and path of the deepest place named, of equal ones that with the longest label, then the first; null if none."""
-        whole = normalize_region(text)
-        best = F.array_max(F.filter(self.labels(), lambda x: (x.length > 0) & F.contains(whole, x.label)))
-        return F.when(best.isNotNull(), F.struct(best.code.alias("code"), best.path.alias("path")))
+        best = bind(normalize_region(text), lambda whole: F.array_max(F.filter(self.labels(), lambda x: F.contains(whole, x.label))))
+        return bind(best, lambda b: F.when(b.isNotNull(), F.struct(b.code.alias("code"), b.path.alias("path"))))
 
 
 def region_passes(wanted: Column, actual: Column, whole: Column, exact: bool = False) -> Column:
