@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,49 @@ from pyspark.sql import functions as F
 #: Limits of an archive that is expanded; members beyond make it an error row, never a silent cut.
 ZIP_FILES, ZIP_BYTES = 50, 100 << 20
 PARSEABLE = ("html", "htm", "json", "txt", "xml")
+OFFICE = ("docx", "xlsx")
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def office_text(suffix: str, data: bytes) -> str:
+    """Text of a DOCX (a line for each paragraph, table cells included) or XLSX (a line for each row with any value, cells by tabs).
+
+    Raises ValueError for archives beyond the limits, broken ones, and XML with a document type.
+    """
+
+    def part(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
+        body = z.read(name)
+        if b"<!DOCTYPE" in body or b"<!ENTITY" in body:
+            raise ValueError("UNSAFE_XML")
+        return ElementTree.fromstring(body)
+
+    whole = lambda e, tag: "".join(t.text or "" for t in e.iter(tag))
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            names = z.namelist()
+            if sum(i.file_size for i in z.infolist()) > ZIP_BYTES:
+                raise ValueError("ARCHIVE_TOO_LARGE")
+            if suffix == "docx":
+                return "\n".join(t for t in (whole(p, _WORD + "t") for p in part(z, "word/document.xml").iter(_WORD + "p")) if t.strip())
+            shared = [whole(e, _SHEET + "t") for e in part(z, "xl/sharedStrings.xml").iter(_SHEET + "si")] if "xl/sharedStrings.xml" in names else []
+            sheets = sorted((n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")), key=lambda n: (len(n), n))
+            lines = []
+            for name in sheets:
+                for row in part(z, name).iter(_SHEET + "row"):
+                    cells = []
+                    for c in row.iter(_SHEET + "c"):
+                        value = c.findtext(_SHEET + "v")
+                        cells.append(shared[int(value)] if c.get("t") == "s" and value is not None else whole(c, _SHEET + "t") if c.get("t") == "inlineStr" else value or "")
+                    if any(x.strip() for x in cells):
+                        lines.append("\t".join(cells))
+            return "\n".join(lines)
+    except (zipfile.BadZipFile, KeyError, IndexError, ElementTree.ParseError, NotImplementedError, RuntimeError) as error:
+        raise ValueError("BROKEN_DOCUMENT") from error
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, suffix, content_hash, text, error of files below a path. Text is decoded as UTF-8, else GB18030, else Big5."""
+    """path, suffix, content_hash, text, error of files below a path. Text is decoded as UTF-8, else GB18030, else Big5; DOCX and XLSX are unpacked. Empty files give no row."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     named = raw.select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("suffix"), F.sha2("content", 256).alias("content_hash"), "content")
 
@@ -24,7 +64,15 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
         for p in parts:
             texts, errors = [], []
             for suffix, data in zip(p["suffix"], p["content"], strict=True):
-                text, error = None, None if suffix in PARSEABLE else "UNSUPPORTED_TYPE"
+                text, error = None, None if suffix in (*PARSEABLE, *OFFICE) else "UNSUPPORTED_TYPE"
+                if suffix in OFFICE:
+                    try:
+                        text = office_text(suffix, bytes(data))
+                    except ValueError as broken:
+                        error = str(broken)
+                    texts.append(text)
+                    errors.append(error)
+                    continue
                 for code in ("utf-8-sig", "gb18030", "big5") if error is None else ():
                     try:
                         text = bytes(data).decode(code)
@@ -60,7 +108,12 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
                                 continue
                             if steps[-1].rpartition(".")[2].lower() in (*PARSEABLE, "pdf", "docx", "xlsx"):
                                 body = z.read(i)
-                                rows.append((archive, i.filename, len(body), body.decode("utf-8", "replace") if steps[-1].rpartition(".")[2].lower() in PARSEABLE else None, None))
+                                suffix, text, error = steps[-1].rpartition(".")[2].lower(), None, None
+                                try:
+                                    text = body.decode("utf-8", "replace") if suffix in PARSEABLE else office_text(suffix, body) if suffix in OFFICE else None
+                                except ValueError as broken:
+                                    error = str(broken)
+                                rows.append((archive, i.filename, len(body), text, error))
                 except (zipfile.BadZipFile, ValueError, RuntimeError) as error:
                     rows = [(archive, None, None, None, str(error))]
                 yield pd.DataFrame(rows, columns=["archive", "member", "size", "text", "error"]).astype({"size": "Int64"})
