@@ -81,13 +81,15 @@ def fingerprints_of(hashes: list[list[int]], words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, sized: bool = False, text: str = "text") -> DataFrame:
-    """``docs`` without the text and with ``node``: size and fingerprint as bytes."""
+    """``docs`` without the text and with ``node``: size and fingerprint as bytes. ``sized``: of the distinct shingles, and their number."""
     kept = [c for c in docs.columns if c not in (text, "node")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, text):
             hashes = [shingle_hashes(x or b"", width) for x in texts]
-            sizes = [len(set(h)) if sized else 0 for h in hashes]
+            if sized:
+                hashes = [list(set(h)) for h in hashes]
+            sizes = [len(h) if sized else 0 for h in hashes]
             nodes = [s.to_bytes(SIZE, "big") + f.tobytes() for s, f in zip(sizes, fingerprints_of(hashes, words), strict=True)]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(nodes, pa.binary())], [*kept, "node"])
 
