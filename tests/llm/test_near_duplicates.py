@@ -51,3 +51,62 @@ def test_repeats_do_not_hide_duplicates(spark):
         texts += [" ".join(own + passage * k) for k in (1, 30)]
     assert all(jaccard(texts[i], texts[i + 1]) >= 0.95 for i in range(0, len(texts), 2))
     assert kept_ids(spark, texts) == list(range(0, len(texts), 2))
+
+
+def groups_by_brute_force(texts):
+    """The least position of each text's group, over all pairs at 0.8 or more."""
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def planted(rng, similarity, n=200):
+    """Two texts of ``n`` shingles, the second with its tail replaced, so that they are similar by about ``similarity``."""
+    common = round(2 * n * similarity / (1 + similarity))
+    own = words(rng, n + 4)
+    return " ".join(own), " ".join(own[: common + 4] + words(rng, n - common))
+
+
+def many(rng):
+    texts = []
+    for similarity in [0.6, 0.65, 0.7, 0.75, 0.78, 0.79, 0.8, 0.81, 0.85, 0.9] * 8:
+        texts += planted(rng, similarity)
+    # a chain, each similar to the next only
+    own = words(rng, 260)
+    texts += [" ".join(own[k : k + 200]) for k in range(0, 60, 15)]
+    # short texts, where a shingle more or less counts
+    own = words(rng, 40)
+    return [*texts, *[" ".join(own[:k]) for k in range(6, 41)], "", "  ", "one", "one two", "One Two"]
+
+
+def test_links_are_those_of_brute_force(spark):
+    texts = many(random.Random(7))
+    want = sorted(set(groups_by_brute_force(texts)))
+    assert 100 < len(want) < len(texts) - 30
+    assert kept_ids(spark, texts) == want
+
+
+def test_similar_links_over_parts(spark):
+    rng = random.Random(8)
+    texts = many(rng)
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    prints = simhash.fingerprints(docs.select("doc_id", "text"), 5, simhash.WIDE_WORDS, sized=True).collect()
+    rows = [(r.doc_id.to_bytes(4, "big"), bytes(r.node), b"all", texts[r.doc_id]) for r in prints]
+    sets = simhash.shingle_sets(spark.createDataFrame(rows, "key binary, node binary, cluster binary, text string"), 5)
+    from tidemark.llm.components import components
+
+    links = simhash.similar_links(sets, simhash.WIDE_RADIUS, simhash.WIDE_RATIO, part=40_000)
+    found = {int.from_bytes(r.node, "big"): int.from_bytes(r.component, "big") for r in components(links, "a", "b").collect()}
+    want = groups_by_brute_force(texts)
+    assert [found.get(i, i) for i in range(len(texts)) if texts[i].strip()] == [want[i] for i in range(len(texts)) if texts[i].strip()]

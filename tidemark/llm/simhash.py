@@ -8,6 +8,9 @@ bound leaves within reach. Shards are searched exactly, by a tree of their own a
 are dealt to pairs of parts, so no task holds more than two parts. A shard returns a forest of its links, not
 all pairs, and the forests' connected components are the groups.
 
+``drop_near_duplicates`` only takes candidates from this: what the components of a wide radius hold is compared again by
+the distinct shingles themselves, and only pairs at the similarity or above are links.
+
 Defined cases. Null text: no words. No words: fingerprint zero, a node like any other. Fewer words than a
 shingle: the whole sequence. Repeated rows and equal texts share a node. Null id: grouped by text, never the
 name of a group unless no member has an id. Empty table: no rows. Further columns are ignored, or kept by
@@ -81,19 +84,23 @@ def fingerprints_of(hashes: list[list[int]], words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, sized: bool = False, text: str = "text") -> DataFrame:
-    """``docs`` without the text and with ``node``: size and fingerprint as bytes. ``sized``: of the distinct shingles, and their number."""
+    """``docs`` without the text and with ``node``: size and fingerprint as bytes. ``sized``: of the distinct shingles, with their number and a further column ``digest`` of them."""
     kept = [c for c in docs.columns if c not in (text, "node")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, text):
             hashes = [shingle_hashes(x or b"", width) for x in texts]
             if sized:
-                hashes = [list(set(h)) for h in hashes]
+                hashes = [sorted(set(h)) for h in hashes]
             sizes = [len(h) if sized else 0 for h in hashes]
             nodes = [s.to_bytes(SIZE, "big") + f.tobytes() for s, f in zip(sizes, fingerprints_of(hashes, words), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(nodes, pa.binary())], [*kept, "node"])
+            made = [pa.array(nodes, pa.binary())]
+            if sized:
+                made.append(pa.array([xxhash.xxh3_128_digest(np.array(h, dtype=np.uint64).tobytes()) for h in hashes], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *made], [*kept, *names])
 
-    schema = docs.select(*kept).withColumn("node", F.lit(b"").cast("binary")).schema
+    names = ["node", "digest"] if sized else ["node"]
+    schema = docs.select(*kept, *[F.lit(b"").cast("binary").alias(c) for c in names]).schema
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
@@ -211,7 +218,7 @@ def search(own: np.ndarray, all_: np.ndarray, sizes: np.ndarray, prints: np.ndar
 
 def near_links(nodes: DataFrame, radius: int, ratio: float = 0.0, leaf: int = 65_536, part: int = 262_144) -> DataFrame:
     """(a, b): links whose components are those of all pairs of nodes within ``radius`` bits and with sizes in ``ratio`` (0: any)."""
-    reach = math.log(1 / ratio) if ratio else math.inf
+    reach = math.log(1 / ratio) + 1e-9 if ratio else math.inf
     count = nodes.count()
     sample = [bytes(r["node"]) for r in nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()]
     tree = fit_tree(sample, count, radius, reach, leaf) if sample else {"shard": 0}
@@ -259,20 +266,99 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, doc_id: st
     return prints.join(of, "node").select("doc_id", F.lower(F.hex(F.substring("node", SIZE + 1, 8))).alias("fingerprint"), "component_id")
 
 
-#: For ``drop_near_duplicates``: 256 bits, and at most this many that differ. At a similarity of 0.8 (Jaccard, shingles
-#: as sets of one size) the angle of the count vectors makes 38.8 bits differ, with a deviation of 5.7.
-WIDE_WORDS, WIDE_RADIUS, WIDE_RATIO = 4, 46, 0.75
+#: For ``drop_near_duplicates``: texts are similar when their distinct shingles have this Jaccard similarity (as a fraction).
+SIMILAR = (4, 5)
+#: Candidates: 256 bits, at most this many that differ, and sizes that allow the similarity. At a similarity of 0.8 about
+#: 38.8 bits differ, with a deviation of 5.7, so 64 is 4.4 deviations beyond.
+WIDE_WORDS, WIDE_RADIUS, WIDE_RATIO = 4, 64, 0.8
+
+
+def shingle_sets(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
+    """``docs`` with ``hashes``, the distinct shingle hashes in order as bytes, instead of the text."""
+    kept = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, text):
+            sets = [np.unique(np.array(shingle_hashes(x or b"", width), dtype=np.uint64)).tobytes() for x in texts]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(sets, pa.binary())], [*kept, "hashes"])
+
+    schema = docs.select(*kept, F.lit(b"").cast("binary").alias("hashes")).schema
+    return docs.mapInArrow(run, schema)
+
+
+class SimilarForest(Forest):
+    """Links only pairs whose sets are similar. Pairs that are tied already, and of ``twice`` seen pairs the second, need no look."""
+
+    def __init__(self, sets: list[np.ndarray], twice: bool):
+        super().__init__(len(sets))
+        self.sets, self.twice = sets, twice
+
+    def similar(self, a: int, b: int) -> bool:
+        both = np.concatenate((self.sets[a], self.sets[b]))
+        both.sort()
+        common = np.count_nonzero(both[1:] == both[:-1])
+        return SIMILAR[1] * common >= SIMILAR[0] * (len(both) - common)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        if self.twice:
+            a, b = a[a < b], b[a < b]
+        step = 256
+        while True:
+            untied = self.parent[a] != self.parent[b]
+            a, b = a[untied], b[untied]
+            if not len(a):
+                return
+            x, y = a[:step], b[:step]
+            fit = np.fromiter((self.similar(i, j) for i, j in zip(x, y, strict=True)), dtype=bool, count=len(x))
+            super().link(x[fit], y[fit])
+            a, b, step = a[step:], b[step:], 2 * step
+
+
+def similar_links(sets: DataFrame, radius: int, ratio: float, part: int = 16 << 20) -> DataFrame:
+    """(a, b): links whose components are those of all similar pairs within a cluster, ``radius`` and ``ratio``.
+
+    ``sets``: a written table of key, node, cluster, hashes. Clusters share buckets; a bucket of over ``part`` bytes is dealt
+    to pairs of parts, as shards are.
+    """
+    reach = math.log(1 / ratio) + 1e-9
+    total = sets.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    dealt = sets.withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(max(1, 2 * total // part))).cast("int"))
+    parts = F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("hashes")) / part)).cast("int").alias("parts")
+    own_part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    paired = dealt.join(F.broadcast(dealt.groupBy("bucket").agg(parts)), "bucket").withColumn("mine", own_part).withColumn("other", other).select("bucket", F.least("mine", "other").cast("int").alias("i"), F.greatest("mine", "other").cast("int").alias("j"), "mine", "key", "node", "hashes")
+
+    def join(t: pa.Table) -> pa.Table:
+        keys, mine = t.column("key").to_pylist(), t.column("mine").to_numpy()
+        logs, prints = unpacked(t.column("node").to_pylist())
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        forest = SimilarForest([np.frombuffer(x, dtype=np.uint64) for x in t.column("hashes").to_pylist()], i == j)
+        search(np.flatnonzero(mine == i), np.flatnonzero(mine == j), logs, prints, radius, reach, forest)
+        tied = np.flatnonzero(forest.parent != np.arange(len(keys)))
+        return pa.table({"a": pa.array([keys[k] for k in tied], pa.binary()), "b": pa.array([keys[k] for k in forest.parent[tied]], pa.binary())})
+
+    return paired.groupBy("bucket", "i", "j").applyInArrow(join, "a binary, b binary")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of texts whose five-word shingles are similar by 0.8 or more: that with the least id.
+    """``docs`` with one row of each group of texts whose distinct five-word shingles are similar by 0.8 or more: that with the least id.
 
-    Similarity is read from wide fingerprints. Of rows with equal ids, and of those without, one row stays by its place.
+    Candidates are read from wide fingerprints, links from the shingles. Of rows with equal ids, and of those without, one row stays by its place.
     """
     rows = docs.select(F.struct(*docs.columns).alias("r"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"))
     held = written(fingerprints(rows, width, WIDE_WORDS, sized=True), "prints")
-    prints = held.select("doc_id", "row", "node")
-    member = prints.join(groups(prints, WIDE_RADIUS, WIDE_RATIO), "node").select("doc_id", "row", "group")
+    prints = held.select("doc_id", "row", "node", F.concat("node", "digest").alias("key"))
+    # texts of equal shingles share a key; keys of one fingerprint, or of fingerprints that candidates tie, a cluster
+    keys = written(prints.groupBy("node", "key").agg(F.min("row").alias("row")), "keys")
+    nodes = written(keys.select("node").distinct(), "nodes")
+    near = written(components(near_links(nodes, WIDE_RADIUS, WIDE_RATIO), "a", "b"), "near")
+    placed = written(keys.join(near, "node", "left").select("row", "key", F.coalesce("component", "node").alias("cluster")), "placed")
+    shared = placed.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    candidates = written(placed.join(shared, "cluster"), "candidates")
+    picked = held.select("row", "node", F.col("r")[text].alias("text")).join(maybe_broadcast(candidates, candidates.count(), 100_000), "row")
+    sets = written(shingle_sets(picked.select("key", "node", "cluster", "text"), width), "sets")
+    similar = written(components(similar_links(sets, WIDE_RADIUS, WIDE_RATIO), "a", "b").select(F.col("node").alias("key"), "component"), "similar")
+    member = prints.join(similar, "key", "left").select("doc_id", "row", F.coalesce("component", "key").alias("group"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
     several = written(member.groupBy("group").agg(first.alias("kept"), F.count("*").alias("n")).where("n > 1").select("group", "kept"), "several")
     dropped = written(member.join(several, "group").where("row <> kept").select("row"), "dropped")
