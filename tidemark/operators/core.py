@@ -63,16 +63,35 @@ def code_groups(df: DataFrame, row_id: str, code: Column) -> DataFrame:
     return coded.join(least, "code", "left").select(row_id, F.coalesce("canonical_id", row_id).alias("canonical_id"))
 
 
-def fuzzy_pairs(names: DataFrame, name: str, threshold: float = 85.0, block: int = 2) -> DataFrame:
-    """(a, b, ratio): distinct normalised names with a ratio at the threshold or above that share their first letters.
+def _letter_keys(norm: DataFrame, threshold: float) -> DataFrame:
+    """n, prefix, key: a row for each of a name's rarest letters. Of two names at the threshold or above, the prefixes share a letter.
 
-    Equality is done by hash join; pairs are compared within a block and when their lengths allow the ratio.
+    A letter is a character and how often it came before, so common letters are at least the common subsequence, which at
+    the threshold is at least t / (200 - t) of either name. Names with so many in common share one of the rest and one more.
     """
-    norm = names.select(normalize_identity(F.col(name)).alias("n")).where("n <> ''").distinct().withColumn("block", F.substring("n", 1, block))
-    a, b = norm.withColumnRenamed("n", "a"), norm.withColumnRenamed("n", "b")
+    chars = F.filter(F.split("n", ""), lambda c: c != "")
+    seen = F.transform(F.col("chars"), lambda c, i: F.concat(c, F.size(F.filter(F.slice("chars", F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    letters = norm.select("n", chars.alias("chars")).select("n", F.explode(seen).alias("key"))
+    ranked = letters.join(letters.groupBy("key").agg(F.count("*").alias("names")), "key").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("names", "key"))).alias("ranked"))
+    t = min(threshold, 100.0)
+    needed = F.ceil(F.size("ranked") * t / (200.0 - t) - 1e-9).cast("int")
+    return ranked.select("n", F.slice(F.col("ranked")["key"], F.lit(1), F.size("ranked") - needed + 1).alias("prefix")).withColumn("key", F.explode("prefix"))
+
+
+def fuzzy_pairs(names: DataFrame, name: str, threshold: float = 85.0) -> DataFrame:
+    """(a, b, ratio): all distinct normalised names with a ratio at the threshold (over 0) or above.
+
+    Pairs meet by hash join on their rarest letters, each at the first that they share, and are compared when their lengths allow the ratio.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be over 0")
+    norm = names.select(normalize_identity(F.col(name)).alias("n")).where("n <> ''").distinct()
+    keys = _letter_keys(norm, threshold)
+    a, b = (keys.select("key", F.col("n").alias(x), F.col("prefix").alias(f"{x}_prefix")) for x in ("a", "b"))
     # the common subsequence is at most the shorter name
     fits = 200.0 * F.least(F.length("a"), F.length("b")) >= threshold * (F.length("a") + F.length("b"))
-    return a.join(b, "block").where((F.col("a") < F.col("b")) & fits).withColumn("ratio", indel_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= threshold).select("a", "b", "ratio")
+    first = F.get(F.array_intersect("a_prefix", "b_prefix"), 0) == F.col("key")
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & fits & first).withColumn("ratio", indel_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= threshold).select("a", "b", "ratio")
 
 
 def conflicts(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
