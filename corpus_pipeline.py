@@ -40,7 +40,8 @@ def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates), ("mixing sources to target weights", mixed_sources), ("byte-level BPE encoding and decoding", byte_level_bpe)]
-#: The fitted classifier and the fingerprints are beyond SQL; the tests hold each stage against a plain version.
+#: The fitted classifier and the fingerprints are beyond SQL; the tests hold the near-duplicate stage against brute force,
+#: encoding against its own input, and quality and mixing only against the operators they call.
 ORACLE_SQL = None
 
 

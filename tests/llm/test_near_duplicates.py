@@ -1,8 +1,15 @@
 """The pipeline's near-duplicate stage against the similarity of distinct five-word shingles."""
 
 import random
+from pathlib import Path
 
+import pytest
+
+import corpus_pipeline
 from tidemark.llm import simhash
+from tidemark.llm.common import written
+
+SF = "/root/testdata/sf0.001"
 
 SCHEMA = "doc_id long, text string"
 
@@ -110,3 +117,24 @@ def test_similar_links_over_parts(spark):
     found = {int.from_bytes(r.node, "big"): int.from_bytes(r.component, "big") for r in components(links, "a", "b").collect()}
     want = groups_by_brute_force(texts)
     assert [found.get(i, i) for i in range(len(texts)) if texts[i].strip()] == [want[i] for i in range(len(texts)) if texts[i].strip()]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the test data isn't here")
+def test_the_stage_over_what_quality_keeps(spark):
+    (_, good), (_, near) = corpus_pipeline.STAGES[:2]
+    docs = written(good(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), "good")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    # more near copies than the data have, of its own texts: about 0.7, 0.8, 0.9, and a passage repeated
+    rng, more = random.Random(9), []
+    for k, (_, text) in enumerate(rows[:60]):
+        own = text.split()
+        n = max(1, len(own) * (10, 20, 30)[k % 3] // 200)
+        more.append(" ".join(own[: len(own) - n] + words(rng, n)) if k % 4 else text + " " + " ".join(own[:14] * 3))
+    top = rows[-1][0] + 1
+    extra = spark.createDataFrame([(top + i, x) for i, x in enumerate(more)], SCHEMA)
+    out = near(spark, docs.select("doc_id", "text").unionByName(extra), SF)
+    texts = [t for _, t in rows] + more
+    ids = [i for i, _ in rows] + [top + i for i in range(len(more))]
+    want = sorted(ids[k] for k in set(groups_by_brute_force(texts)))
+    assert sorted(r.doc_id for r in out.collect()) == want
+    assert 0 < len(texts) - len(want) < len(more), (len(rows), len(texts), len(want))
