@@ -371,8 +371,9 @@ def test_lm_base_and_model(spark, docs, empty, monkeypatch):
     training = table.where(~lm.held_out(F.col("doc_id")))
     counts = written(lm.count_tokens(training), "counts")
     lex = lm.lexicon(counts)
-    model = lm.train(training, lex)
-    got = lm.score(table, counts, lex, model).collect()
+    shared = spark.sparkContext.broadcast(lex)
+    model = lm.train(training, lex, shared)
+    got = lm.score(table, counts, lex, shared, model).collect()
     want = collections.Counter()
     for i, t in rows:
         w = tokens(t)
@@ -381,8 +382,10 @@ def test_lm_base_and_model(spark, docs, empty, monkeypatch):
     unseen = [r for r in got if r.held_out and r.n_tokens > 50]
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
     a1, a2, norm = model.tables()
-    for h1, h2 in ((0, 0), (5, 700), (600, 3)):
+    for h1, h2 in ((0, 0), (5, 60), (50, 3)):
         assert np.exp(a1[:, h1].astype(float) + a2[:, h2] - norm[h1, h2]).sum() == pytest.approx(1, abs=1e-4)
     none = written(lm.count_tokens(empty), "counts")
-    assert [r.base_score for r in lm.score(table.where("doc_id = 0"), none, lm.lexicon(none), lm.Model(np.zeros(lm.CLASSES))).collect()][0] == pytest.approx(0)
-    assert lm.score(empty, counts, lex, model).count() == 0
+    lone = lm.lexicon(none)
+    first = lm.score(table.where("doc_id = 0"), none, lone, spark.sparkContext.broadcast(lone), lm.Model(lone.class_counts)).first()
+    assert first.base_score == pytest.approx(0) and first.n_known == 0
+    assert lm.score(empty, counts, lex, shared, model).count() == 0

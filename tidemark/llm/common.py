@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where unset on a local master (tests) one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,21 +53,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of the batches with about ``most`` bytes of text at most (one row at least), and their texts as bytes (None: null)."""
+def parts(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most ``most`` bytes of text, or a single row."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
-        sizes = texts.nbytes
-        step = max(1, int(len(texts) * most / sizes)) if sizes > most else max(1, len(texts))
+        texts = batch.column(batch.schema.get_field_index(column))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
-        while at < len(texts):
-            part = texts.slice(at, step)
-            n, total = 0, 0
-            values = part.to_pylist()
-            for value in values:
-                total += len(value or b"")
-                if n and total > 2 * most:
-                    break
-                n += 1
-            yield batch.slice(at, n), values[:n]
-            at += n
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """``parts`` and their texts as bytes (None: null)."""
+    for part in parts(batches, column, most):
+        yield part, part.column(part.schema.get_field_index(column)).cast(pa.binary()).to_pylist()

@@ -1,157 +1,184 @@
 """Language-model scores: a log-bilinear model by noise-contrastive estimation.
 
 Words are counted over all training documents. Each word belongs to one class: a frequent word is a class of
-its own, the rest share classes by their last bytes, within which words have smoothed shares of the counts.
+its own, the rest share classes by their last bytes, within which words have smoothed shares of the counts. The number
+of classes grows with that of distinct words.
 A log-bilinear model predicts the class from the two before it: a class's score is its target vector times the
 sum of the context vectors, each scaled by its place, plus a bias. It is trained in numpy by noise-contrastive
 estimation, with every training token: tasks train from common parameters, which are averaged by tokens after each
 round. For scores, matrix products give the normaliser of every context at once, so that log-probabilities are exact.
 
-The most frequent words (``REMEMBERED``, a constant) travel to the workers with their counts; tokens beyond are joined with
+The most frequent words (at most ``REMEMBERED``) travel to the workers with their counts; tokens beyond are joined with
 the table of all counts, so no token is dropped.
 
 Defined cases. Null text: the end token alone. Null id: held out (the crc32 of the empty string is 0). Repeated rows: each counts and is scored.
 No training documents: every token has log-probability 0 in the base, and the model knows no class. Empty table: no rows.
-Further columns are ignored.
+Further columns are ignored. A very long text is coded whole, in arrays of some ten times its bytes. Tasks train on
+their own documents, so ``score`` depends on how files are split into tasks; with the same split, reruns agree.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import isqrt, log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, table, written
+from tidemark.llm.common import parts, table, written
 
 #: The end of a document as a token; no word is empty.
 END = b""
-SINGLE, SHARED, WIDTH = 512, 512, 24
-CLASSES = SINGLE + SHARED
-REMEMBERED = 400_000
+WIDTH, REMEMBERED = 24, 400_000
+#: Classes grow as the root of the number of distinct words, between these bounds; half are single words. The upper one
+#: bounds a worker's tables, which have a place for every pair of classes.
+FEWEST, MOST = 64, 1536
 #: Share of the training documents in each round, in hundredths, and the rate of learning.
-ROUNDS, RATE = ((0, 20), (20, 100)), 0.15
-BATCH, NOISE = 2048, 64
-#: Bytes of text that are coded at once.
-STRETCH = 8 << 20
+ROUNDS, RATE = ((0, 20), (20, 100)), 0.4
+BATCH, NOISE = 256, 64
+#: Bytes of text that are coded at once, and distinct words that a counting task holds.
+STRETCH, HELD = 4 << 20, 400_000
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def tokens_of(texts: list[bytes | None]) -> list[list[bytes]]:
-    return [[*(t or b"").lower().split(), END] for t in texts]
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens (binary), and for every token its number among them and its text; the end of each text is its last token."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    of = split.flatten().dictionary_encode()
+    spelled, index = of.dictionary.cast(pa.binary()), of.indices.to_numpy()
+    # the split leaves empty strings at a text's ends
+    empty = pc.index(spelled, pa.scalar(END, pa.binary())).as_py()
+    if empty < 0:
+        empty, spelled = len(spelled), pa.concat_arrays([spelled, pa.array([END], pa.binary())])
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), split.value_lengths().to_numpy(zero_copy_only=False))
+    real = index != empty
+    index, text = index[real], text[real]
+    ends = np.cumsum(np.bincount(text, minlength=len(texts)))
+    return spelled, np.insert(index, ends, empty), np.insert(text, ends, np.arange(len(texts), dtype=np.int32))
 
 
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """word, n over all ``docs``, counted in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-
-        def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.binary()), pa.array(n.values(), pa.int64())], ["word", "n"])
-            n.clear()
-            return out
-
-        for _, texts in slices(batches, "text", STRETCH):
-            for words in tokens_of(texts):
-                n.update(words)
-            if len(n) > 1_000_000:
-                yield flushed()
-        if n:
-            yield flushed()
+        held, rows = [], 0
+
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for part in parts(batches, "text", STRETCH):
+            spelled, index, _ = words_of(part.column(0))
+            n = np.bincount(index, minlength=len(spelled))
+            held.append(pa.table({"word": spelled.filter(pa.array(n > 0)), "n": pa.array(n[n > 0])}))
+            rows += len(held[-1])
+            if rows > 2 * HELD:
+                held = [added()]
+                rows = len(held[0])
+                if rows > HELD:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from added().to_batches()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
-    """Frequent words with class and count; the totals of all words and of each shared class."""
-
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, shared: dict[int, tuple[int, int]]):
-        self.number = {w: i for i, w in enumerate(words)}
-        self.total, self.distinct = total, distinct
-        self.single = {END: 0}
-        for w in words:
-            if len(self.single) == SINGLE:
-                break
-            self.single.setdefault(w, len(self.single))
-        self.log_count = np.log10(np.array(counts, dtype=np.float64) + 0.1)
-        n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+    """Frequent words with class and count, found by a 128-bit hash of theirs; the totals of all words and of each class.
+
+    The first words are classes of their own, the others share classes by their last bytes. ``shared``: for each of
+    these, the sum of counts and the number of words, the single ones included.
+    """
+
+    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, classes: int, shared: dict[int, tuple[int, int]]):
+        self.total, self.distinct, self.classes, self.single = total, distinct, classes, classes // 2
+        count = dict(zip(words, counts, strict=True))
+        words = [END, *(w for w in words if w != END)]
+        count.setdefault(END, 0)
+        hashes = self._hashes(words)
+        self.order = np.argsort(hashes[:, 0], kind="stable").astype(np.int32)
+        self.high, self.low = hashes[self.order, 0], hashes[self.order, 1]
+        if len(self.high) > 1 and (self.high[1:] == self.high[:-1]).any():
+            raise ValueError("two remembered words share the first half of their hash")
+        n = np.array([count[w] for w in words], dtype=np.float64)
+        self.known, self.log_count = n > 0, np.log10(n + 0.1)
+        totals, distinct_in = np.zeros(classes), np.zeros(classes)
         for c, (a, b) in shared.items():
-            n[SINGLE + c], v[SINGLE + c] = a, b
-        for w, c in zip(words, counts, strict=True):
-            if w in self.single:
-                k = self.single[w]
-                n[k] += c
-                n[SINGLE + suffix_class(w)] -= c
-                v[SINGLE + suffix_class(w)] -= 1
-        self.class_counts, self.class_log = n, np.log10(n + 0.1 * (v + 1))
-
-    def parts(self) -> tuple:
-        return self.number, self.single, self.log_count, self.class_log
+            totals[self.single + c], distinct_in[self.single + c] = a, b
+        for k, w in enumerate(words[: self.single]):
+            totals[k] = count[w]
+            if count[w]:
+                totals[self.single + self.suffix(w)] -= count[w]
+                distinct_in[self.single + self.suffix(w)] -= 1
+        self.class_counts, self.class_log = totals.clip(0), np.log10(totals + 0.1 * (distinct_in + 1))
+
+    @staticmethod
+    def _hashes(words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=">u8").reshape(-1, 2).astype(np.uint64)
+
+    def suffix(self, word: bytes) -> int:
+        return zlib.crc32(word[-3:]) % (self.classes - self.single)
+
+    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each word among the frequent ones (-1: beyond) and its class."""
+        hashes = self._hashes(words)
+        at = np.searchsorted(self.high, hashes[:, 0]).clip(max=len(self.high) - 1)
+        place = np.where((self.high[at] == hashes[:, 0]) & (self.low[at] == hashes[:, 1]), self.order[at], -1)
+        cls = np.fromiter(map(self.suffix, words), dtype=np.int32, count=len(words)) + self.single
+        return place, np.where((place >= 0) & (place < self.single), place, cls).astype(np.int32)
 
     @property
     def base_log(self) -> float:
         return log10(self.total + 0.1 * (self.distinct + 1))
 
 
-def suffix_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % SHARED
-
-
 def lexicon(counts: DataFrame) -> Lexicon:
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    classes = min(MOST, max(FEWEST, isqrt(totals["v"]) // 2 * 2))
     top = counts.orderBy(F.desc("n"), "word").limit(REMEMBERED).toArrow()
-    of = F.crc32(F.when(F.octet_length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))) % SHARED
+    of = F.crc32(F.when(F.octet_length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))) % (classes - classes // 2)
     shared = {r["c"]: (r["n"], r["v"]) for r in counts.groupBy(of.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    return Lexicon([bytes(w) for w in top["word"].to_pylist()], top["n"].to_pylist(), totals["n"], totals["v"], shared)
+    return Lexicon([bytes(w) for w in top["word"].to_pylist()], top["n"].to_pylist(), totals["n"], totals["v"], classes, shared)
 
 
 class Coded:
     """Texts as arrays over all their tokens: class, the two classes before, place among the frequent words (-1: beyond), text."""
 
-    def __init__(self, texts: list[bytes | None], number: dict[bytes, int], single: dict[bytes, int]):
-        words = tokens_of(texts)
-        own: dict[bytes, int] = defaultdict()
-        own.default_factory = own.__len__
-        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
-        ids = np.fromiter((own[w] for ws in words for w in ws), dtype=np.int64, count=int(self.sizes.sum()))
-        self.spelled = list(own)
-        place = np.fromiter((number.get(w, -1) for w in self.spelled), dtype=np.int64, count=len(self.spelled))
-        cls = np.fromiter((single[w] if w in single else SINGLE + suffix_class(w) for w in self.spelled), dtype=np.int64, count=len(self.spelled))
-        self.ids, self.place, self.cls = ids, place[ids], cls[ids]
+    def __init__(self, texts: pa.Array, lex: Lexicon):
+        self.spelled, self.ids, self.of = words_of(texts)
+        place, cls = lex.find(self.spelled.to_pylist())
+        self.place, self.cls = place[self.ids], cls[self.ids]
+        self.sizes = np.bincount(self.of, minlength=len(texts))
         first = np.cumsum(self.sizes) - self.sizes
-        self.before = np.concatenate(([0], self.cls[:-1]))
-        self.before2 = np.concatenate(([0, 0], self.cls[:-2]))[: len(ids)]
+        self.before = np.concatenate((self.cls[:1], self.cls[:-1]))
+        self.before2 = np.concatenate((self.cls[:2], self.cls[:-2]))[: len(self.cls)]
+        # before a text stands the end of another
         self.before[first] = self.before2[first] = 0
         second = first[self.sizes > 1] + 1
         self.before2[second] = 0
-        self.of = np.repeat(np.arange(len(texts)), self.sizes)
 
 
 class Model:
     """Context vectors r, target vectors q, biases b, and the scale of each context place."""
 
     def __init__(self, counts: np.ndarray):
-        rng = np.random.default_rng(17)
-        share = (counts + 0.1) / (counts.sum() + 0.1 * CLASSES)
+        rng, n = np.random.default_rng(17), len(counts)
+        share = (counts + 0.1) / (counts.sum() + 0.1 * n)
         self.noise = share
         self.p = {
-            "r": rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32), "q": rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32),
+            "r": rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32), "q": rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32),
             "b": np.log(share).astype(np.float32), "c": np.ones((2, WIDTH), dtype=np.float32),
         }
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.p.values()])
-
     def load(self, flat: np.ndarray) -> None:
         at = 0
         for k, x in self.p.items():
@@ -188,7 +215,7 @@ class Trainer:
         p, n = self.p, np.float32(len(w))
         r1, r2, c = p["r"][h1], p["r"][h2], p["c"]
         hidden = r1 * c[0] + r2 * c[1]
-        noise = np.searchsorted(self.steps, self.rng.random(NOISE) * self.steps[-1]).clip(0, CLASSES - 1)
+        noise = np.searchsorted(self.steps, self.rng.random(NOISE) * self.steps[-1]).clip(0, len(self.noise) - 1)
         qw, qn = p["q"][w], p["q"][noise]
         data = 1 / (1 + np.exp(np.clip((hidden * qw).sum(axis=1) + p["b"][w] - self.log_noise[w], -30, 30)))
         fake = -1 / (1 + np.exp(np.clip(-(hidden @ qn.T + p["b"][noise] - self.log_noise[noise]), -30, 30)))
@@ -196,7 +223,7 @@ class Trainer:
         g = {k: np.zeros_like(v) for k, v in p.items()}
         self._scatter(g["q"], w, data[:, None] * hidden / n)
         np.add.at(g["q"], noise, fake.T @ hidden / n)
-        g["b"] += (np.bincount(w, weights=data, minlength=CLASSES) + np.bincount(noise, weights=fake.sum(axis=0), minlength=CLASSES)).astype(np.float32) / n
+        g["b"] += (np.bincount(w, weights=data, minlength=len(self.noise)) + np.bincount(noise, weights=fake.sum(axis=0), minlength=len(self.noise))).astype(np.float32) / n
         self._scatter(g["r"], h1, dh * c[0])
         self._scatter(g["r"], h2, dh * c[1])
         g["c"][0], g["c"][1] = (dh * r1).sum(axis=0), (dh * r2).sum(axis=0)
@@ -206,10 +233,9 @@ class Trainer:
         self.tokens += len(w)
 
 
-def train(docs: DataFrame, lex: Lexicon, text: str = "text", seed_column: str = "doc_id") -> Model:
-    """The model after all rounds over ``docs``."""
-    model, context = Model(lex.class_counts.clip(0)), docs.sparkSession.sparkContext
-    words = context.broadcast((lex.number, lex.single))
+def train(docs: DataFrame, lex: Lexicon, shared: Broadcast, text: str = "text", seed_column: str = "doc_id") -> Model:
+    """The model after all rounds over ``docs``; ``shared`` holds ``lex``."""
+    model, context = Model(lex.class_counts), docs.sparkSession.sparkContext
     for k, (low, high) in enumerate(ROUNDS):
         start = context.broadcast((model.p, model.noise))
         share = F.pmod(F.xxhash64(F.lit("round"), seed_column, text), F.lit(100))
@@ -217,18 +243,15 @@ def train(docs: DataFrame, lex: Lexicon, text: str = "text", seed_column: str =
         def run(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
             part = TaskContext.get().partitionId()
             trainer = Trainer(*start.value, seed=1000 * k + part)
-            number, single = words.value
-            for _, texts in slices(batches, "text", STRETCH):
-                x = Coded(texts, number, single)
+            for texts in parts(batches, "text", STRETCH):
+                x = Coded(texts.column(0), shared.value)
                 order = np.random.default_rng(part).permutation(len(x.cls))
-                # at least 64 steps over a stretch of text, however short it is
-                batch = min(BATCH, max(32, len(order) // 64))
-                for at in range(0, len(order), batch):
-                    i = order[at : at + batch]
+                for at in range(0, len(order), BATCH):
+                    i = order[at : at + BATCH]
                     trainer.step(x.cls[i], x.before[i], x.before2[i])
             if trainer.tokens:
                 flat = np.concatenate([v.ravel() for v in trainer.p.values()]).astype("<f8") * trainer.tokens
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([trainer.tokens], pa.int64()), pa.array([flat.astype("<f8").tobytes()], pa.binary())], ["part", "tokens", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([trainer.tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "tokens", "sums"])
 
         def added(t: pa.Table) -> pa.Table:
             t = t.sort_by("part")
@@ -242,32 +265,32 @@ def train(docs: DataFrame, lex: Lexicon, text: str = "text", seed_column: str =
         n = sum(sums["tokens"].to_pylist())
         if n:
             model.load(sum(np.frombuffer(x.as_py(), dtype="<f8") for x in sums["sums"]) / n)
+        start.destroy()
     return model
 
 
 PARTIAL = "doc_id {id}, held_out boolean, n_tokens long, n_known long, logs double, chain double, within double, beyond array<binary>"
 
 
-def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, shared: Broadcast, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text; ``counts``: a written table."""
-    shared = docs.sparkSession.sparkContext.broadcast((*lex.parts(), *model.tables()))
+    tables = docs.sparkSession.sparkContext.broadcast(model.tables())
     names = [x.split()[0] for x in PARTIAL.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, single, log_count, class_log, a1, a2, norm = shared.value
-        for part, texts in slices(batches, "text", STRETCH):
-            x = Coded(texts, number, single)
-            n = len(texts)
+        lex, (a1, a2, norm) = shared.value, tables.value
+        for part in parts(batches, "text", STRETCH):
+            x = Coded(part.column(2), lex)
+            n = part.num_rows
             total = lambda v: np.bincount(x.of, weights=v, minlength=n)
-            known, joint = x.place >= 0, x.cls >= SINGLE
-            logs = np.where(known, log_count[x.place], 0) if len(log_count) else np.zeros(len(x.place))
-            chain = (a1[x.cls, x.before] + a2[x.cls, x.before2] - norm[x.before, x.before2]).astype(np.float64) / np.log(10)
-            within = np.where(joint, logs - class_log[x.cls], 0)
-            ends = np.cumsum(x.sizes)
-            far = np.flatnonzero(~known)
-            cuts = np.searchsorted(far, np.concatenate(([0], ends)))
-            beyond = [[x.spelled[i] for i in x.ids[far[a:z]]] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x.sizes), pa.array(total(known).astype(np.int64)), pa.array(total(logs)), pa.array(total(chain)), pa.array(total(within)), pa.array(beyond, pa.list_(pa.binary()))], names)
+            near = x.place >= 0
+            logs = np.where(near, lex.log_count[x.place], 0)
+            chain = total(a1[x.cls, x.before] + a2[x.cls, x.before2] - norm[x.before, x.before2]) / np.log(10)
+            within = np.where(x.cls >= lex.single, logs - lex.class_log[x.cls], 0)
+            far = np.flatnonzero(~near)
+            starts = np.searchsorted(far, np.concatenate(([0], np.cumsum(x.sizes))))
+            beyond = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x.spelled.take(pa.array(x.ids[far])))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x.sizes), pa.array(total(near & lex.known[x.place]).astype(np.int64)), pa.array(total(logs)), pa.array(chain), pa.array(total(within)), beyond], names)
 
     base = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
     partial = written(base.mapInArrow(run, PARTIAL.format(id=dict(docs.dtypes)[doc_id])).withColumn("row", F.monotonically_increasing_id()), "partial")
@@ -281,9 +304,14 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model, doc_id
     )
 
 
-def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    training = docs.where(~held_out(F.col("doc_id")))
-    counts = written(count_tokens(training), "counts")
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Counts, model and scores of ``docs``: all steps in order."""
+    training = docs.where(~held_out(F.col(doc_id)))
+    counts = written(count_tokens(training, text), "counts")
     lex = lexicon(counts)
-    return score(docs, counts, lex, train(training, lex))
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    return score(docs, counts, lex, shared, train(training, lex, shared, text, doc_id), doc_id, text)
+
+
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
