@@ -38,10 +38,10 @@ END = b""
 WIDTH, REMEMBERED = 24, 400_000
 #: Classes grow as the root of the number of distinct words, between these bounds; half are single words. The upper one
 #: bounds a worker's tables, which have a place for every pair of classes.
-FEWEST, MOST = 64, 1536
+FEWEST, MOST = 512, 1536
 #: Share of the training documents in each round, in hundredths, and the rate of learning.
-ROUNDS, RATE = ((0, 20), (20, 100)), 0.4
-BATCH, NOISE = 256, 64
+ROUNDS, RATE = ((0, 20), (20, 100)), 0.5
+BATCHES, NOISE = (16, 512), 64
 #: Bytes of text that are coded at once, and distinct words that a counting task holds.
 STRETCH, HELD = 4 << 20, 400_000
 
@@ -168,16 +168,13 @@ class Coded:
 
 
 class Model:
-    """Context vectors r, target vectors q, biases b, and the scale of each context place."""
+    """Context vectors r, target vectors q with the bias as a last column, and the scale c of each context place."""
 
     def __init__(self, counts: np.ndarray):
         rng, n = np.random.default_rng(17), len(counts)
-        share = (counts + 0.1) / (counts.sum() + 0.1 * n)
-        self.noise = share
-        self.p = {
-            "r": rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32), "q": rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32),
-            "b": np.log(share).astype(np.float32), "c": np.ones((2, WIDTH), dtype=np.float32),
-        }
+        self.noise = (counts + 0.1) / (counts.sum() + 0.1 * n)
+        q = np.concatenate((rng.normal(0, 0.1, (n, WIDTH)), np.log(self.noise)[:, None]), axis=1)
+        self.p = {"r": rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32), "q": q.astype(np.float32), "c": np.ones((2, WIDTH), dtype=np.float32)}
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
@@ -188,48 +185,52 @@ class Model:
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """a1[target, before], a2[target, before2] with the bias in a1, and the log normaliser of every (before, before2)."""
         r, q, c = (self.p[k].astype(np.float64) for k in "rqc")
-        a1, a2 = (q * c[0]) @ r.T + self.p["b"].astype(np.float64)[:, None], (q * c[1]) @ r.T
+        a1, a2 = (q[:, :-1] * c[0]) @ r.T + q[:, -1:], (q[:, :-1] * c[1]) @ r.T
         m1, m2 = a1.max(axis=0), a2.max(axis=0)
         z = np.exp(a1 - m1).T @ np.exp(a2 - m2)
         return a1.astype(np.float32), a2.astype(np.float32), (np.log(z) + m1[:, None] + m2[None, :]).astype(np.float32)
 
 
 class Trainer:
-    """Noise-contrastive estimation by Adagrad, with noise shared in a batch."""
+    """Noise-contrastive estimation by Adagrad, with noise shared in a batch; a step touches the rows of its own classes only."""
 
     def __init__(self, p: dict[str, np.ndarray], noise: np.ndarray, seed: int):
-        self.p, self.noise = {k: v.copy() for k, v in p.items()}, noise
+        self.p = {k: v.copy() for k, v in p.items()}
         self.log_noise = np.log(noise * NOISE).astype(np.float32)
         self.seen = {k: np.full_like(v, 1e-2) for k, v in p.items()}
         self.rng, self.tokens = np.random.default_rng(seed), 0
         self.steps = np.cumsum(noise)
 
-    @staticmethod
-    def _scatter(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    @property
+    def batch(self) -> int:
+        """Tokens of the next step: a share of those seen, so that steps are short at first."""
+        return min(BATCHES[1], max(BATCHES[0], self.tokens // 64))
+
+    def _climb(self, k: str, at: np.ndarray, rows: np.ndarray) -> None:
+        """Adds up the gradients of equal rows and takes a step along each."""
         order = np.argsort(at, kind="stable")
         ordered = at[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        to[ordered[first]] += np.add.reduceat(rows[order], first, axis=0)
+        own, g = ordered[first], np.add.reduceat(rows[order], first, axis=0)
+        seen = self.seen[k][own] + g * g
+        self.seen[k][own] = seen
+        self.p[k][own] += np.float32(RATE) * g / np.sqrt(seen)
 
     def step(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
         p, n = self.p, np.float32(len(w))
         r1, r2, c = p["r"][h1], p["r"][h2], p["c"]
-        hidden = r1 * c[0] + r2 * c[1]
-        noise = np.searchsorted(self.steps, self.rng.random(NOISE) * self.steps[-1]).clip(0, len(self.noise) - 1)
+        hidden = np.ones((len(w), WIDTH + 1), dtype=np.float32)
+        hidden[:, :-1] = r1 * c[0] + r2 * c[1]
+        noise = np.searchsorted(self.steps, self.rng.random(NOISE) * self.steps[-1]).clip(0, len(self.steps) - 1)
         qw, qn = p["q"][w], p["q"][noise]
-        data = 1 / (1 + np.exp(np.clip((hidden * qw).sum(axis=1) + p["b"][w] - self.log_noise[w], -30, 30)))
-        fake = -1 / (1 + np.exp(np.clip(-(hidden @ qn.T + p["b"][noise] - self.log_noise[noise]), -30, 30)))
-        dh = (data[:, None] * qw + fake @ qn) / n
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        self._scatter(g["q"], w, data[:, None] * hidden / n)
-        np.add.at(g["q"], noise, fake.T @ hidden / n)
-        g["b"] += (np.bincount(w, weights=data, minlength=len(self.noise)) + np.bincount(noise, weights=fake.sum(axis=0), minlength=len(self.noise))).astype(np.float32) / n
-        self._scatter(g["r"], h1, dh * c[0])
-        self._scatter(g["r"], h2, dh * c[1])
-        g["c"][0], g["c"][1] = (dh * r1).sum(axis=0), (dh * r2).sum(axis=0)
-        for k, x in g.items():
-            self.seen[k] += x * x
-            p[k] += np.float32(RATE if k != "c" else RATE / 10) * x / np.sqrt(self.seen[k])
+        data = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", hidden, qw) - self.log_noise[w], -30, 30))) / n
+        fake = -1 / (1 + np.exp(np.clip(self.log_noise[noise] - hidden @ qn.T, -30, 30))) / n
+        dh = (data[:, None] * qw + fake @ qn)[:, :-1]
+        scale = np.stack([np.einsum("ij,ij->j", dh, r1), np.einsum("ij,ij->j", dh, r2)])
+        self._climb("q", np.concatenate((w, noise)), np.concatenate((data[:, None] * hidden, fake.T @ hidden)))
+        self._climb("r", np.concatenate((h1, h2)), np.concatenate((dh * c[0], dh * c[1])))
+        self.seen["c"] += scale * scale
+        p["c"] += np.float32(RATE / 10) * scale / np.sqrt(self.seen["c"])
         self.tokens += len(w)
 
 
@@ -246,9 +247,11 @@ def train(docs: DataFrame, lex: Lexicon, shared: Broadcast, text: str = "text",
             for texts in parts(batches, "text", STRETCH):
                 x = Coded(texts.column(0), shared.value)
                 order = np.random.default_rng(part).permutation(len(x.cls))
-                for at in range(0, len(order), BATCH):
-                    i = order[at : at + BATCH]
+                at = 0
+                while at < len(order):
+                    i = order[at : at + trainer.batch]
                     trainer.step(x.cls[i], x.before[i], x.before2[i])
+                    at += len(i)
             if trainer.tokens:
                 flat = np.concatenate([v.ravel() for v in trainer.p.values()]).astype("<f8") * trainer.tokens
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([trainer.tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "tokens", "sums"])
