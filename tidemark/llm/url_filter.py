@@ -3,11 +3,13 @@
 A rule names a host and a path prefix and fits that host and its subdomains; the longest fitting rule decides.
 A url that no rule fits takes the decision of its aliases: urls tied by redirects (given, or a page's meta
 refresh) and canonical links form components, found by distributed label contraction. In a component an
-explicit allow takes precedence over any block; a block without an allow blocks all; else urls are allowed.
+explicit allow takes precedence over any block; a block without an allow blocks all; else urls are allowed. Aliases are
+compared in one normal form (``normal_url``), links resolved as RFC 3986 has it.
 
 Defined cases. Null url or one without ``://``: host and path empty, no rule, no links, allowed. Null html: no
 links. Repeated pages: each is judged. Equally long rules: the longer host, then allow. No pages or no rules:
-no rows, or all allowed. Further columns are ignored.
+no rows, or all allowed. Further columns are ignored. Very long html is read whole, by regular expressions that don't
+recurse; it is held once or twice by a task.
 """
 
 from __future__ import annotations
@@ -74,31 +76,76 @@ def judged(urls: DataFrame, rules: Sequence[Rule], host: str = "host", path: str
     return urls.join(best, [host, path], "left")
 
 
-def _node(url: Column) -> Column:
-    """A url as a node: without fragment, scheme and host in lower case."""
-    bare = F.regexp_extract(url, "^[^#]*", 0)
-    head = F.regexp_extract(bare, "^[^/?#]*//[^/?#]*", 0)
-    return F.when(F.instr(bare, "://") > 0, F.concat(F.translate(head, UPPER, LOWER), F.substring(bare, F.length(head) + 1, F.length(bare))))
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, without its ``.`` and ``..`` steps (RFC 3986, 5.2.4)."""
+    step = lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    # a path that ends in such a step ends in a slash
+    bare = F.concat(F.array_join(kept, "/"), F.when(F.regexp_like(path, F.lit(r"/\.{1,2}$")), "/").otherwise(""))
+    return F.when(F.regexp_like(path, F.lit(r"/\.{1,2}(/|$)")), bare).otherwise(path)
 
 
-def _resolved(link: Column, base: Column) -> Column:
-    """A link of a page as an absolute url."""
-    root, folder = F.regexp_extract(base, "^[^/?#]*//[^/?#]*", 0), F.regexp_extract(base, "^[^?#]*/", 0)
-    return (
-        F.when(link == "", None)
-        .when(F.instr(link, "://") > 0, link)
+def normal_url(url: Column) -> Column:
+    """The spelling in which urls are compared: no white space around, no fragment, scheme and host in lower case, no default or empty port, a path without dot steps that is ``/`` at least. Null without ``://``."""
+    part = lambda k: F.regexp_extract(url, r"^[\x00-\x20]*([^:/?#]*)://([^/?#\s]*)([^?#\s]*)(\?[^#\s]*)?", k)
+    scheme, place = F.translate(part(1), UPPER, LOWER), part(2)
+    user = F.regexp_extract(place, "^.*@", 0)
+    host = F.translate(F.substring(place, F.length(user) + 1, F.length(place)), UPPER, LOWER)
+    default = F.when(scheme == "http", F.regexp_replace(host, ":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, ":(443)?$", "")).otherwise(F.regexp_replace(host, ":$", ""))
+    path = F.when(part(3) == "", "/").otherwise(_without_dots(part(3)))
+    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), user, default, path, part(4)))
+
+
+def _decoded(value: Column) -> Column:
+    """An attribute without the entities that urls need, and without white space around."""
+    out = F.regexp_replace(value, "(?i)&(quot|#34|#x22);", '"')
+    for pattern, plain in (("&(apos|#39|#x27);", "'"), ("&(lt|#60|#x3c);", "<"), ("&(gt|#62|#x3e);", ">"), ("&(amp|#38|#x26);", "&")):
+        out = F.regexp_replace(out, "(?i)" + pattern, plain)
+    return F.regexp_replace(out, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or bare; empty without it. Others that end in ``name`` (``data-href``) don't count."""
+    value = F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return F.regexp_replace(value, "^[\"']|[\"']$", "")
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """A link as an absolute url in normal form (RFC 3986, 5.2.2), from a base in normal form; null for other schemes and for links within the page."""
+    root, folder, page = (F.regexp_extract(base, p, 0) for p in ("^[^/?#]*//[^/?#]*", "^[^?#]*/", "^[^?#]*"))
+    whole = (
+        F.when((link == "") | F.startswith(link, F.lit("#")), None)
+        .when(F.regexp_like(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*://")), link)
+        .when(F.regexp_like(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), None)
         .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, "^[^/?#]*", 0), link))
         .when(F.startswith(link, F.lit("/")), F.concat(root, link))
-        .otherwise(F.concat(F.when(F.length(folder) > F.length(root), folder).otherwise(F.concat(root, F.lit("/"))), link))
+        .when(F.startswith(link, F.lit("?")), F.concat(page, link))
+        .otherwise(F.concat(folder, link))
     )
+    return normal_url(whole)
+
+
+#: A tag with its attributes, whose quoted values may hold ``>``.
+_TAG = r"(?is)<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """from_url, to_url of the canonical link and of the meta refresh that whole pages declare."""
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
-    links = pages.where(F.col(url).contains("://")).select(F.col(url).alias("from_url"), F.explode(F.array_distinct(F.array(canonical, refresh))).alias("link"))
-    return links.where("link <> ''").select("from_url", _resolved(F.col("link"), F.col("from_url")).alias("to_url"))
+    """from_url, to_url (both in normal form) of the canonical link and of the meta refresh that whole pages declare.
+
+    The first of each counts. Comments and scripts declare nothing. Links are relative to the page, or to its first ``base``.
+    """
+    read = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>", " ")
+    tags = pages.select(normal_url(F.col(url)).alias("from_url"), F.regexp_extract_all(read, F.lit(_TAG), F.lit(0)).alias("tags")).where("from_url is not null and size(tags) > 0")
+    is_a = lambda t, name: F.startswith(F.lower(t), F.lit("<" + name))
+    href = lambda t: _decoded(_attribute(t, "href"))
+    base = F.get(F.filter(F.transform(F.filter("tags", lambda t: is_a(t, "base")), href), lambda x: x != ""), 0)
+    based = tags.select("from_url", "tags", F.coalesce(resolved(base, F.col("from_url")), F.col("from_url")).alias("base"))
+    canonical = F.filter("tags", lambda t: is_a(t, "link") & F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical") & (href(t) != ""))
+    # the url of a refresh may be quoted within the attribute
+    target = lambda t: F.regexp_replace(F.regexp_extract(_decoded(_attribute(t, "content")), r"(?is)^[\d.\s]*[;,]?\s*url\s*=\s*(\"[^\"]*|'[^']*|\S+)", 1), "^[\"']", "")
+    refresh = F.filter("tags", lambda t: is_a(t, "meta") & (F.lower(_attribute(t, "http-equiv")) == "refresh") & (target(t) != ""))
+    links = F.array_compact(F.array(href(F.get(canonical, 0)), target(F.get(refresh, 0))))
+    return based.select("from_url", "base", F.explode(links).alias("link")).select("from_url", resolved(F.col("link"), F.col("base")).alias("to_url")).where("to_url is not null")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -108,16 +155,16 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame |
     """
     links = page_links(pages, url, html)
     if redirects is not None:
-        links = links.unionByName(redirects.select("from_url", "to_url"))
-    edges = links.select(_node(F.col("from_url")).alias("a"), _node(F.col("to_url")).alias("b"))
-    member = written(components(edges, "a", "b"), "aliases")
+        source = normal_url(F.col("from_url"))
+        links = links.unionByName(redirects.select(source.alias("from_url"), resolved(F.col("to_url"), source).alias("to_url")))
+    member = written(components(links, "from_url", "to_url"), "aliases")
     host, path = url_parts(F.col("node"))
     ruled = judged(member.withColumns({"host": host, "path": path}), rules)
     decided = ruled.groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("allowed"), F.bool_or(F.col("verdict") == "block").alias("blocked"))
     decided = written(decided.select("component", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow").alias("inherited")), "decided")
     alias = written(member.join(decided, "component"), "inherited")
     host, path = url_parts(F.col("url"))
-    bare = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).withColumns({"host": host, "path": path, "node": _node(F.col("url"))})
+    bare = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).withColumns({"host": host, "path": path, "node": normal_url(F.col("url"))})
     out = judged(bare, rules).join(alias, "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "inherited", F.lit("allow")).alias("verdict"), "component")
 
