@@ -69,3 +69,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
     """``parts`` and their texts as bytes (None: null)."""
     for part in parts(batches, column, most):
         yield part, part.column(part.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts (binary), and for every word its number among them and its text."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    of = split.flatten().dictionary_encode()
+    spelled, index = of.dictionary.cast(pa.binary()), of.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), split.value_lengths().to_numpy(zero_copy_only=False))
+    # the split leaves empty strings at a text's ends
+    empty = pc.index(spelled, pa.scalar(b"", pa.binary())).as_py()
+    if empty < 0:
+        return spelled, index, text
+    real = index != empty
+    index, text = index[real], text[real]
+    return pa.concat_arrays([spelled.slice(0, empty), spelled.slice(empty + 1)]), index - (index > empty), text

@@ -31,7 +31,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import parts, table, written
+from tidemark.llm.common import parts, table, words_of, written
 
 #: The end of a document as a token; no word is empty.
 END = b""
@@ -50,20 +50,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct tokens (binary), and for every token its number among them and its text; the end of each text is its last token."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
-    of = split.flatten().dictionary_encode()
-    spelled, index = of.dictionary.cast(pa.binary()), of.indices.to_numpy()
-    # the split leaves empty strings at a text's ends
-    empty = pc.index(spelled, pa.scalar(END, pa.binary())).as_py()
-    if empty < 0:
-        empty, spelled = len(spelled), pa.concat_arrays([spelled, pa.array([END], pa.binary())])
-    text = np.repeat(np.arange(len(texts), dtype=np.int32), split.value_lengths().to_numpy(zero_copy_only=False))
-    real = index != empty
-    index, text = index[real], text[real]
+    spelled, index, text = words_of(pc.ascii_lower(texts.cast(pa.string())))
     ends = np.cumsum(np.bincount(text, minlength=len(texts)))
-    return spelled, np.insert(index, ends, empty), np.insert(text, ends, np.arange(len(texts), dtype=np.int32))
+    return pa.concat_arrays([spelled, pa.array([END], pa.binary())]), np.insert(index, ends, len(spelled)), np.insert(text, ends, np.arange(len(texts), dtype=np.int32))
 
 
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -76,7 +67,7 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for part in parts(batches, "text", STRETCH):
-            spelled, index, _ = words_of(part.column(0))
+            spelled, index, _ = tokens_of(part.column(0))
             n = np.bincount(index, minlength=len(spelled))
             held.append(pa.table({"word": spelled.filter(pa.array(n > 0)), "n": pa.array(n[n > 0])}))
             rows += len(held[-1])
@@ -154,7 +145,7 @@ class Coded:
     """Texts as arrays over all their tokens: class, the two classes before, place among the frequent words (-1: beyond), text."""
 
     def __init__(self, texts: pa.Array, lex: Lexicon):
-        self.spelled, self.ids, self.of = words_of(texts)
+        self.spelled, self.ids, self.of = tokens_of(texts)
         place, cls = lex.find(self.spelled.to_pylist())
         self.place, self.cls = place[self.ids], cls[self.ids]
         self.sizes = np.bincount(self.of, minlength=len(texts))

@@ -1,27 +1,28 @@
 """Quality rules: base counts, and a classifier over hashed word and character n-grams.
 
 Base counts are exact for whole texts. The classifier is a logistic regression on the mean of hashed features
-(words, word pairs, byte 3-grams and 5-grams), trained on labelled rows: at most ``sample`` of each class, those with the
+(words, word pairs, and 3-grams and 5-grams of characters, as code points), trained on labelled rows: at most ``sample`` of each class, those with the
 least hash of their id. A fifth of them is held out to calibrate probabilities (Platt), weighted to the share that
 each class has among all labels. Texts are scored in Arrow batches and kept at a fixed probability.
 
 Defined cases. Null text: no words, so it fails the base. Null labels or ids without a text: not trained on. Repeated
 ids among the labels: each row counts. Labels of one class or none: the classifier keeps all. Repeated rows: alike.
 Empty table: no rows. Further columns are ignored, or kept by ``keep_good``; those named like the added ones are too.
+A very long text is held whole, its words and code points as arrays of some twenty times its bytes, and hashed in pieces.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, table
+from tidemark.llm.common import parts, table, words_of
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 1000
@@ -30,6 +31,8 @@ KEEP_AT = 0.5
 #: Fewest words, and the largest percentage of them in repeated windows.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 DIMENSION, KINDS = 1 << 16, 4
+#: Words or characters that are hashed at once.
+PIECE = 1 << 20
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -54,17 +57,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Slice:
     """Whole texts as arrays: their bytes, and their words as numbers (equal words, equal numbers)."""
 
-    def __init__(self, texts: list[bytes | None]):
-        self.texts = [t or b"" for t in texts]
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        self.texts = texts.cast(pa.binary()).to_pylist()
         self.n_bytes = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.bytes = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
-        words = [t.split() for t in self.texts]
-        self.n_words = np.array([len(w) for w in words], dtype=np.int64)
-        number: dict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        self.words = np.fromiter((number[w] for ws in words for w in ws), dtype=np.int64, count=int(self.n_words.sum()))
-        self.spelled = list(number)
-        self.of = np.repeat(np.arange(len(self.texts)), self.n_words)
+        self.spelled, self.words, self.of = words_of(texts)
+        self.n_words = np.bincount(self.of, minlength=len(self.texts))
 
     def base(self) -> dict[str, np.ndarray]:
         starts = (self.bytes & 0xC0) != 0x80
@@ -101,29 +100,32 @@ class Slice:
         return _sums(np.cumsum(marks[:-1]) > 0, self.n_words)
 
     def features(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each kind: its number, hashed features, and the text of each."""
+        """For each kind, in pieces: its number, hashed features, and the text of each."""
         shift = np.uint64(64 - DIMENSION.bit_length() + 1)
-        data = np.frombuffer(b"".join(self.spelled), dtype=np.uint8).astype(np.uint64)
-        sizes = np.array([len(w) for w in self.spelled], dtype=np.int64)
-        if len(sizes):
+        if len(self.spelled):
             # a word's hash: its bytes, mixed with their places
-            place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            data = np.frombuffer(b"".join(self.spelled.to_pylist()), dtype=np.uint8).astype(np.uint64)
+            sizes = pc.binary_length(self.spelled).to_numpy().astype(np.int64)
             firsts = np.cumsum(sizes) - sizes
+            place = np.arange(len(data)) - np.repeat(firsts, sizes)
             own = _mix(np.add.reduceat(_mix(data + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(7)), firsts))
-            w = own[self.words]
-            yield 0, (w >> shift).astype(np.int64), self.of
-            pair = self.of[:-1] == self.of[1:]
-            yield 1, (_mix(w[:-1] * np.uint64(3) + w[1:])[pair] >> shift).astype(np.int64), self.of[:-1][pair]
-        text = np.repeat(np.arange(len(self.texts)), self.n_bytes)
-        wide = self.bytes.astype(np.uint64)
+            for a in range(0, len(self.words), PIECE):
+                w, of = own[self.words[a : a + PIECE + 1]], self.of[a : a + PIECE + 1]
+                yield 0, (w[:PIECE] >> shift).astype(np.int64), of[:PIECE]
+                pair = of[:-1] == of[1:]
+                yield 1, (_mix(w[:-1] * np.uint64(3) + w[1:])[pair] >> shift).astype(np.int64), of[:-1][pair]
+        points = [t.decode("utf-8", "replace").encode("utf-32-le") for t in self.texts]
+        text = np.repeat(np.arange(len(points), dtype=np.int32), [len(x) // 4 for x in points])
+        wide = np.frombuffer(b"".join(points), dtype="<u4")
         for kind, n in ((2, 3), (3, 5)):
-            m = len(wide) - n + 1
-            if m > 0:
+            for a in range(0, len(wide) - n + 1, PIECE):
+                x, of = wide[a : a + PIECE + n - 1].astype(np.uint64), text[a : a + PIECE + n - 1]
+                m = len(x) - n + 1
                 code = np.zeros(m, dtype=np.uint64)
                 for k in range(n):
-                    code = (code << np.uint64(8)) | wide[k : k + m]
-                within = text[:m] == text[n - 1 :]
-                yield kind, ((code * np.uint64(0x9E3779B97F4A7C15))[within] >> shift).astype(np.int64), text[:m][within]
+                    code = code * np.uint64(0x100000001B3) + x[k : k + m]
+                within = of[:m] == of[n - 1 :]
+                yield kind, ((code * np.uint64(0x9E3779B97F4A7C15))[within] >> shift).astype(np.int64), of[:m][within]
 
 
 @dataclass
@@ -136,11 +138,11 @@ class Model:
     offset: float
 
     def score(self, s: Slice) -> np.ndarray:
-        out = np.full(len(s.texts), self.bias)
+        n, total = np.zeros((KINDS, len(s.texts))), np.zeros((KINDS, len(s.texts)))
         for kind, feature, text in s.features():
-            n = np.bincount(text, minlength=len(out))
-            out += np.bincount(text, weights=self.weights[kind, feature], minlength=len(out)) / np.maximum(n, 1)
-        return out
+            n[kind] += np.bincount(text, minlength=len(s.texts))
+            total[kind] += np.bincount(text, weights=self.weights[kind, feature], minlength=len(s.texts))
+        return self.bias + (total / np.maximum(n, 1)).sum(axis=0)
 
     def probability(self, s: Slice) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.score(s) + self.offset, -50, 50)))
@@ -159,17 +161,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, do
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(chosen, "doc_id").select("text", "quality", "held", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, values in slices(batches, "text"):
-            rows = [[] for _ in values]
-            for kind, feature, of in Slice(values).features():
-                total = np.maximum(np.bincount(of, minlength=len(values)), 1)
-                key, n = np.unique(of * DIMENSION + feature, return_counts=True)
-                doc = key // DIMENSION
-                for d, (a, z) in enumerate(zip(*(np.searchsorted(doc, np.arange(len(values)), x) for x in ("left", "right")), strict=True)):
-                    rows[d].append((key[a:z] % DIMENSION + kind * DIMENSION, n[a:z] / total[d]))
-            feature = [np.concatenate([x for x, _ in r] or [np.zeros(0)]).astype(np.int32) for r in rows]
-            value = [np.concatenate([x for _, x in r] or [np.zeros(0)]).astype(np.float32) for r in rows]
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(feature, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["quality", "held", "doc_id", "feature", "value"])
+        for part in parts(batches, "text", 1 << 20):
+            n = part.num_rows
+            key, count, total = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((KINDS, n))
+            for kind, feature, of in Slice(part.column(0)).features():
+                total[kind] += np.bincount(of, minlength=n)
+                key, at = np.unique(np.concatenate((key, (of.astype(np.int64) * KINDS + kind) * DIMENSION + feature)), return_inverse=True)
+                count = np.bincount(at, weights=np.concatenate((count, np.ones(len(feature)))))
+            doc, feature = np.divmod(key, KINDS * DIMENSION)
+            value = count / total[feature // DIMENSION, doc]
+            ends = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), *lists], ["quality", "held", "doc_id", "feature", "value"])
 
     got = texts.mapInArrow(run, f"quality int, held boolean, doc_id {dict(docs.dtypes)[doc_id]}, feature array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     rows = [(q, h, f.values.to_numpy(), v.values.to_numpy()) for q, h, f, v in zip(got["quality"].to_pylist(), got["held"].to_pylist(), got["feature"], got["value"], strict=True)]
@@ -218,12 +221,12 @@ def judge(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value and Model(*shared.value)
-        for part, texts in slices(batches, "text", 1 << 20):
-            s = Slice(texts)
+        for part in parts(batches, "text", 1 << 20):
+            s = Slice(part.column(1))
             base = s.base()
             p = model.probability(s) if model else None
             kept = ~base["base_failed"] & (p >= keep_at if model else True)
-            scores = pa.array(p) if model else pa.nulls(len(texts), pa.float64())
+            scores = pa.array(p) if model else pa.nulls(part.num_rows, pa.float64())
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(base[x]) for x in names], scores, pa.array(kept)], ["row", *names, "probability", "kept"])
 
     schema = docs.select(F.struct(*docs.columns).alias("row")).schema.simpleString().removeprefix("struct<").removesuffix(">")
