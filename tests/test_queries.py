@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans.catalog import QUERIES, SQL
+
+QUERIES, SQL = entry.catalog.QUERIES, entry.catalog.SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

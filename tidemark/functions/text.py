@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,10 +99,9 @@ def money(c: Column) -> Column:
 
 def capacity_mw(c: Column) -> Column:
     """The largest power in a text, in MW; energy units aren't power."""
-    hit = r"(?i)(\d+(?:\.\d+)?)\s*(GWp?|MWp?|kWp?|吉瓦|兆瓦|千瓦)(?!h|时)"
-    values, units = F.regexp_extract_all(c, F.lit(hit), F.lit(1)), F.regexp_extract_all(c, F.lit(hit), F.lit(2))
-    scaled = F.zip_with(values, units, lambda v, u: v.cast("double") * F.when(F.lower(u).isin("gw", "gwp", "吉瓦"), 1000.0).when(F.lower(u).isin("kw", "kwp", "千瓦"), 0.001).otherwise(1.0))
-    return F.array_max(scaled)
+    hits = F.regexp_extract_all(c, F.lit(r"(?i)\d+(?:\.\d+)?\s*(?:GWp?|MWp?|kWp?|吉瓦|兆瓦|千瓦)(?!h|时)"), F.lit(0))
+    scale = lambda u: F.when(u.isin("gw", "gwp", "吉瓦"), 1000.0).when(u.isin("kw", "kwp", "千瓦"), 0.001).otherwise(1.0)
+    return F.array_max(F.transform(hits, lambda h: F.regexp_extract(h, r"^[\d.]+", 0).cast("double") * scale(F.lower(F.regexp_extract(h, r"[^\d.\s]+$", 0)))))
 
 
 def parse_datetime(c: Column, year: int, default_hour: int = 17) -> Column:
@@ -145,9 +145,9 @@ def matched_terms(text: Column, terms: Sequence[str]) -> Column:
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
-    """One of the terms occurs, whatever its case; one scan of the text for all of them."""
+    """One of the terms occurs, whatever its case: a search of bytes for each, which is cheaper than one alternation."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.regexp_like(low, F.lit("|".join(re.escape(t.lower()) for t in terms))) if terms else F.lit(False)
+    return bind(low, lambda t: reduce(or_, [F.contains(t, F.lit(x.lower())) for x in terms])) if terms else F.lit(False)
 
 
 def contains_all(text: Column, query: str) -> Column:

@@ -19,37 +19,36 @@ MARKERS = ("投标截止时间前", "开标前", "截止前下载", "自行下
 
 
 def with_schedules(notices: DataFrame, year: int) -> DataFrame:
-    """Adds start, deadline and raw text of each schedule; a lone date with 截止 is a deadline only.
+    """Adds start, deadline and raw text of each schedule in the column ``_cut``; a lone date with 截止 is a deadline only.
 
     Step by step, each a projection of its own, so that no text is scanned and no date parsed twice.
     """
-    kinds, text = X.SCHEDULE_LABELS, F.coalesce("text", F.lit(""))
-    out = notices.withColumns({f"_{k}{part}": X.schedule_head(text, labels, part) for k, labels in kinds.items() for part in (1, 2)})
-    out = out.withColumns({f"_{k}3": X.schedule_window(F.col(f"_{k}1"), F.col(f"_{k}2")) for k in kinds})
-    out = out.withColumns({f"_{k}4": X.dates_in(F.col(f"_{k}3"), year) for k in kinds})
+    kinds = X.SCHEDULE_LABELS
+    out = notices.withColumns({f"_{k}1": X.schedule_window(F.col("_cut"), labels) for k, labels in kinds.items()})
+    out = out.withColumns({f"_{k}2": X.dates_in(F.col(f"_{k}1"), year) for k in kinds})
     c, ends = F.col, {}
     for k in kinds:
-        dates = c(f"_{k}4")
+        window, dates = c(f"_{k}1"), c(f"_{k}2")
         ends |= {
-            f"{k}_start": F.when(~X.lone_deadline(c(f"_{k}1"), c(f"_{k}3"), dates), F.get(dates, F.lit(0))),
+            f"{k}_start": F.when(~X.lone_deadline(window, dates), F.get(dates, F.lit(0))),
             f"{k}_deadline": F.try_element_at(dates, F.lit(-1)),
-            f"{k}_raw": F.when(F.size(dates) > 0, collapse(c(f"_{k}3"))),
+            f"{k}_raw": F.when(F.size(dates) > 0, collapse(window)),
         }
-    return out.withColumns(ends).drop(*[f"_{k}{i}" for k in kinds for i in range(1, 5)])
+    return out.withColumns(ends).drop(*[f"_{k}{i}" for k in kinds for i in (1, 2)])
 
 
 def extract_notices(notices: DataFrame, year: int, now: Column) -> DataFrame:
     """``notices`` (url, title, text) with the fields, the status at ``now`` without a gate, and the required fields missing."""
     text, title = F.coalesce("text", F.lit("")), F.coalesce(collapse(F.col("title")), F.lit(""))
-    both = F.concat_ws(" ", title, text)
-    out = notices.withColumns(
+    both, cut = F.concat_ws(" ", title, text), F.col("_cut")
+    out = notices.withColumn("_cut", X.cut_at_labels(text)).withColumns(
         {
-            "project_name": F.coalesce(X.label_value(text, X.NAME_LABELS), title),
-            "owner": X.label_value(text, X.OWNER_LABELS),
-            "agency": X.label_value(text, X.AGENCY_LABELS),
-            "project_code": X.label_value(text, X.CODE_LABELS, 100),
-            "budget_raw": X.label_value(text, X.BUDGET_LABELS, 100),
-            "participation_method": X.participation_method(text),
+            "project_name": F.coalesce(X.label_value(cut, X.NAME_LABELS), title),
+            "owner": X.label_value(cut, X.OWNER_LABELS),
+            "agency": X.label_value(cut, X.AGENCY_LABELS),
+            "project_code": X.label_value(cut, X.CODE_LABELS, 100),
+            "budget_raw": X.label_value(cut, X.BUDGET_LABELS, 100),
+            "participation_method": X.participation_method(text, cut),
             "project_type": X.project_type(both),
             "announcement_type": X.notice_type(title),
             "capacity_mw": capacity_mw(both),
@@ -66,7 +65,7 @@ def extract_notices(notices: DataFrame, year: int, now: Column) -> DataFrame:
             "canonical_url": canonicalize_url(F.col("url")),
             "content_hash": content_hash(text),
         }
-    ).drop("bid_start", "open_start", "open_deadline")
+    ).drop("bid_start", "open_start", "open_deadline", "_cut")
     missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in REQUIRED]))
     reason = status_reason(now, F.lit(False), contains_any(F.col("participation_method"), MARKERS))
     out = out.withColumns({"missing": missing, "reason_code": reason})

@@ -80,14 +80,15 @@ def identity_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT o_orderkey AS project_id, {_CITY} || '市' AS city, (['陕西省','甘肃省','青海省','新疆维吾尔自治区','宁夏回族自治区'])[o_orderkey % 5 + 1] AS province FROM orders")
 def place_match(spark: SparkSession, sf: str) -> DataFrame:
-    hint = X.identity(F.col("title"), F.col("text"))["location_hint"]
-    rows = written_notices(spark, sf).withColumn("place", PLACES.match(hint))
+    rows = written_notices(spark, sf).withColumn("place", PLACES.match(X.location_hint(F.col("title"), F.col("text"))))
     return rows.select("project_id", F.element_at("place.path", 2).alias("city"), F.element_at("place.path", 1).alias("province"))
 
 
 @query(f"""SELECT o_orderkey AS project_id, {_LEAD} AS lead, CASE o_orderkey % 6 WHEN 0 THEN '支架 设备材料' WHEN 2 THEN '光伏支架 采购' WHEN 3 THEN '支架 采购' ELSE '光伏支架' END AS first_query FROM orders WHERE {_LEAD} IS NOT NULL""")
 def lead_classes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = written_notices(spark, sf).withColumn("lead", L.lead_type(F.concat_ws(" ", "title", "text"))).where("lead is not null")
+    # a generator, so that the class isn't worked out again by the filter
+    lead = F.explode(F.array_compact(F.array(L.lead_type(F.concat_ws(" ", "title", "text")))))
+    rows = written_notices(spark, sf).select("project_id", "title", lead.alias("lead"))
     return rows.select("project_id", "lead", F.regexp_extract(F.get(L.follow_ups(L.lead_identity(F.col("title")), F.col("lead")), F.lit(0)), '" (.*)$', 1).alias("first_query"))
 
 
