@@ -4,9 +4,11 @@ A fingerprint has a bit set where over half of a text's shingle hashes have it;
 node. A tree over the nodes is fitted on a bounded sample: each branch splits by Hamming distance from a
 vantage point (or, where sizes must agree, by size), chosen for the fewest nodes within reach of the
 boundary. Every node is routed to the shard of its own side, and as a guest to each shard that the triangle
-bound leaves within reach. Shards are searched exactly, by a tree of their own and then by blocks of distances; large shards
-are dealt to pairs of parts, so no task holds more than two parts. A shard returns a forest of its links, not
-all pairs, and the forests' connected components are the groups.
+bound leaves within reach; where shards can be dealt further there are about ``SHARDS`` of them. A shard too large
+for a task is dealt by chunks: of two fingerprints within ``radius`` bits, cut into one chunk more than that, a chunk
+is equal. Where that can't be (a wide radius), or a chunk is common, it is dealt to pairs of parts, so no task holds
+more than two parts. Within a task only pairs with an equal chunk are compared, or else a tree and blocks of distances
+are searched. A task returns a forest of its links, not all pairs, and the forests' connected components are the groups.
 
 ``drop_near_duplicates`` only takes candidates from this: what the components of a wide radius hold is compared again by
 the distinct shingles themselves, and only pairs at the similarity or above are links.
@@ -36,6 +38,10 @@ from tidemark.llm.components import components
 SIZE = 4
 #: Nodes that the tree is fitted on; the only use of this sample is where the tree's branches lie.
 SAMPLE = 8192
+#: Shards of a tree whose nodes can be dealt further by chunks: as many at any size, so that guests grow as the nodes do.
+SHARDS = 8
+#: Pairs that are compared at once.
+PAIRS = 1 << 20
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -189,10 +195,51 @@ class Forest:
                 self.parent = up
 
 
+def chunks_of(radius: int, words: int) -> int:
+    """How many chunks of whole bytes a fingerprint of 64 bits is cut into, one more than may differ; 0 if that isn't possible."""
+    return radius + 1 if words == 1 and 8 % (radius + 1) == 0 else 0
+
+
+def pairs_within(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j) with a[i] == b[j], some ``PAIRS`` at a time."""
+    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    ordered = b[order_b]
+    low = np.searchsorted(ordered, a[order_a], "left")
+    n = np.searchsorted(ordered, a[order_a], "right") - low
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        base = ends[at] - n[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
+        m = n[at:to]
+        within = np.arange(m.sum()) - np.repeat(ends[at:to] - m - base, m)
+        yield np.repeat(order_a[at:to], m), order_b[np.repeat(low[at:to], m) + within]
+        at = to
+
+
+def search_chunks(own: np.ndarray, all_: np.ndarray, prints: np.ndarray, radius: int, forest: Forest) -> bool:
+    """Links as ``search`` does, by the pairs that share a chunk; False, and nothing done, if those are many of all pairs."""
+    count = chunks_of(radius, prints.shape[1])
+    if not count:
+        return False
+    bits = 64 // count
+    keys = [((prints[x, 0] >> np.uint64(bits * k)) & np.uint64((1 << bits) - 1)).astype(np.int64) for k in range(count) for x in (own, all_)]
+    expected = sum(float(np.bincount(a, minlength=1 << bits) @ np.bincount(b, minlength=1 << bits).astype(np.float64)) for a, b in zip(keys[::2], keys[1::2], strict=True)) if bits <= 16 else 0
+    if expected > 0.25 * len(own) * len(all_):
+        return False
+    for a, b in zip(keys[::2], keys[1::2], strict=True):
+        for i, j in pairs_within(a, b):
+            near = np.bitwise_count(prints[own[i], 0] ^ prints[all_[j], 0]) <= radius
+            forest.link(own[i[near]], all_[j[near]])
+    return True
+
+
 def search(own: np.ndarray, all_: np.ndarray, sizes: np.ndarray, prints: np.ndarray, radius: int, reach: float, forest: Forest) -> None:
     """Links every position in ``own`` with those of ``all_`` within the radius (and size reach): a tree, and blocks at its leaves."""
     if not len(own) or not len(all_):
         return
+    if not math.isfinite(reach) and len(own) > 256 and search_chunks(own, all_, prints, radius, forest):
+        return
     if len(own) > 256 and len(all_) > 256:
         vantage = own[len(own) // 2]
         da, db = (distances(prints[x], prints[vantage : vantage + 1])[:, 0].astype(int) for x in (own, all_))
@@ -221,7 +268,8 @@ def near_links(nodes: DataFrame, radius: int, ratio: float = 0.0, leaf: int = 65
     reach = math.log(1 / ratio) + 1e-9 if ratio else math.inf
     count = nodes.count()
     sample = [bytes(r["node"]) for r in nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()]
-    tree = fit_tree(sample, count, radius, reach, leaf) if sample else {"shard": 0}
+    chunks = chunks_of(radius, (len(sample[0]) - SIZE) // 8) if sample and not ratio else 0
+    tree = fit_tree(sample, count, radius, reach, max(min(leaf, 1024), -(-count // SHARDS)) if chunks else leaf) if sample else {"shard": 0}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,11 +278,22 @@ def near_links(nodes: DataFrame, radius: int, ratio: float = 0.0, leaf: int = 65
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, dtype=np.int32)), b.column(0).take(pa.array(at)), pa.array(own)], ["shard", "node", "own"])
 
     dealt = written(nodes.select("node").mapInArrow(deal, "shard int, node binary, own boolean"), "shards")
-    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).select("shard", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    key = ["shard", "chunk", "slot"]
+    parts_of = lambda df, keys: df.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    whole = dealt.withColumns({"chunk": F.lit(0), "slot": F.lit(0)})
+    if chunks:
+        # a row a shard, of which there are few
+        width, large = 8 // chunks, F.col("parts") > 1
+        at = F.explode(F.when(large, F.sequence(F.lit(0), F.lit(chunks - 1))).otherwise(F.array(F.lit(0))))
+        cut = dealt.join(F.broadcast(parts_of(dealt, ["shard"])), "shard").withColumn("chunk", at)
+        slot = F.when(large, F.pmod(F.xxhash64(F.expr(f"substring(node, {SIZE + 1} + chunk * {width}, {width})")), F.col("parts") * 2).cast("int")).otherwise(0)
+        whole = cut.withColumn("slot", slot).drop("parts")
+    sizes = written(parts_of(whole, key), "sizes")
     own_part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    # a shard of P parts is searched as pairs of parts: each node goes to the P pairs that hold its part
+    # a group of P parts is searched as pairs of parts: each node goes to the P pairs that hold its part
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    paired = dealt.join(F.broadcast(sizes), "shard").withColumn("mine", own_part).withColumn("other", other).select("shard", F.least("mine", "other").cast("int").alias("i"), F.greatest("mine", "other").cast("int").alias("j"), "mine", "node", "own")
+    sized = whole.join(maybe_broadcast(sizes, sizes.count(), 100_000), key)
+    paired = sized.withColumn("mine", own_part).withColumn("other", other).select(*key, F.least("mine", "other").cast("int").alias("i"), F.greatest("mine", "other").cast("int").alias("j"), "mine", "node", "own")
 
     def join(t: pa.Table) -> pa.Table:
         names = t.column("node").to_pylist()
@@ -246,7 +305,7 @@ def near_links(nodes: DataFrame, radius: int, ratio: float = 0.0, leaf: int = 65
         tied = np.flatnonzero(forest.parent != np.arange(len(names)))
         return pa.table({"a": pa.array([names[k] for k in tied], pa.binary()), "b": pa.array([names[k] for k in forest.parent[tied]], pa.binary())})
 
-    return paired.groupBy("shard", "i", "j").applyInArrow(join, "a binary, b binary")
+    return paired.groupBy(*key, "i", "j").applyInArrow(join, "a binary, b binary")
 
 
 def groups(prints: DataFrame, radius: int, ratio: float = 0.0, doc_id: str = "doc_id") -> DataFrame:
