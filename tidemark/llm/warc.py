@@ -45,7 +45,7 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("html")).withColumn("digest", F.sha2("html", 256))
     large = base.where(F.octet_length("html") >= REVISIT_BYTES)
     shared = written(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"), "digests")
-    joined = base.join(maybe_broadcast(shared, shared.count(), 50_000), "digest", "left")
+    joined = base.join(maybe_broadcast(shared, shared.count(), 500_000), "digest", "left")
     return joined.withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))).drop("first")
 
 
