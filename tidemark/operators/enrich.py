@@ -15,10 +15,13 @@ FACTS = ("name", "project_code", "tender_code", "tenderer", "agency")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder of spark.checkpoint.dir; of our own where that is unset."""
+    """``df`` as a checkpoint in the folder of spark.checkpoint.dir; of our own where that is unset on a local master."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
 
 
@@ -33,13 +36,13 @@ def enrichment_rounds(candidates: DataFrame, index: DataFrame, most_rounds: int
     known = candidates.select("candidate_id", *FACTS)
     asked = spark.createDataFrame([], "candidate_id " + dict(candidates.dtypes)["candidate_id"] + ", query_text string, strategy string, rank int, round int, results long")
     active = known
+    found = cut(index.groupBy("query_text").agg(F.count_distinct("url").alias("results"), *[F.min(F.when(F.col(f) != "", F.struct("url", f)))[f].alias(f) for f in FACTS]))
     for step in range(1, most_rounds + 1):
         made = active.select("candidate_id", F.explode(enrichment_queries(*[F.col(f) for f in FACTS])).alias("q")).select("candidate_id", "q.*")
         fresh = made.join(asked, ["candidate_id", "query_text"], "left_anti")
         spent = asked.groupBy("candidate_id").agg(F.count("*").alias("spent"))
         place = F.row_number().over(Window.partitionBy("candidate_id").orderBy("rank", "query_text"))  # at most 18 rows each
         now = fresh.join(spent, "candidate_id", "left").withColumn("place", place).where(F.col("place") + F.coalesce("spent", F.lit(0)) <= most_queries)
-        found = index.groupBy("query_text").agg(F.count_distinct("url").alias("results"), *[F.min(F.when(F.col(f) != "", F.struct("url", f)))[f].alias(f) for f in FACTS])
         answers = cut(now.join(found, "query_text", "left").select("candidate_id", "query_text", "strategy", "rank", F.coalesce("results", F.lit(0)).alias("results"), *FACTS))
         asked = asked.unionByName(answers.select("candidate_id", "query_text", "strategy", "rank", F.lit(step).alias("round"), "results"))
         learnt = answers.groupBy("candidate_id").agg(*[F.min(F.when(F.col(f).isNotNull(), F.struct("rank", "query_text", f)))[f].alias(f"new_{f}") for f in FACTS])

@@ -104,3 +104,37 @@ def project_changes(old: DataFrame, new: DataFrame, key: str, fields: Sequence[s
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"o.{f}").cast("string").alias("old_value"), F.col(f"n.{f}").cast("string").alias("new_value")) for f in fields])
     differs = F.filter(pairs, lambda x: ~x.old_value.eqNullSafe(x.new_value))
     return old.alias("o").join(new.alias("n"), key).select(key, F.explode(differs).alias("x")).select(key, "x.*")
+
+
+#: Columns whose change isn't a change of the project.
+BOOKKEEPING = ("lifecycle_state", "last_change_at", "last_seen_at", "status_evaluated_at")
+
+
+def upsert_projects(old: DataFrame, new: DataFrame, overrides: DataFrame, key: str, deadlines: Sequence[str], at: Column, kind: str = "change") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(projects, overrides, changes, statuses) after a batch of records with one row a ``key``.
+
+    Fields with an active override keep their value, and the override learns the new automatic one; other fields take the record's, also where it is
+    null. ``changes``: a row for each deadline that moved; ``statuses``: one for each new status. ``old`` has the columns of ``new`` and lifecycle_state, last_change_at.
+    """
+    fields = [c for c in new.columns if c != key]
+    held = overrides.where("active").groupBy(key).agg(F.collect_set("field_name").alias("_held"))
+    j = old.alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), key, "full").join(held, key, "left")
+    o, n, fresh, landed = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}")), F.col("o.lifecycle_state").isNull(), yes(F.col("_new"))
+    kept = lambda c: yes(F.array_contains("_held", c))
+    value = lambda c: F.when(~landed | (kept(c) & ~fresh), o(c)).otherwise(n(c))
+    changed = F.lit(False)
+    for c in fields:
+        if c not in BOOKKEEPING:
+            changed = changed | ~o(c).eqNullSafe(value(c))
+    reopened = yes((o("status") == "CLOSED") & (value("status") == "OPEN")) if "status" in fields else F.lit(False)
+    state = first_match([(~landed, o("lifecycle_state")), (fresh, "NEW"), (reopened, "REOPENED"), (changed, "UPDATED")], "UNCHANGED")
+    touched = landed & (fresh | changed)
+    projects = j.select(key, *[value(c).alias(c) for c in fields], state.alias("lifecycle_state"), F.when(touched, at).otherwise(o("last_change_at")).alias("last_change_at"))
+    both = j.where(landed & ~fresh)
+    moved = F.array(*[F.struct(F.lit(c).alias("field_name"), o(c).cast("string").alias("old_value"), n(c).cast("string").alias("new_value"), kept(c).alias("held")) for c in deadlines])
+    changes = both.select(key, F.explode(F.filter(moved, lambda x: ~x.held & ~x.old_value.eqNullSafe(x.new_value))).alias("x")).select(key, F.lit(kind).alias("change_type"), "x.field_name", "x.old_value", "x.new_value")
+    statuses = j.where(landed & ~o("status").eqNullSafe(value("status"))).select(key, o("status").alias("old_status"), value("status").alias("new_status")) if "status" in fields else None
+    said = F.map_from_arrays(F.array(*[F.lit(c) for c in fields]), F.array(*[F.col(c).cast("string") for c in fields]))
+    learnt = overrides.join(new.select(key, said.alias("_said")), key, "left")
+    automatic = F.when(F.col("active") & F.col("_said").isNotNull() & F.map_contains_key("_said", F.col("field_name")), F.try_element_at("_said", F.col("field_name"))).otherwise(F.col("automatic_value"))
+    return projects, learnt.withColumn("automatic_value", automatic).select(*overrides.columns), changes, statuses

@@ -75,11 +75,8 @@ def region_condition(df: DataFrame, c: Criteria) -> Column:
     if any(wanted.values()):
         levels = {n: (F.col(n) if n in df.columns else F.lit("")) for n in wanted}
         return reduce(and_, [region_passes(F.lit(w), levels[n], F.concat_ws(" ", *present(df, "province", "city", "county", "project_location", "location")), c.exact) for n, w in wanted.items() if w])
-    both = F.lit(True)
-    for labels in (c.labels, c.profile_labels):
-        if labels:
-            both = both & bind(_place_text(df), lambda t, labels=labels: F.when(t == "", not c.exact).otherwise(_any_label(t, labels)))
-    return both
+    fits = lambda labels: bind(_place_text(df), lambda t: F.when(t == "", not c.exact).otherwise(_any_label(t, labels)))
+    return reduce(and_, [fits(labels) for labels in (c.labels, c.profile_labels) if labels], F.lit(True))
 
 
 def announced(announcements: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -227,3 +224,22 @@ def session_rows(session_id: str, links: DataFrame, projects: DataFrame, announc
     kept = projects.where(~yes(F.col("ignored"))) if skip_ignored and "ignored" in projects.columns else projects
     notes = announcements.select(F.col("id").alias("link_announcement"), F.col("title").alias("announcement_title"), F.col("published_at"))
     return own.join(kept, "project_id").join(notes, "link_announcement", "left").withColumnRenamed("link_announcement", "announcement_id")
+
+
+#: The fields that a typed query is looked for in.
+TYPED = ("project_name", "raw_project_name", "owner", "agency", "qualification_summary")
+
+
+def find_projects(projects: DataFrame, text: str, most: int = 50, fields: Sequence[str] = TYPED) -> DataFrame:
+    """The first projects, by id, that hold every word of a text in one of the fields, whatever its case; none for a blank text."""
+    words = text.lower().split()
+    if not words:
+        return projects.limit(0)
+    columns = [F.lower(F.coalesce(c, F.lit(""))) for c in present(projects, *fields)]
+    return projects.where(reduce(and_, [reduce(or_, [F.contains(c, F.lit(w)) for c in columns]) for w in words])).orderBy("project_id").limit(most)
+
+
+def with_texts(projects: DataFrame, announcements: DataFrame) -> DataFrame:
+    """Every project with the texts of its announcements, in their order, as one."""
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("published_at", "id", "clean_text"))), lambda x: x.clean_text), " ")
+    return projects.join(announcements.groupBy("project_id").agg(texts.alias("announced_text")), "project_id", "left").withColumn("announced_text", F.coalesce("announced_text", F.lit("")))

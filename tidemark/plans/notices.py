@@ -101,20 +101,31 @@ def _reviewed(spark: SparkSession, sf: str) -> DataFrame:
     return projects(spark, sf).join(status, "project_id").withColumns({"source_level": level, **{f: F.lit(False) for f in ("identity_conflict", "field_conflict", "parse_failed", "low_quality_pdf", "unproven")}})
 
 
-@query(_REVIEW.format(projects=PROJECTS) + f""", rules AS (SELECT project_id, o_totalprice, status, list_filter([
+_RULES = _REVIEW.format(projects=PROJECTS) + f""", rules AS (SELECT project_id, publish_time, o_totalprice, status, list_filter([
     CASE WHEN reason_code = 'UNKNOWN_CONFLICTING_DATES' THEN 'CONFLICTING_DATE' END,
     CASE WHEN status = 'UNKNOWN' AND coalesce(qd, rd, dd) IS NULL THEN 'SOURCE_INCOMPLETE' END,
     CASE WHEN status = 'UNKNOWN' AND bid IS NOT NULL AND coalesce(rd, dd) IS NULL THEN 'UNKNOWN_PARTICIPATION_RULE' END,
     CASE WHEN source_level = 'E' THEN 'ONLY_SECONDARY_SOURCE' END,
     CASE WHEN status = 'OPEN' AND coalesce(rd, dd) IS NULL THEN 'OPEN_PARTICIPATION_UNCLEAR' END,
-    CASE WHEN len(list_filter([qd, rd, dd, bid, opened], lambda d: d >= TIMESTAMP '{NOW}' AND d <= TIMESTAMP '{NOW}' + INTERVAL 3 DAY)) > 0 THEN 'DEADLINE_WITHIN_3_DAYS' END], lambda x: x IS NOT NULL) AS reasons FROM r)
-  SELECT project_id, array_to_string(reasons, ',') AS reasons, CASE WHEN list_has_any(reasons, ['CONFLICTING_DATE', 'DEADLINE_WITHIN_3_DAYS']) THEN 1 WHEN o_totalprice * 100 >= 10000000 THEN 2 WHEN status = 'UNKNOWN' THEN 3 WHEN list_contains(reasons, 'ONLY_SECONDARY_SOURCE') THEN 4 ELSE 5 END::INT AS priority FROM rules""")
+    CASE WHEN len(list_filter([qd, rd, dd, bid, opened], lambda d: d >= TIMESTAMP '{NOW}' AND d <= TIMESTAMP '{NOW}' + INTERVAL 3 DAY)) > 0 THEN 'DEADLINE_WITHIN_3_DAYS' END], lambda x: x IS NOT NULL) AS reasons FROM r)"""
+_PRIORITY = "CASE WHEN list_has_any(reasons, ['CONFLICTING_DATE', 'DEADLINE_WITHIN_3_DAYS']) THEN 1 WHEN o_totalprice * 100 >= 10000000 THEN 2 WHEN status = 'UNKNOWN' THEN 3 WHEN list_contains(reasons, 'ONLY_SECONDARY_SOURCE') THEN 4 ELSE 5 END::INT"
+
+
+@query(_RULES + f" SELECT project_id, array_to_string(reasons, ',') AS reasons, {_PRIORITY} AS priority FROM rules")
 def review_rules(spark: SparkSession, sf: str) -> DataFrame:
     rows = _reviewed(spark, sf).withColumn("reasons", L.review_reasons(now()))
     priority = L.review_priority(F.col("reasons"), F.lit(None).cast("double"), F.col("o_totalprice") * 100, F.col("status"))
     return rows.select("project_id", F.array_join("reasons", ",").alias("reasons"), priority.alias("priority"))
 
 
+@query(_RULES + f" SELECT project_id, reasons[1] AS reason, {_PRIORITY} AS priority FROM rules WHERE len(reasons) > 0 ORDER BY {_PRIORITY}, publish_time, project_id LIMIT 200")
+def review_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 200 projects with reasons, by priority and time."""
+    rows = _reviewed(spark, sf).withColumn("reasons", L.review_reasons(now())).where(F.size("reasons") > 0)
+    rows = rows.withColumn("priority", L.review_priority(F.col("reasons"), F.lit(None).cast("double"), F.col("o_totalprice") * 100, F.col("status")))
+    return rows.orderBy("priority", "publish_time", "project_id").limit(200).select("project_id", F.get("reasons", F.lit(0)).alias("reason"), "priority")
+
+
 @query(_REVIEW.format(projects=PROJECTS) + """ SELECT project_id, array_to_string(list_filter([CASE WHEN status = 'UNKNOWN' THEN 'UNKNOWN_STATUS' END, CASE WHEN source_level = 'E' THEN 'LOW_SOURCE_LEVEL' END,
   CASE WHEN coalesce(rd, dd, bid) IS NULL THEN 'MISSING_DEADLINE' END, CASE WHEN rd IS NULL THEN 'REGISTRATION_UNCLEAR' END, CASE WHEN reason_code = 'UNKNOWN_CONFLICTING_DATES' THEN 'CONFLICTING_DATES' END], lambda x: x IS NOT NULL), ',') AS reasons FROM r""")
 def verification_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,6 +139,13 @@ def verification_queries(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "customer").select("c_custkey", F.explode(made).alias("query_text"))
 
 
+@query("""SELECT c_custkey, unnest(['"' || c_name || '"', '"' || c_name || '" "' || c_mktsegment || '"', '"' || c_mktsegment || '" ' || c_name, 'site:' || c_mktsegment || ' "' || c_name || '"', '"' || c_name || '" 变更', '"' || c_name || '" 澄清', '"' || c_name || '" 延期', '"' || c_name || '" 中标候选人', '"' || c_name || '" 中标结果', '"' || c_name || '" 流标', '"' || c_name || '" 重新招标']) AS query_text FROM customer""")
+def enrichment_queries(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    made = L.enrichment_queries(F.col("c_name"), none, none, F.col("c_mktsegment"), none)
+    return load(spark, sf, "customer").select("c_custkey", F.explode(made).alias("q")).select("c_custkey", "q.query_text")
+
+
 @query("""WITH o AS (SELECT l_orderkey AS k, max_by(l_returnflag, (l_linenumber, l_returnflag)) AS flag, max(l_linenumber) AS n, max(l_shipdate) AS t FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
   n AS (SELECT l_orderkey AS k, max_by(l_returnflag, (l_linenumber, l_returnflag)) AS flag, max(l_linenumber) AS n, max(l_shipdate) AS t FROM lineitem WHERE l_linenumber > 2 GROUP BY 1)
   SELECT coalesce(o.k, n.k) AS candidate_key, CASE WHEN o.flag = 'A' OR n.flag = 'A' THEN 'A' WHEN o.flag = 'N' OR n.flag = 'N' THEN 'B' ELSE 'E' END AS source_level, coalesce(o.flag = 'A', false) OR coalesce(n.flag = 'A', false) AS official_found,

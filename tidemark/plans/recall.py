@@ -295,3 +295,57 @@ def record_matches(spark: SparkSession, sf: str) -> DataFrame:
 def best_matches(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "lineitem").selectExpr("l_orderkey AS left_id", "l_partkey AS right_id", "IF(l_returnflag = 'R', 'EXACT', 'PROBABLE') AS outcome", "CAST(l_linenumber AS DOUBLE) AS score")
     return matching.best_match(rows).select("left_id", "right_id")
+
+
+@query("SELECT c_custkey, n_name AS city, r_name AS province FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND contains(replace(lower(n_name), '_', ''), 'nation2')")
+def region_match(spark: SparkSession, sf: str) -> DataFrame:
+    c, n, r = load(spark, sf, "customer"), load(spark, sf, "nation"), load(spark, sf, "region")
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("c_custkey", F.col("n_name").alias("city"), F.col("r_name").alias("province"))
+    return rows.where(recall.region_condition(rows, recall.Criteria(low="", high="", province="ASIA", city="Nation-2")))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'thing') AND contains(lower(lang), 'en') AND (contains(lower(text), 'src1') OR contains(lower(source), 'src1')) ORDER BY doc_id LIMIT 50")
+def fulltext_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "documents").select(F.col("doc_id").alias("project_id"), F.col("text").alias("qualification_summary"), F.col("source").alias("owner"), F.col("lang").alias("agency"))
+    found = recall.find_projects(rows.where("lower(agency) LIKE '%en%'"), " SRC1  Thing ", 50)
+    return found.select(F.col("project_id").alias("doc_id"))
+
+
+@query("SELECT o_orderkey AS project_id, coalesce((SELECT string_agg('line ' || l_linestatus, ' ' ORDER BY l_shipdate, l_linenumber, l_linestatus) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS announced_text FROM orders")
+def project_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return recall.with_texts(load(spark, sf, "orders").selectExpr("o_orderkey AS project_id"), notes(spark, sf))
+
+
+@query("SELECT o_orderkey AS project_id, o_orderpriority AS value, CASE WHEN manual <> 'N' THEN manual ELSE o_orderpriority END AS effective FROM (SELECT o_orderkey, o_orderpriority, (SELECT max_by(l_returnflag, (l_shipdate, l_returnflag = 'R', l_returnflag = 'A')) FROM lineitem WHERE l_orderkey = o_orderkey) AS manual FROM orders)")
+def override_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as overrides of a priority, in the order of their dates; flag N clears."""
+    from tidemark.operators.merge import effective_values
+
+    automatic = load(spark, sf, "orders").selectExpr("o_orderkey AS project_id", "'priority' AS field_name", "o_orderpriority AS value")
+    events = load(spark, sf, "lineitem").selectExpr("l_orderkey AS project_id", "'priority' AS field_name", "l_shipdate AS changed_at", "IF(l_returnflag = 'N', NULL, l_returnflag) AS manual_value")
+    return effective_values(automatic, events, ["project_id", "field_name"]).select("project_id", "value", "effective")
+
+
+_UPSERT = """new AS (SELECT o_orderkey AS p, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END AS a, CASE WHEN o_orderkey % 7 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS s FROM orders WHERE o_orderkey % 3 <> 0),
+old AS (SELECT o_orderkey AS p, o_orderpriority AS a, CASE WHEN o_orderkey % 14 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS s FROM orders WHERE o_orderkey % 5 <> 0)"""
+
+
+@query(f"""WITH {_UPSERT} SELECT coalesce(old.p, new.p) AS project_id, CASE WHEN new.p IS NULL OR (old.p IS NOT NULL AND old.p % 4 = 0) THEN old.a ELSE new.a END AS owner, coalesce(new.s, old.s) AS status,
+  CASE WHEN new.p IS NULL THEN 'UNCHANGED' WHEN old.p IS NULL THEN 'NEW' WHEN old.s = 'CLOSED' AND new.s = 'OPEN' THEN 'REOPENED' WHEN old.s <> new.s OR (old.p % 4 <> 0 AND new.a IS DISTINCT FROM old.a) THEN 'UPDATED' ELSE 'UNCHANGED' END AS lifecycle_state FROM old FULL JOIN new ON old.p = new.p""")
+def project_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    return _upserted(spark, sf)[0].select("project_id", "owner", "status", "lifecycle_state")
+
+
+@query(f"WITH {_UPSERT} SELECT old.p AS project_id, 'owner' AS field_name, old.a AS old_value, new.a AS new_value FROM old JOIN new ON old.p = new.p WHERE old.p % 4 <> 0 AND old.a IS DISTINCT FROM new.a")
+def upsert_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return _upserted(spark, sf)[2].select("project_id", "field_name", "old_value", "new_value")
+
+
+def _upserted(spark: SparkSession, sf: str):
+    from tidemark.operators.merge import upsert_projects
+
+    o = load(spark, sf, "orders")
+    new = o.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS project_id", "IF(o_orderkey % 10 = 0, NULL, o_orderpriority) AS owner", "IF(o_orderkey % 7 = 0, 'OPEN', 'CLOSED') AS status")
+    old = o.where("o_orderkey % 5 <> 0").selectExpr("o_orderkey AS project_id", "o_orderpriority AS owner", "IF(o_orderkey % 14 = 0, 'OPEN', 'CLOSED') AS status", "'UNCHANGED' AS lifecycle_state", "o_orderdate AS last_change_at")
+    overrides = o.where("o_orderkey % 4 = 0").selectExpr("o_orderkey AS project_id", "'owner' AS field_name", "'x' AS automatic_value", "true AS active")
+    return upsert_projects(old, new, overrides, "project_id", ["owner"], now())

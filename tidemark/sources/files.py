@@ -88,39 +88,71 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return named.mapInPandas(decode, "path string, suffix string, content_hash string, text string, error string")
 
 
-def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """archive, member, size, text, error of the parseable members of zip files; unsafe or oversized archives give an error row."""
+def member_fault(info: zipfile.ZipInfo, seen: set[str]) -> str | None:
+    """Why a member of an archive isn't expanded; None if it may be. ``seen``: names taken before."""
+    steps = info.filename.replace("\\", "/").split("/")
+    if info.filename.startswith(("/", "\\")) or ".." in steps or ":" in steps[0] or (info.external_attr >> 16) & 0o170000 == 0o120000:
+        return "UNSAFE_MEMBER"
+    if "/".join(steps).lower() in seen:
+        return "DUPLICATE_MEMBER"
+    return None if steps[-1].rpartition(".")[2].lower() in (*PARSEABLE, "pdf", "docx", "xlsx") else "UNSUPPORTED_TYPE"
+
+
+def _expanded(archive: str, data: bytes, rejected: bool) -> list[tuple]:
+    rows: list[tuple] = []
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            entries = [i for i in z.infolist() if not i.is_dir()]
+            if len(entries) > ZIP_FILES or sum(i.file_size for i in entries) > ZIP_BYTES:
+                raise ValueError("ARCHIVE_TOO_LARGE")
+            seen: set[str] = set()
+            for i in entries:
+                fault = member_fault(i, seen)
+                seen.add(i.filename.replace("\\", "/").lower())
+                if rejected or fault:
+                    rows += [(archive, i.filename, None, None, fault)] if rejected and fault else []
+                    continue
+                body, suffix, text, error = z.read(i), i.filename.rpartition(".")[2].lower(), None, None
+                try:
+                    text = body.decode("utf-8", "replace") if suffix in PARSEABLE else office_text(suffix, body) if suffix in OFFICE else None
+                except ValueError as broken:
+                    error = str(broken)
+                rows.append((archive, i.filename, len(body), text, error))
+    except (zipfile.BadZipFile, ValueError, RuntimeError) as error:
+        return [(archive, None, None, None, str(error))]
+    return rows
+
+
+def zip_members(spark: SparkSession, path: str, rejected: bool = False) -> DataFrame:
+    """archive, member, size, text, error of the parseable members of zip files; broken or oversized archives give an error row.
+
+    With ``rejected`` the members that weren't expanded instead, and why: unsafe names and links, repeated names, other types.
+    """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def members(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for archive, data in zip(p["path"], p["content"], strict=True):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
-                        entries = [i for i in z.infolist() if not i.is_dir()]
-                        if len(entries) > ZIP_FILES or sum(i.file_size for i in entries) > ZIP_BYTES:
-                            raise ValueError("ARCHIVE_TOO_LARGE")
-                        for i in entries:
-                            steps = i.filename.replace("\\", "/").split("/")
-                            link = (i.external_attr >> 16) & 0o170000 == 0o120000
-                            if i.filename.startswith(("/", "\\")) or ".." in steps or ":" in steps[0] or link:
-                                continue
-                            if steps[-1].rpartition(".")[2].lower() in (*PARSEABLE, "pdf", "docx", "xlsx"):
-                                body = z.read(i)
-                                suffix, text, error = steps[-1].rpartition(".")[2].lower(), None, None
-                                try:
-                                    text = body.decode("utf-8", "replace") if suffix in PARSEABLE else office_text(suffix, body) if suffix in OFFICE else None
-                                except ValueError as broken:
-                                    error = str(broken)
-                                rows.append((archive, i.filename, len(body), text, error))
-                except (zipfile.BadZipFile, ValueError, RuntimeError) as error:
-                    rows = [(archive, None, None, None, str(error))]
-                yield pd.DataFrame(rows, columns=["archive", "member", "size", "text", "error"]).astype({"size": "Int64"})
+                yield pd.DataFrame(_expanded(archive, bytes(data), rejected), columns=["archive", "member", "size", "text", "error"]).astype({"size": "Int64"})
 
     return raw.mapInPandas(members, "archive string, member string, size long, text string, error string")
 
 
+def replayed(spark: SparkSession, path: str, snapshots: DataFrame, announcement_id: object = None, source_id: object = None) -> DataFrame:
+    """Snapshots (snapshot_id, file_path, announcement_id, source_id, url, captured_at) with the text of their files, for extraction without the network.
+
+    All, or those of an announcement or a source; a file that is gone or can't be read is a row with an error. ``place``: the order of capture.
+    """
+    wanted = snapshots
+    for column, value in (("announcement_id", announcement_id), ("source_id", source_id)):
+        if value is not None:
+            wanted = wanted.where(F.col(column) == F.lit(value))
+    read = documents(spark, path).select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), "content_hash", "text", "error")
+    joined = wanted.withColumn("file_path", F.regexp_replace("file_path", "^file:/+", "/")).join(read, "file_path", "left")
+    missing = F.when(F.col("content_hash").isNull(), "MISSING_FILE").otherwise(F.col("error"))
+    return joined.withColumn("error", missing).withColumn("place", F.struct("captured_at", "snapshot_id"))
+
+
 def json_listing(raw: DataFrame, column: str, schema: str) -> DataFrame:
     """Items of JSON search answers, wherever the envelope keeps them; broken answers give no items."""
     envelope = ("$.data.records", "$.records", "$.data.items", "$.items", "$.rows", "$.list", "$.data", "$.result", "$.content", "$")
@@ -163,3 +195,41 @@ def write_session(results: DataFrame, path: str) -> None:
 def write_report(results: DataFrame, path: str, columns: list[str]) -> None:
     """Results as CSV with a header."""
     results.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+
+
+#: The columns of an export and their headings.
+EXPORTED = {
+    "province": "省", "city": "市", "county": "县/旗", "project_name": "项目名称", "owner": "招标人", "project_type": "项目类型", "scale": "规模", "budget": "预算", "registration_deadline": "报名截止", "document_deadline": "文件截止",
+    "bid_deadline": "投标截止", "open_time": "开标", "remaining_hours": "剩余小时", "status": "状态", "status_reason": "状态原因", "source_level": "来源等级", "source_name": "来源", "source_url": "原始链接",
+}
+#: Rows of a worksheet below its headings.
+SHEET_ROWS = 1_048_575
+
+
+def write_workbook(results: DataFrame, path: str, columns: dict[str, str] | None = None) -> int:
+    """Results as a workbook of one sheet, streamed row by row; returns the rows written. Columns that the results lack are empty.
+
+    A result of more rows than a sheet holds is an error, before anything is written.
+    """
+    from xml.sax.saxutils import escape
+
+    columns = columns or EXPORTED
+    if results.count() > SHEET_ROWS:
+        raise ValueError(f"a sheet holds {SHEET_ROWS} rows; write a table instead")
+    rows = results.select(*[(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if dict(results.dtypes)[c].startswith("timestamp") else F.col(c).cast("string")).alias(c) if c in results.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    line = lambda cells: "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(x or "")}</t></is></c>' for x in cells) + "</row>"
+    kind, n = "http://schemas.openxmlformats.org", 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        main = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{kind}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{main}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{main}.worksheet+xml"/></Types>')
+        relation = f"{kind}/officeDocument/2006/relationships"
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{kind}/package/2006/relationships"><Relationship Id="r1" Type="{relation}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{kind}/package/2006/relationships"><Relationship Id="r1" Type="{relation}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{kind}/spreadsheetml/2006/main" xmlns:r="{relation}"><sheets><sheet name="projects" sheetId="1" r:id="r1"/></sheets></workbook>')
+        with z.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            sheet.write(f'<worksheet xmlns="{kind}/spreadsheetml/2006/main"><sheetData>{line(columns.values())}'.encode())
+            for r in rows.toLocalIterator():
+                sheet.write(line(r).encode())
+                n += 1
+            sheet.write(b"</sheetData></worksheet>")
+    return n

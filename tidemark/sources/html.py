@@ -33,12 +33,26 @@ FILES, DOWNLOADS = ("pdf", "doc", "docx", "xls", "xlsx", "zip", "rar", "7z"), ("
 _ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 
 
+# Named entities of text.
+ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’", "laquo": "«", "raquo": "»", "mdash": "—", "ndash": "–", "hellip": "…", "middot": "·", "bull": "•",
+    "copy": "©", "reg": "®", "trade": "™", "times": "×", "divide": "÷", "plusmn": "±", "deg": "°", "micro": "µ", "sup2": "²", "sup3": "³", "frac12": "½", "yen": "¥", "euro": "€", "pound": "£", "cent": "¢", "sect": "§", "para": "¶",
+}
+
+
 def unescaped(c: Column) -> Column:
-    """The entities of a text that pages use: named ones of punctuation, and numbered ones up to two bytes."""
-    named = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&ldquo;": "“", "&rdquo;": "”", "&mdash;": "—", "&middot;": "·"}
-    for entity, plain in named.items():
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    """A text with its entities read: the named ones above, and numbers; ``&amp;`` last, so that nothing is read twice."""
+
+    def numbered(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0)))
+        hexa = lambda e: F.when(F.lower(F.substring(e, 3, 1)) == "x", F.regexp_extract(e, "[xX]([0-9A-Fa-f]+)", 1)).otherwise(F.hex(F.regexp_extract(e, "[0-9]+", 0).cast("long")))
+        valid = lambda h: F.conv(h, 16, 10).cast("long").between(1, 0xD7FF) | F.conv(h, 16, 10).cast("long").between(0xE000, 0x10FFFF)
+        point = lambda e: F.when(valid(hexa(e)), F.decode(F.unhex(F.lpad(hexa(e), 8, "0")), "UTF-32")).otherwise(e)
+        return F.aggregate(found, text, lambda t, e: F.replace(t, e, point(e)))
+
+    for name, plain in ENTITIES.items():
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(plain))
+    return bind(c, lambda t: F.replace(F.when(F.contains(t, F.lit("&#")), numbered(t)).otherwise(t), F.lit("&amp;"), F.lit("&")))
 
 
 def cleaned(html: Column) -> Column:
@@ -55,7 +69,7 @@ def visible(html: Column) -> Column:
 def lines_of(html: Column) -> Column:
     """The text between tags with a line for each block, lines collapsed and at most one blank line between them."""
     broken = F.regexp_replace(F.regexp_replace(html, r"(?i)<(?:br|/p|/div|/tr|/li|/h[1-6]|/table|/section)\b[^>]*>", "\n"), r"(?s)<[^>]*>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(unescaped(broken), r"[^\S\n]+", " "), r" ?\n ?(?:\n ?){2,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(unescaped(broken), r"[^\S\n]+", " "), r" ?\n ?(?:\n ?){2,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def _of_tag(tag: str) -> str:
