@@ -8,8 +8,8 @@ at most one apart (law ``rows``), and a bucket is written to one or two shards.
 Rows and bytes are first counted in fine cells of the hash, at most ``CELLS`` of them; all sizes and places follow
 from these counts. A bucket is a stretch of cells, and a partition of its own. A cell over the size of a bucket holds
 rows of equal id and text, or a very long text: its equal rows are counted before they are moved, and each copy is
-scattered by its number, over as many buckets as the cell needs. A bucket's rows are sorted before they are shuffled, so a
-task that is run again shuffles alike.
+scattered over all buckets by its number. A bucket's rows are sorted before they are shuffled, so a task that is run again
+shuffles alike.
 
 Defined cases. Null text or id: hashed as such; null text has no bytes. Repeated rows: each gets a slot; rows
 equal in all columns may swap theirs. Fewer rows than shards: some shards stay empty. No rows: no shards. A very long
@@ -25,19 +25,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import scratch, table, written
 
-#: Cells of the hash that are counted; their counts go to the driver. There are at most as many buckets, and as many more for cells that are split.
+#: Cells of the hash that are counted; their counts go to the driver. There are at most as many buckets.
 CELLS = 1 << 18
 #: Copies of a row that one task makes.
 COPIES = 4096
 
 
-def plan_buckets(cell: np.ndarray, rows: np.ndarray, size: np.ndarray, bucket_bytes: int, least: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """The number of buckets for the cells' hashes, and the large cells, with how many buckets of their own each has."""
+def plan_buckets(cell: np.ndarray, size: np.ndarray, bucket_bytes: int, least: int) -> tuple[int, np.ndarray]:
+    """How many buckets there are, and the cells that are larger than one."""
     total = int(size.sum())
     most = max(bucket_bytes, -(-total // CELLS))
-    large = size > most
-    buckets = max(least, -(-int(size[~large].sum()) // most))
-    return buckets, cell[large], np.minimum(-(-size[large] // most), rows[large]).astype(np.int64)
+    return max(least, -(-total // most)), cell[size > most]
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 42, bucket_mb: float = 16, least: int = 16, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -51,33 +49,32 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 42, bu
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 64
     counts = docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("rows"), F.sum(size).alias("size")).toArrow().sort_by("cell")
     held, rows, sizes = (counts[c].to_numpy() for c in ("cell", "rows", "size"))
-    buckets, large, parts = plan_buckets(held, rows, sizes, int(bucket_mb * (1 << 20)), least)
+    buckets, large = plan_buckets(held, sizes, int(bucket_mb * (1 << 20)), least)
     small = ~np.isin(held, large)
     in_bucket = np.bincount(held[small].astype(np.int64) * buckets // CELLS, weights=rows[small], minlength=buckets).astype(np.int64)
 
     keyed = bare.select(cell.alias("cell"), F.struct(dealt.alias("h"), F.struct(*bare.columns).alias("r")).alias("x"))
     if len(large):
-        own = spark.createDataFrame([(int(c), int(p), buckets + int(b)) for c, p, b in zip(large, parts, np.cumsum(parts) - parts, strict=True)], "cell int, parts int, base int")
-        apart = F.broadcast(own)  # a large cell is over a bucket's size, so these are fewer than the buckets
-        same = written(keyed.join(apart, "cell").groupBy("parts", "base", F.col("x.r").alias("r")).agg(F.count("*").alias("copies")), "copies")
+        # a large cell is over a bucket's size, so these are fewer than the buckets
+        apart = F.broadcast(spark.createDataFrame([(int(c),) for c in large], "cell int"))
+        same = written(keyed.join(apart, "cell").groupBy(F.col("x.r").alias("r")).agg(F.count("*").alias("copies")), "copies")
         block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
         spread = same.select("*", block.alias("block")).withColumn("deal", F.xxhash64("r", "block")).repartition(F.col("deal"))
         last = F.least(F.col("copies") - 1, F.col("block") * COPIES + (COPIES - 1))
         numbered = spread.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES, last)))
         h = F.xxhash64(F.lit(seed), "r", "copy")
-        copied = numbered.select((F.col("base") + F.pmod(h, F.col("parts"))).cast("int").alias("bucket"), F.struct(h.alias("h"), "r").alias("x"))
+        copied = numbered.select(F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), F.struct(h.alias("h"), "r").alias("x"))
         more = copied.groupBy("bucket").agg(F.count("*").alias("rows")).toArrow()
-        in_bucket = np.concatenate((in_bucket, np.zeros(int(parts.sum()), dtype=np.int64)))
-        in_bucket[more["bucket"].to_numpy()] = more["rows"].to_numpy()
+        np.add.at(in_bucket, more["bucket"].to_numpy(), more["rows"].to_numpy())
         keyed = keyed.join(apart, "cell", "left_anti")
-    n, total = int(in_bucket.sum()), len(in_bucket)
+    n = int(in_bucket.sum())
     # a row for each bucket, 12 bytes of it broadcast for its 16 MB of text
     first = spark.createDataFrame([(b, int(x)) for b, x in enumerate(np.cumsum(in_bucket) - in_bucket)], "bucket int, first long")
 
     scattered = keyed.select(F.expr(f"cast(cell * {buckets}L div {CELLS} as int)").alias("bucket"), "x")
     if len(large):
         scattered = scattered.unionByName(copied)
-    scattered = scattered.repartitionById(total, F.col("bucket"))
+    scattered = scattered.repartitionById(buckets, F.col("bucket"))
     lists = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list("x")).alias("rows"))
     shuffled = lists.select("bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("pos", "x"))
     placed = shuffled.join(F.broadcast(first), "bucket").withColumn("at", F.col("first") + F.col("pos"))

@@ -96,12 +96,17 @@ def normal_url(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), user, default, path, part(4)))
 
 
+def _bare(c: Column) -> Column:
+    """Without white space around."""
+    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def _decoded(value: Column) -> Column:
     """An attribute without the entities that urls need, and without white space around."""
     out = F.regexp_replace(value, "(?i)&(quot|#34|#x22);", '"')
     for pattern, plain in (("&(apos|#39|#x27);", "'"), ("&(lt|#60|#x3c);", "<"), ("&(gt|#62|#x3e);", ">"), ("&(amp|#38|#x26);", "&")):
         out = F.regexp_replace(out, "(?i)" + pattern, plain)
-    return F.regexp_replace(out, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return _bare(out)
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -112,6 +117,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def resolved(link: Column, base: Column) -> Column:
     """A link as an absolute url in normal form (RFC 3986, 5.2.2), from a base in normal form; null for other schemes and for links within the page."""
+    link = _bare(link)
     root, folder, page = (F.regexp_extract(base, p, 0) for p in ("^[^/?#]*//[^/?#]*", "^[^?#]*/", "^[^?#]*"))
     whole = (
         F.when((link == "") | F.startswith(link, F.lit("#")), None)
