@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules
-from tidemark.functions.rules import STRONG
 from tidemark.operators import matching, metrics, recall
 from tidemark.plans.bindings import NOW, PROJECTS, evidence, load, projects
 from tidemark.plans.catalog import now, query
@@ -93,9 +92,6 @@ def lone_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return recall.delivered_candidates(rows, F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"), True).select("candidate_id")
 
 
-_HITS = ", ".join(f"CASE WHEN {c} IS NOT NULL AND (project_id + {i}) % 61 <> 0 AND (project_id + {i}) % 67 <> 0 THEN '{f}' END" for i, c, f in ((6, "bid", "bid_deadline"), (5, "dd", "document_deadline"), (7, "opened", "open_time"), (1, "qd", "qualification_deadline"), (3, "rd", "registration_deadline")))
-
-
 @query(f"""WITH {PROJECTS}, r AS (SELECT *, least(qd, rd, dd, bid, opened) AS next FROM reasons JOIN customer ON o_custkey = c_custkey)
   SELECT project_id, CASE WHEN project_id % 4 = 0 THEN 0 WHEN project_id % 4 = 1 THEN 1 ELSE 2 END::INT AS source_count, CASE WHEN project_id % 4 <> 0 THEN 'u' || project_id % 3 END AS best_source_url, 9::INT AS n_evidence,
     array_to_string(list_filter(['bid_deadline', 'document_deadline', 'open_time', 'qualification_deadline', 'registration_deadline'], lambda f: (project_id + CASE f WHEN 'bid_deadline' THEN 6 WHEN 'document_deadline' THEN 5 WHEN 'open_time' THEN 7 WHEN 'qualification_deadline' THEN 1 ELSE 3 END) % 61 <> 0 AND (project_id + CASE f WHEN 'bid_deadline' THEN 6 WHEN 'document_deadline' THEN 5 WHEN 'open_time' THEN 7 WHEN 'qualification_deadline' THEN 1 ELSE 3 END) % 67 <> 0), ',') AS critical,
