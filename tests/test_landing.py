@@ -110,10 +110,10 @@ def test_extraction_run(spark):
 
 def test_document_closure(spark):
     candidates = spark.createDataFrame([(1, {"owner": "甲", "project_name": ""}, None), (2, None, None), (3, None, None)], "candidate_id int, candidate_values map<string,string>, blocker string")
-    documents = spark.createDataFrame([(1, "u", "t", "项目名称：乙项目名称 招标人：乙公司 投标截止时间：2026年9月10日17:00", None), (2, "u", "t", None, "BROKEN_DOCUMENT")], "candidate_id int, url string, title string, text string, error string")
+    documents = spark.createDataFrame([(1, "u", "t", "项目名称：乙能源基地 招标人：乙公司 投标截止时间：2026年9月10日17:00", None), (2, "u", "t", None, "BROKEN_DOCUMENT")], "candidate_id int, url string, title string, text string, error string")
     facts = spark.createDataFrame([], "candidate_id int, field_name string, value string")
     out, every = L.document_closure(candidates, documents, facts, 2026, now())
     got = {r.candidate_id: r for r in out.collect()}
-    assert got[1].candidate_values["owner"] == "甲" and got[1].candidate_values["project_name"] == "乙项目名称" and got[1].completeness_score == 15 + 10 + 10 + 3 + 2 and got[1].enrichment_state == "PARTIAL"
+    assert got[1].candidate_values["owner"] == "甲" and got[1].candidate_values["project_name"] == "乙能源基地" and got[1].completeness_score == 15 + 10 + 10 + 3 + 2 and got[1].enrichment_state == "PARTIAL"
     assert (got[2].blocker, got[2].enrichment_state) == ("EXTRACTION_FAILED", "BLOCKED") and got[3].completeness_score == 0
     assert {r.field_name for r in every.collect()} == {"project_name", "owner", "bid_deadline"}

@@ -119,7 +119,7 @@ def token_table(projects: DataFrame, announcements: DataFrame, fields: Sequence[
 
     whole = with_texts(projects, announcements)
     text = F.lower(F.concat_ws(" ", *present(whole, *fields), "announced_text"))
-    return whole.select("project_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\w]+)"), F.lit(1)))).alias("token")).select("token", "project_id")
+    return whole.select("project_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1)))).alias("token")).select("token", "project_id")
 
 
 def find_by_tokens(tokens: DataFrame, text: str, most: int = 50) -> DataFrame:
