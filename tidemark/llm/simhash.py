@@ -4,7 +4,7 @@ A fingerprint has a bit set where over half of a text's shingle hashes have it;
 node. A tree over the nodes is fitted on a bounded sample: each branch splits by Hamming distance from a
 vantage point (or, where sizes must agree, by size), chosen for the fewest nodes within reach of the
 boundary. Every node is routed to the shard of its own side, and as a guest to each shard that the triangle
-bound leaves within reach; where shards can be dealt further there are about ``SHARDS`` of them. A shard too large
+bound leaves within reach; there are about ``SHARDS`` of them at any size. A shard too large
 for a task is dealt by chunks: of two fingerprints within ``radius`` bits, cut into one chunk more than that, a chunk
 is equal. Where that can't be (a wide radius), or a chunk is common, it is dealt to pairs of parts, so no task holds
 more than two parts. Within a task only pairs with an equal chunk are compared, or else a tree and blocks of distances
@@ -16,7 +16,7 @@ the distinct shingles themselves, and only pairs at the similarity or above are
 Defined cases. Null text: no words. No words: fingerprint zero, a node like any other. Fewer words than a
 shingle: the whole sequence. Repeated rows and equal texts share a node. Null id: grouped by text, never the
 name of a group unless no member has an id. Empty table: no rows. Further columns are ignored, or kept by
-``drop_near_duplicates``.
+``drop_near_duplicates``. A very long text is read whole, its words and shingles as lists of some hundred bytes a word.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from tidemark.llm.components import components
 SIZE = 4
 #: Nodes that the tree is fitted on; the only use of this sample is where the tree's branches lie.
 SAMPLE = 8192
-#: Shards of a tree whose nodes can be dealt further by chunks: as many at any size, so that guests grow as the nodes do.
+#: Shards of a tree: as many at any size, so that guests grow as the nodes do; large shards are dealt further.
 SHARDS = 8
 #: Pairs that are compared at once.
 PAIRS = 1 << 20
@@ -263,13 +263,13 @@ def search(own: np.ndarray, all_: np.ndarray, sizes: np.ndarray, prints: np.ndar
             forest.link(a[x], b[y])
 
 
-def near_links(nodes: DataFrame, radius: int, ratio: float = 0.0, leaf: int = 65_536, part: int = 262_144) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int, ratio: float = 0.0, leaf: int = 1024, part: int = 262_144) -> DataFrame:
     """(a, b): links whose components are those of all pairs of nodes within ``radius`` bits and with sizes in ``ratio`` (0: any)."""
     reach = math.log(1 / ratio) + 1e-9 if ratio else math.inf
     count = nodes.count()
     sample = [bytes(r["node"]) for r in nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()]
     chunks = chunks_of(radius, (len(sample[0]) - SIZE) // 8) if sample and not ratio else 0
-    tree = fit_tree(sample, count, radius, reach, max(min(leaf, 1024), -(-count // SHARDS)) if chunks else leaf) if sample else {"shard": 0}
+    tree = fit_tree(sample, count, radius, reach, max(leaf, -(-count // SHARDS))) if sample else {"shard": 0}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
