@@ -14,7 +14,6 @@ to right. No rows: no rows. Further columns are ignored by ``encode``, which ret
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush

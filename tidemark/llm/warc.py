@@ -9,7 +9,8 @@ Files are written under a temporary name and renamed, and hold the same bytes wh
 
 Defined cases. Null html: an empty payload. Null url: the record's own id as target. Null page id: no id in
 the record, null when read; such a page is a response unless an equal payload has an id. Rows that repeat the smallest
-page_id of a payload are all responses. Empty tables: no archives, no rows. Further columns are ignored.
+page_id of a payload are all responses. Empty tables: no archives, no rows. Further columns are ignored. A very long payload
+is one record, of which a task holds two or three copies.
 """
 
 from __future__ import annotations
@@ -124,6 +125,11 @@ class _Sink:
         self.files.move(self.own, self.path)
 
 
+def _gathered(manifest: DataFrame) -> DataFrame:
+    """A manifest whose files are written once: its rows, one an archive, are held by the driver."""
+    return manifest.sparkSession.createDataFrame(manifest.collect(), MANIFEST)
+
+
 def write_monolithic(pages: DataFrame, path: str, roll_mb: int = 256, level: int = 1) -> DataFrame:
     """Writes rows of ``with_revisits`` as WARC files, each one gzip stream, and returns their manifest."""
 
@@ -147,7 +153,7 @@ def write_monolithic(pages: DataFrame, path: str, roll_mb: int = 256, level: int
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{path}/part-{part:06d}-{k:04d}.warc.gz"]), pa.array([n]), pa.array([sink.at])], ["path", "records", "bytes"])
 
-    return written(pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, MANIFEST), "manifest")
+    return _gathered(pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, MANIFEST))
 
 
 def normalise(manifest: DataFrame, path: str, level: int = 6) -> DataFrame:
@@ -171,7 +177,7 @@ def normalise(manifest: DataFrame, path: str, level: int = 6) -> DataFrame:
                 out.close()
                 yield pa.RecordBatch.from_arrays([pa.array([new]), pa.array([n]), pa.array([out.at])], ["path", "records", "bytes"])
 
-    return written(manifest.repartition(max(1, manifest.count())).mapInArrow(rewrite, MANIFEST), "manifest")
+    return _gathered(manifest.repartition(max(1, manifest.count())).mapInArrow(rewrite, MANIFEST))
 
 
 def parsed(raw: bytes) -> tuple:
