@@ -8,8 +8,8 @@ sum of the context vectors, each scaled by its place, plus a bias. It is trained
 estimation, with every training token: tasks train from common parameters, which are averaged by tokens after each
 round. For scores, matrix products give the normaliser of every context at once, so that log-probabilities are exact.
 
-The most frequent words (at most ``REMEMBERED``) travel to the workers with their counts; tokens beyond are joined with
-the table of all counts, so no token is dropped.
+The most frequent words (at most ``REMEMBERED``, whole bins of equal frequency) travel to the workers with their counts; tokens
+beyond are joined with the table of all counts, so no token is dropped.
 
 Defined cases. Null text: the end token alone. Null id: held out (the crc32 of the empty string is 0). Repeated rows: each counts and is scored.
 No training documents: every token has log-probability 0 in the base, and the model knows no class. Empty table: no rows.
@@ -135,10 +135,20 @@ class Lexicon:
 def lexicon(counts: DataFrame) -> Lexicon:
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     classes = min(MOST, max(FEWEST, isqrt(totals["v"]) // 2 * 2))
-    top = counts.orderBy(F.desc("n"), "word").limit(REMEMBERED).toArrow()
+    # the words of the upper bins of their counts, as many bins as are remembered; no sort gathers words in a task
+    bin_ = F.floor(F.log2("n") * 8)
+    bins, kept, lowest = counts.groupBy(bin_.alias("b")).agg(F.count("*").alias("words")).collect(), 0, None
+    for r in sorted(bins, key=lambda r: -r["b"]):
+        kept += r["words"]
+        if kept > REMEMBERED:
+            break
+        lowest = r["b"]
+    top = counts.where(bin_ >= lowest if lowest is not None else F.lit(False)).toArrow()
+    words, n = [bytes(w) for w in top["word"].to_pylist()], top["n"].to_pylist()
+    order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
     of = F.crc32(F.when(F.octet_length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))) % (classes - classes // 2)
     shared = {r["c"]: (r["n"], r["v"]) for r in counts.groupBy(of.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    return Lexicon([bytes(w) for w in top["word"].to_pylist()], top["n"].to_pylist(), totals["n"], totals["v"], classes, shared)
+    return Lexicon([words[i] for i in order], [n[i] for i in order], totals["n"], totals["v"], classes, shared)
 
 
 class Coded:
