@@ -89,6 +89,33 @@ def test_token_files_are_indexed_and_prune(spark, tmp_path):
     assert spark.read.schema(token_store.STORED).orc(path).where("doc_id = 99999").count() == 0
 
 
+def test_other_tokenizers_are_served_by_the_library(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t, texts = Tokenizer.from_file(path), ["Some  text,\n\twith é 中文", None, "", "the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = scratch(spark, "t")
+    token_store.write_tokens(docs, out, path)
+    got = {r.doc_id: r.ids for r in token_store.read_tokens(spark, out).collect()}
+    assert got == {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+
+
+def test_stripes_are_read_as_rows_are(spark, copies):
+    import public_tokenizers as P
+
+    docs = copies.unionByName(spark.createDataFrame([(None, None, "s", 0, 0), (5, "", "s", 0, 0)], copies.schema))
+    path = scratch(spark, "t")
+    token_store.write_tokens(docs, path, P.path("word_bpe_49k.json"), stripe_mb=0)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got = rows(token_store.stored_checksums(spark, path))
+    assert got == rows(token_store.checksums(token_store.read_tokens(spark, path))) and len(got) == 3002
+    none = scratch(spark, "t")
+    token_store.write_tokens(docs.limit(0), none, P.path("word_bpe_49k.json"))
+    assert token_store.stored_checksums(spark, none).count() == 0
+
+
 def test_clashing_columns(spark):
     extra = {c: F.lit(1) for c in ("component", "rule", "verdict", "node", "host", "path", "inherited", "tags", "base", "link")}
     pages = spark.createDataFrame([(1, "http://net/x", "<p>"), (2, "http://a.com/", '<link rel=canonical href="http://net/x">')], "page_id int, url string, html string").withColumns(extra)
