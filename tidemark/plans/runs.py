@@ -325,3 +325,69 @@ def review_payload(spark: SparkSession, sf: str) -> DataFrame:
     rows = findings.review_payload(p, notes, parses, attached, proof, ["registration_deadline"], ["bid_deadline"], 2)
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return rows.select("project_id", join("document_ids").alias("document_ids"), join("paths").alias("paths"), join("missing_fields").alias("missing_fields"), join("missing_evidence_fields").alias("missing_evidence"))
+
+
+@query("SELECT s_suppkey AS source, 'https://h.cn/new/' || s_suppkey || '/' || i AS url, s_name || ' ' || i AS title, TIMESTAMP '2026-08-01 17:00:00' + to_days(i::INT) AS published_at FROM supplier, (SELECT unnest([1, 2]) AS i) WHERE s_suppkey % 3 <> 0")
+def connector_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Search answers of two pages, whose envelopes differ; the second page repeats an item. Every third is broken."""
+    from tidemark.operators.landing import Connector, listed_items
+
+    item = lambda i: f"concat('{{\"t\": \"<b>', s_name, '</b> {i}\", \"u\": \"/old/', s_suppkey, '/{i}\", \"d\": \"2026-08-0{1 + i}\"}}')"
+    s = load(spark, sf, "supplier")
+    one = s.selectExpr("1 AS page", "'x' AS url", f"IF(s_suppkey % 3 = 0, '{{broken', concat('{{\"data\": {{\"records\": [', {item(1)}, ']}}}}')) AS body")
+    two = s.selectExpr("2 AS page", "'x' AS url", f"IF(s_suppkey % 3 = 0, '', concat('{{\"result\": [', {item(1)}, ',', {item(2)}, ']}}')) AS body")
+    c = Connector("s", base_url="https://h.cn/", fields={"title": ("x", "t"), "url": ("u",), "published_at": ("d",)}, rewrite=("/old/", "/new/"))
+    found = listed_items(one.unionByName(two), c, 2026)
+    return found.select(F.regexp_extract("url", "/new/([0-9]+)/", 1).cast("long").alias("source"), "url", "title", "published_at")
+
+
+@query(f"SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 17 = 0 OR (o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 300 DAY AND (o_orderkey % 5 > 1 OR o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 11 DAY))")
+def incremental_items(spark: SparkSession, sf: str) -> DataFrame:
+    from tidemark.operators.landing import since
+
+    items = load(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_orderkey % 5 AS source_id", "IF(o_orderkey % 17 = 0, NULL, o_orderdate) AS published_at")
+    state = load(spark, sf, "region").selectExpr("r_regionkey AS source_id", f"IF(r_regionkey < 2, TIMESTAMP_NTZ '{NOW}' - INTERVAL 10 DAYS, NULL) AS last_success_at")
+    return since(items, state, now(), 300).select("id")
+
+
+@query("SELECT o_orderkey AS project_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 29 <> 0 AND o_orderdate + INTERVAL 60 DAY >= TIMESTAMP '1998-01-01'")
+def changed_today(spark: SparkSession, sf: str) -> DataFrame:
+    from tidemark.operators.landing import project_list
+
+    rows = load(spark, sf, "orders").selectExpr("o_orderkey AS project_id", "CASE o_orderstatus WHEN 'F' THEN 'OPEN' WHEN 'O' THEN 'CLOSED' ELSE 'UNKNOWN' END AS status", "o_orderdate + make_dt_interval(60) AS last_change_at", "o_orderdate AS created_at", "'NEW' AS lifecycle_state", "false AS favorite", "IF(o_orderkey % 29 = 0, true, NULL) AS ignored")
+    return project_list(rows, F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"), status="open", view="today-changed").select("project_id")
+
+
+@query("SELECT token, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(concat_ws(' ', lang, source)), '[^a-z0-9_]+')) AS token FROM documents) WHERE token <> '' GROUP BY 1")
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from tidemark.operators.landing import token_table
+
+    rows = load(spark, sf, "documents").selectExpr("doc_id AS project_id", "lang AS owner", "source AS agency")
+    none = spark.createDataFrame([], "project_id long, id int, published_at timestamp_ntz, clean_text string")
+    return token_table(rows, none, ["owner", "agency"]).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS candidate_id, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 5 END NULLS LAST, o_totalprice DESC, o_orderdate DESC, o_orderkey)::INT AS place FROM orders ORDER BY place LIMIT 100")
+def enrichment_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hundred candidates in the order in which they are enriched."""
+    from pyspark.sql import Window
+
+    from tidemark.operators.recall import queue_order
+
+    rows = load(spark, sf, "orders").selectExpr("o_orderkey AS candidate_id", "IF(o_orderkey % 3 = 0, NULL, o_orderkey % 5) AS review_priority", "o_totalprice AS rank_score", "o_orderdate AS updated_at")
+    top = rows.orderBy(*queue_order()).limit(100)
+    return top.select("candidate_id", F.row_number().over(Window.orderBy(*queue_order())).alias("place"))
+
+
+@query("""SELECT o_orderkey AS candidate_id, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 15 + CASE WHEN o_orderkey % 4 <> 0 THEN 10 ELSE 0 END + CASE WHEN o_orderkey % 3 <> 0 THEN 5 ELSE 0 END + 10 + 5 + 3 + 2 END::INT AS score, CASE WHEN o_orderkey % 7 = 0 THEN 'BLOCKED' ELSE 'PARTIAL' END AS state FROM orders""")
+def closed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates whose documents are the written notices; every seventh can't be read."""
+    from tidemark.operators.landing import document_closure
+    from tidemark.plans.notices import written_notices
+
+    notes = written_notices(spark, sf)
+    documents = notes.select(F.col("project_id").alias("candidate_id"), "url", "title", "text", F.when(F.col("project_id") % 7 == 0, "BROKEN_DOCUMENT").alias("error"))
+    candidates = load(spark, sf, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.lit(None).cast("map<string,string>").alias("candidate_values"), F.lit(None).cast("string").alias("blocker"))
+    facts = spark.createDataFrame([], "candidate_id long, field_name string, value string")
+    out, _ = document_closure(candidates, documents, facts, 1998, now())
+    return out.select("candidate_id", F.col("completeness_score").cast("int").alias("score"), F.col("enrichment_state").alias("state"))
