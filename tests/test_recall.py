@@ -117,6 +117,11 @@ def test_containing(spark):
     rows = spark.createDataFrame([(10, "哈密光伏项目支架采购"), (11, "zzabcdefghijklmnopqrstuvwxyzzz"), (12, "光伏"), (13, None), (14, "ax"), (15, "abcdefghijklmnopqrstuvwxy")], "row_id int, text string")
     got = sorted(map(tuple, metrics.containing(cases, rows, "case_id", "terms", "row_id", "text").collect()))
     assert got == [(1, 10), (2, 11), (3, 11), (3, 14), (3, 15)]
+    words = "the quick  brown\nfox jumps over the lazy dog"
+    cases = spark.createDataFrame([(1, [words[2:-2]]), (2, [words, "lazy"]), (3, ["brown fox jumps over the"]), (4, ["k  brown\nfox jumps o"]), (5, [" brown\nfox jumps over "])], "case_id int, terms array<string>")
+    rows = spark.createDataFrame([(1, words), (2, "x" + words + "y"), (3, words.replace("\n", " ")), (4, words[3:])], "row_id int, text string")
+    want = sorted((c.case_id, r.row_id) for c in cases.collect() for r in rows.collect() if all(t in r.text for t in c.terms))
+    assert sorted(map(tuple, metrics.containing(cases, rows, "case_id", "terms", "row_id", "text").collect())) == want and len(want) == 11
     assert metrics.containing(cases.limit(0), rows, "case_id", "terms", "row_id", "text").count() == 0
 
 

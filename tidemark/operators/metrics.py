@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import first_match, yes
-from tidemark.functions.text import normalize_identity
+from tidemark.functions.text import bind, normalize_identity
 
 #: What each fact adds to completeness, and what attachments and evidence add.
 WEIGHTS = {
@@ -142,23 +142,43 @@ def recall_cases(cases: DataFrame, rows: DataFrame, artifacts: DataFrame) -> Dat
     return j.select("case_id", "region", "availability", status.alias("status"), by.alias("matched_by"), "matched_project_id", (~absent).alias("observable"))
 
 
-#: Characters by which cases and texts meet, at most.
-GRAM = 16
+#: Characters by which cases and texts meet, at most, where a term has few words; else words.
+GRAM, WORDS = 16, 3
+
+
+def _char_grams(text: Column, n: Column) -> Column:
+    """All stretches of ``n`` characters. A text is taken apart once, as characters can't be reached by place."""
+    grams = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array().cast("array<string>"))
+    return bind(F.filter(F.split(text, ""), lambda x: x != ""), grams)
+
+
+def _word_grams(text: Column, inner: bool) -> Column:
+    """All stretches of ``WORDS`` words with the white space behind each; ``inner``: without the first and last word, which may be parts of words."""
+    end = WORDS + 2 * inner
+
+    def grams(p: Column) -> Column:
+        joined = lambda i: F.concat(*[F.get(p, i + k) for k in range(WORDS)])
+        return F.when(F.size(p) >= end, F.transform(F.sequence(F.lit(int(inner)), F.size(p) - end + int(inner)), joined)).otherwise(F.array().cast("array<string>"))
+
+    return bind(F.split(text, r"(?<=\s)(?=\S)"), grams)
 
 
 def containing(cases: DataFrame, rows: DataFrame, case_id: str, terms: str, row_id: str, text: str, gram: int = GRAM) -> DataFrame:
     """(case_id, row_id) of each row whose text holds all terms of a case, of any number of cases.
 
     A case's rarest gram (by the rows that hold it) stands for it: rows meet cases by hash join on that gram, and whole terms are looked for in
-    what has met. A term shorter than a gram is one by itself. Rows are read once, and only grams that some case has leave them.
+    what has met. Grams are three words where a term has two more, else characters; a shorter term is one by itself. Rows are read once, and only
+    grams that some case has leave them.
     """
-    at = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))
-    size = lambda t: F.least(F.lit(gram), F.length(t))
-    wanted = cases.where(F.exists(terms, lambda t: t != "")).select(F.col(case_id), F.col(terms), F.explode(F.array_distinct(F.flatten(F.transform(F.filter(terms, lambda t: t != ""), lambda t: at(t, size(t)))))).alias("g"))
-    lengths = [r[0] for r in cases.select(F.explode(F.transform(terms, size))).distinct().collect() if r[0]]  # at most ``gram`` numbers
-    if not lengths:
+    worded = lambda t: F.size(F.split(t, r"(?<=\s)(?=\S)")) >= WORDS + 2
+    size = lambda t: F.when(worded(t), 0).otherwise(F.least(F.lit(gram), F.length(t)))
+    own = lambda t: F.when(worded(t), _word_grams(t, True)).otherwise(_char_grams(t, size(t)))
+    some = F.filter(terms, lambda t: t != "")
+    wanted = cases.where(F.size(some) > 0).select(F.col(case_id), F.col(terms), F.explode(F.array_distinct(F.flatten(F.transform(some, own)))).alias("g"))
+    sizes = sorted(r[0] for r in cases.select(F.explode(F.transform(some, size))).distinct().collect())  # at most ``gram`` + 1 numbers
+    if not sizes:
         return cases.join(rows, F.lit(False)).select(case_id, row_id)
-    of = F.array_distinct(F.flatten(F.array(*[F.when(F.length(text) >= n, at(F.col(text), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)])))
+    of = F.array_distinct(F.flatten(F.array(*[_char_grams(F.col(text), F.lit(n)) if n else _word_grams(F.col(text), False) for n in sizes])))
     known = rows.select(row_id, F.explode(of).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
     often = known.groupBy("g").agg(F.count("*").alias("n_rows"))
     # a gram that no row has rules its case out
