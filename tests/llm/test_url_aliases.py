@@ -106,7 +106,7 @@ def ruled(url):
     return max(fits, key=lambda r: len(r.text)).verdict if fits else None
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", [0, 1, 2, 3, 107])
 def test_components_against_union_find(spark, seed):
     urls, rows, edges, log = crawl(seed)
     parent: dict[str, str] = {}
@@ -117,6 +117,8 @@ def test_components_against_union_find(spark, seed):
         return x
 
     for a, b in edges:
+        if plain(a) == plain(b):  # a link to itself joins nothing
+            continue
         a, b = find(plain(a)), find(plain(b))
         parent[max(a, b)] = min(a, b)
     by_root: dict[str, set] = {}
