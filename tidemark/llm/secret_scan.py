@@ -2,9 +2,9 @@
 
 Patterns name three kinds of spans: assigned values, access keys and long hexadecimal strings. What else may be a secret is a run of 16 or more characters of
 ``[A-Za-z0-9+/_-]`` with a letter, which touches no span of the patterns. Two models of first order, one of random strings and one of ordinary
-identifiers, give it a log-likelihood ratio; at ``THRESHOLD`` or more it is a span of kind ``markov``. They are trained from labelled
+identifiers, give it a log-likelihood ratio; at ``THRESHOLD`` or more a character it is a span of kind ``markov``. They are trained from labelled
 samples: random are values that the patterns found, and strings drawn by a hash over the alphabet of base 64; ordinary are other
-words, numbers and identifiers of the documents. Samples are bounded (``SAMPLE`` distinct values of each origin, of least hash; ordinary
+words, numbers and identifiers of the documents (long runs with both letters and digits, which are what is to be judged, are in neither sample). Samples are bounded (``SAMPLE`` distinct values of each origin, of least hash; ordinary
 ones from about ``SAMPLE_DOCUMENTS`` documents of least hash), whole texts of all rows are scanned.
 
 Patterns are evaluated once for the matches and once for what lies between them; places follow by running sums of their lengths, so a text with any
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ MARKOV = "markov"
 CANDIDATE, ORDINARY = r"[A-Za-z0-9+/_-]{16,}", r"[A-Za-z0-9+/_-]{6,}"
 #: Values of each origin that the models are trained on, at most; documents that ordinary ones are taken from, about.
 SAMPLE, SAMPLE_DOCUMENTS = 5000, 20_000
-#: Symbols of the models, added counts, and the least ratio of a secret, in nats.
-SYMBOLS, ADDED, THRESHOLD = 66, 0.5, 12
+#: Symbols of the models, counts added to each, counts by which a transition leans on its symbol, and the least mean ratio of a secret's characters, in nats.
+SYMBOLS, ADDED, LEAN, THRESHOLD = 66, 0.5, 4.0, 2.0
 #: Ratios are integers of this part of a nat, so sums don't depend on their order.
 UNIT = 1_000_000
 _CODES = 128
@@ -80,7 +81,9 @@ def labelled_samples(docs: DataFrame, spans: DataFrame, sample: int = SAMPLE, do
     share = max(1, docs.count() // documents)
     digest = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
     some = docs.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % share == 0) if share > 1 else docs
-    words = some.select(F.explode(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0))).alias("value")).distinct().join(known, "value", "left_anti")
+    words = some.select(F.explode(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0))).alias("value"))
+    doubtful = F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]") & (F.length("value") >= 16)
+    words = words.where(~doubtful).distinct().join(known, "value", "left_anti")
     least = [F.md5(F.col("value").cast("binary")), F.col("value")]
     random = known.orderBy(*least).limit(sample).unionByName(drawn_strings(docs.sparkSession, sample // 5))
     return random.withColumn("random", F.lit(True)).unionByName(words.orderBy(*least).limit(sample).withColumn("random", F.lit(False)))
@@ -97,13 +100,16 @@ def trained(samples: DataFrame) -> list[int]:
     counts: dict[bool, dict[tuple[int, int], int]] = {True: {}, False: {}}
     for r in within.groupBy("random", "p.a", "p.b").agg(F.count("*").alias("n")).collect():
         counts[r["random"]][r["a"], r["b"]] = r["n"]
-    totals = {kind: [0] * _CODES for kind in counts}
+    # a transition's chance leans on that of its symbol as far as its context is rare
+    contexts, symbols = ({kind: Counter() for kind in counts} for _ in range(2))
     for kind, seen in counts.items():
-        for (a, _), n in seen.items():
-            totals[kind][a] += n
+        for (a, b), n in seen.items():
+            contexts[kind][a] += n
+            symbols[kind][b] += n
 
     def chance(kind: bool, a: int, b: int) -> float:
-        return math.log((counts[kind].get((a, b), 0) + ADDED) / (totals[kind][a] + ADDED * SYMBOLS))
+        alone = (symbols[kind][b] + ADDED) / (symbols[kind].total() + ADDED * SYMBOLS)
+        return math.log((counts[kind].get((a, b), 0) + LEAN * alone) / (contexts[kind][a] + LEAN))
 
     return [round(UNIT * (chance(True, a, b) - chance(False, a, b))) for a in range(_CODES) for b in range(_CODES)]
 
@@ -121,7 +127,7 @@ def secrets(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD,
     spans = matches(docs, doc_id, text)
     ratios = trained(labelled_samples(docs, spans, sample, doc_id=doc_id, text=text))
     is_base = F.col("kind") < len(PATTERNS)
-    likely = spans.where(is_base | (log_ratio(F.col("value"), ratios) >= int(threshold * UNIT)))
+    likely = spans.where(is_base | (log_ratio(F.col("value"), ratios) >= F.length("value") * int(threshold * UNIT)))
     of = Window.partitionBy("doc_id", "text_hash").orderBy("start", "kind")
     before = F.max(F.when(is_base, F.col("end"))).over(of.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     after = F.min(F.when(is_base, F.col("start"))).over(of.rowsBetween(Window.currentRow, Window.unboundedFollowing))
@@ -171,26 +177,29 @@ spans AS MATERIALIZED (
 known AS MATERIALIZED (SELECT DISTINCT value FROM spans WHERE kind < 3),
 share AS (SELECT greatest(1, count(*) // {SAMPLE_DOCUMENTS}) AS share FROM docs),
 words AS (
-  SELECT DISTINCT unnest(regexp_extract_all(text, '{ORDINARY}')) AS value FROM docs, share
-  WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || text), 1, 8))::BIGINT % share = 0),
+  SELECT DISTINCT value FROM (
+    SELECT unnest(regexp_extract_all(text, '{ORDINARY}')) AS value FROM docs, share
+    WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || text), 1, 8))::BIGINT % share = 0)
+  WHERE NOT (length(value) >= 16 AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]'))),
 samples AS MATERIALIZED (
   (SELECT value, true AS random FROM known ORDER BY md5(value), value LIMIT {SAMPLE})
   UNION ALL SELECT rtrim(to_base64(unhex(sha256('random:' || i))), '='), true FROM range({SAMPLE // 5}) r(i)
   UNION ALL (SELECT value, false FROM words WHERE value NOT IN (SELECT value FROM known) ORDER BY md5(value), value LIMIT {SAMPLE})),
 steps AS (SELECT random, unnest(list_concat([0], list_transform(string_split(value, ''), lambda c: ascii(c)))) AS a, unnest(list_transform(string_split(value, ''), lambda c: ascii(c))) AS b FROM samples),
 counts AS MATERIALIZED (SELECT random, a, b, count(*) AS c FROM steps WHERE b IS NOT NULL AND a < {_CODES} AND b < {_CODES} GROUP BY ALL),
-totals AS (SELECT random, a, sum(c) AS c FROM counts GROUP BY ALL),
+contexts AS (SELECT random, a, sum(c) AS c FROM counts GROUP BY ALL),
 codes AS (SELECT unnest(range({_CODES})) AS code),
-ratios AS MATERIALIZED (
-  SELECT x.code AS a, y.code AS b,
-         round({UNIT} * (ln((coalesce(r.c, 0) + {ADDED})::DOUBLE / (coalesce(tr.c, 0) + {ADDED * SYMBOLS})::DOUBLE) - ln((coalesce(o.c, 0) + {ADDED})::DOUBLE / (coalesce(t_o.c, 0) + {ADDED * SYMBOLS})::DOUBLE)))::BIGINT AS ratio
-  FROM codes x CROSS JOIN codes y
-  LEFT JOIN counts r ON r.random AND r.a = x.code AND r.b = y.code LEFT JOIN counts o ON NOT o.random AND o.a = x.code AND o.b = y.code
-  LEFT JOIN totals tr ON tr.random AND tr.a = x.code LEFT JOIN totals t_o ON NOT t_o.random AND t_o.a = x.code),
+symbols AS (
+  SELECT random, code AS b, (coalesce(c, 0) + {ADDED})::DOUBLE / (sum(coalesce(c, 0)) OVER (PARTITION BY random) + {ADDED * SYMBOLS})::DOUBLE AS alone
+  FROM (SELECT unnest([true, false]) AS random), codes LEFT JOIN (SELECT random AS r, b, sum(c) AS c FROM counts GROUP BY ALL) s ON s.r = random AND s.b = code),
+chances AS (
+  SELECT s.random, x.code AS a, s.b, ln((coalesce(n.c, 0) + {LEAN} * s.alone)::DOUBLE / (coalesce(t.c, 0) + {LEAN})::DOUBLE) AS chance
+  FROM symbols s CROSS JOIN codes x LEFT JOIN counts n ON n.random = s.random AND n.a = x.code AND n.b = s.b LEFT JOIN contexts t ON t.random = s.random AND t.a = x.code),
+ratios AS MATERIALIZED (SELECT a, b, round({UNIT} * (max(chance) FILTER (random) - max(chance) FILTER (NOT random)))::BIGINT AS ratio FROM chances GROUP BY a, b),
 letters AS (
   SELECT n, start, unnest(list_concat([0], list_transform(string_split(value, ''), lambda c: ascii(c)))) AS a, unnest(list_transform(string_split(value, ''), lambda c: ascii(c))) AS b
   FROM spans WHERE kind = 3),
-likely AS (SELECT n, start FROM letters JOIN ratios USING (a, b) GROUP BY n, start HAVING sum(ratio) >= {THRESHOLD * UNIT}),
+likely AS (SELECT n, start FROM letters JOIN ratios USING (a, b) GROUP BY n, start HAVING sum(ratio) >= {int(THRESHOLD * UNIT)} * count(*) FILTER (b IS NOT NULL)),
 kept AS (
   SELECT n, kind, start, stop FROM spans WHERE kind < 3 UNION ALL
   SELECT n, kind, start, stop FROM spans s JOIN likely USING (n, start)

@@ -25,8 +25,8 @@ from tidemark.llm.common import table, written
 from tidemark.llm.vectors import as_long, batches_of, fitting, floors
 
 COMPONENTS, OVERSAMPLE, PASSES, SEED = 8, 10, 4, 13
-#: Residuals, as a share of the largest eigenvalue, that count as rounding.
-ROUNDING = 1e-13
+#: Residuals, as a share of the eigenvalue, that count as rounding.
+ROUNDING = 1e-12
 SHIFT = 100_000
 
 
@@ -105,7 +105,7 @@ def leading_components(kept: DataFrame, n: int, length: int, largest: float, com
         values, turn = values[::-1][:k], turn[:, ::-1][:, :k]
         vectors = basis @ turn
         residuals = np.linalg.norm(product @ turn - vectors * values, axis=0)
-        if basis.shape[1] == length or (residuals <= ROUNDING * values[0]).all():
+        if basis.shape[1] == length or (residuals <= ROUNDING * values).all():
             break
         basis, _ = np.linalg.qr(product)
     return Components(n, sums, vectors / np.linalg.norm(vectors, axis=0), np.maximum(values, 0), trace, done)
