@@ -323,7 +323,7 @@ def override_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _UPSERT = """new AS (SELECT o_orderkey AS p, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END AS a, CASE WHEN o_orderkey % 7 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS s FROM orders WHERE o_orderkey % 3 <> 0),
-old AS (SELECT o_orderkey AS p, o_orderpriority AS a, CASE WHEN o_orderkey % 14 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS s FROM orders WHERE o_orderkey % 5 <> 0)"""
+old AS (SELECT o_orderkey AS p, o_orderpriority AS a, CASE WHEN o_orderkey % 14 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS s FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 10 = 0)"""
 
 
 @query(f"""WITH {_UPSERT} SELECT coalesce(old.p, new.p) AS project_id, CASE WHEN new.p IS NULL OR (old.p IS NOT NULL AND old.p % 4 = 0) THEN old.a ELSE new.a END AS owner, coalesce(new.s, old.s) AS status,
@@ -342,6 +342,6 @@ def _upserted(spark: SparkSession, sf: str):
 
     o = load(spark, sf, "orders")
     new = o.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS project_id", "IF(o_orderkey % 10 = 0, NULL, o_orderpriority) AS owner", "IF(o_orderkey % 7 = 0, 'OPEN', 'CLOSED') AS status")
-    old = o.where("o_orderkey % 5 <> 0").selectExpr("o_orderkey AS project_id", "o_orderpriority AS owner", "IF(o_orderkey % 14 = 0, 'OPEN', 'CLOSED') AS status", "'UNCHANGED' AS lifecycle_state", "o_orderdate AS last_change_at")
+    old = o.where("o_orderkey % 5 <> 0 OR o_orderkey % 10 = 0").selectExpr("o_orderkey AS project_id", "o_orderpriority AS owner", "IF(o_orderkey % 14 = 0, 'OPEN', 'CLOSED') AS status", "'UNCHANGED' AS lifecycle_state", "o_orderdate AS last_change_at")
     overrides = o.where("o_orderkey % 4 = 0").selectExpr("o_orderkey AS project_id", "'owner' AS field_name", "'x' AS automatic_value", "true AS active")
     return upsert_projects(old, new, overrides, "project_id", ["owner"], now())

@@ -257,7 +257,7 @@ def candidate_fact_rows(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("candidate_id", "field_name", F.lower(F.trim("value")).alias("value"), F.lit(True).alias("kept"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g'), ' :：;；,，') AS title FROM pages""")
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
 
