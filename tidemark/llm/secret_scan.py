@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -140,17 +141,20 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Every row of ``docs`` as ``row``, and ``spans``, an array of (start, kind, end) by start, then kind."""
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None, **options) -> DataFrame:
+    """Every row of ``docs`` as ``row`` (all its columns, or those of ``keep``), and ``spans``, an array of (start, kind, end) by start, then kind.
+
+    Rows and spans are joined: columns that aren't wanted, texts above all, should not be kept.
+    """
     found = secrets(docs, doc_id=doc_id, text=text, **options).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     found = found.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "spans")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
+    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return rows.join(found, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left").select("row", F.coalesce("spans", none).alias("spans"))
 
 
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     counts = [n(k).alias(f"n_{name}") for k, (name, *_) in enumerate(PATTERNS)]
     base = F.sha2(_named(F.filter("spans", lambda s: s["kind"] < len(PATTERNS))), 256)
