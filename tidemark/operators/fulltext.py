@@ -1,9 +1,9 @@
 """Ranked full-text search over projects: an inverted index that is refreshed for changed projects only.
 
-The index is a store (``sources.store``) with two tables. ``postings`` (token, project_id, tf, length, segment) is dealt to buckets by token
-and sorted by it, so a search reads the buckets of its words and skips what else they hold; the postings of a frequent token are split over files.
-``sizes`` (project_id, segment, length) tells which segment of a project is the newest. A refresh adds a segment with the new texts of the projects
-given; what older segments hold of them isn't read any more. ``compacted`` makes one segment of all.
+The index is a store (``sources.store``) with two tables. ``postings`` (token, project_id, segment) has a row for each place of a token; every file holds some
+of the texts, sorted by token, so building shuffles nothing, a frequent token is spread over all files, and a search skips the parts of files that its words
+aren't in. ``sizes`` (project_id, segment, length) has a project's number of tokens, and tells which segment of it is the newest. A refresh adds a segment
+with the new texts of the projects given; what older segments hold of them isn't counted any more. ``compacted`` makes one segment of all.
 
 Texts are never joined: each field and announcement is cut into tokens (runs of letters and digits, lower case) where it is, and a
 project's counts are sums. Scores are BM25 over all projects of the index, in whole millionths, so they don't depend on the order of sums.
@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.recall import find_projects, present
-from tidemark.sources.store import Change, Snapshot, Store, bucket_of
+from tidemark.sources.store import Change, Snapshot, Store
 
 #: The fields that are indexed, and the constants of the ranking.
 FIELDS = ("canonical_project_name", "raw_project_name", "project_name", "owner", "agency", "qualification_summary")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TOKEN = r"[\p{L}\p{N}]+"
-#: Words of all queries that are looked up by their buckets; more are joined with the whole index. Projects refreshed since the first segment that are broadcast.
+#: Words of all queries that are looked up in sorted files; more are joined with the whole index. Changed projects that are broadcast to their announcements.
 WORDS, BROADCAST = 10_000, 200_000
 
 
@@ -32,16 +32,14 @@ def _tokens(text):
 
 
 def texts_of(projects: DataFrame, announcements: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """(project_id, text): a row for each project and field, and for each announcement of one of these projects. Null texts are empty."""
+    """(project_id, text): a row for each project and field, and for each announcement. Null texts are empty."""
     own = projects.select("project_id", F.explode(F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in present(projects, *fields)])).alias("text"))
-    said = announcements.join(projects.select("project_id").distinct(), "project_id", "left_semi").select("project_id", F.coalesce("clean_text", F.lit("")).alias("text"))
-    return own.unionByName(said)
+    return own.unionByName(announcements.select("project_id", F.coalesce("clean_text", F.lit("")).alias("text")))
 
 
 def postings_of(texts: DataFrame) -> DataFrame:
-    """(token, project_id, tf, length): how often a project has a token, and how many it has in all."""
-    counted = texts.select("project_id", F.explode(_tokens(F.col("text"))).alias("token")).groupBy("project_id", "token").agg(F.count("*").cast("int").alias("tf"))
-    return counted.select("token", "project_id", "tf", F.sum("tf").over(Window.partitionBy("project_id")).alias("length"))
+    """(token, project_id): a row for each place of a token."""
+    return texts.select(F.explode(_tokens(F.col("text"))).alias("token"), "project_id")
 
 
 def _newest(sizes: DataFrame) -> DataFrame:
@@ -52,21 +50,25 @@ def _newest(sizes: DataFrame) -> DataFrame:
 def refresh(store: Store, projects: DataFrame, announcements: DataFrame, fields: Sequence[str] = FIELDS, removed: DataFrame | None = None) -> Snapshot:
     """Indexes all the given projects anew, with all their announcements, and forgets the ``removed`` (project_id).
 
-    Work grows with the given projects and, by a number each, with all; the postings of the others aren't touched. Projects without a token are in the index
+    Work grows with the given projects and, by a number each, with all; the postings of the others aren't read. Projects without a token are in the index
     with length 0. A project given several times is one with the texts of all its rows.
     """
 
     def change(base: Snapshot):
         segment = base.version + 1
-        texts = texts_of(projects, announcements, fields)
+        ids = projects.select("project_id").distinct()
+        said = announcements
+        if base.version:  # else texts of other projects are without effect, as these have no size
+            said = said.join(F.broadcast(ids) if projects.count() <= BROADCAST else ids, "project_id", "left_semi")
+        texts = texts_of(projects, said, fields)
         postings = postings_of(texts).withColumn("segment", F.lit(segment))
-        lengths = texts.groupBy("project_id").agg(F.sum(F.size(_tokens(F.col("text")))).alias("length"))
+        lengths = texts.groupBy("project_id").agg(F.sum(F.size(_tokens(F.col("text")))).alias("length")).join(ids, "project_id", "left_semi")
         if removed is not None:
-            gone = removed.select("project_id").distinct().join(projects.select("project_id"), "project_id", "left_anti")
+            gone = removed.select("project_id").distinct().join(ids, "project_id", "left_anti")
             lengths = lengths.unionByName(gone.withColumn("length", F.lit(None).cast("long")))
         sizes = lengths.select("project_id", F.lit(segment).alias("segment"), "length")
         return [
-            Change("postings", postings, ("token",), "append", ("token", "project_id")),
+            Change("postings", postings, ("token",), "append", ("token", "project_id"), buckets=1, as_dealt=True),
             Change("sizes", sizes, ("project_id",), "append", ("project_id",)),
         ], lambda after: _numbers(after, base.facts.get("first_segment", segment))
 
@@ -80,26 +82,21 @@ def _numbers(after: Snapshot, first_segment: int) -> dict[str, int]:
     return {"first_segment": first_segment, "projects": live["n"], "tokens": live["tokens"], "refreshed": fresh}
 
 
-def _live(index: Snapshot, buckets: Sequence[int] | None = None) -> DataFrame:
-    """Postings of the newest segment of each project, from all buckets or some."""
-    postings = index.table("postings", buckets)
-    fresh = index.facts["refreshed"]
-    if not fresh:
-        return postings
-    later = index.table("sizes").where(F.col("segment") > index.facts["first_segment"]).groupBy("project_id").agg(F.max("segment").alias("newest"))
-    later = F.broadcast(later) if fresh <= BROADCAST else later
-    return postings.join(later, "project_id", "left").where(F.col("newest").isNull() | (F.col("newest") == F.col("segment"))).drop("newest")
+def _live(index: Snapshot) -> DataFrame:
+    """The newest (project_id, segment, length) of each project of the index."""
+    sizes = index.table("sizes")
+    return (_newest(sizes) if index.facts["refreshed"] else sizes).where("length is not null")
 
 
 def compacted(store: Store) -> Snapshot:
     """The same index with one segment."""
     index = store.snapshot()
     segment = index.version + 1
-    sizes = _newest(index.table("sizes")).where("length is not null").select("project_id", F.lit(segment).alias("segment"), "length")
-    postings = _live(index).select("token", "project_id", "tf", "length", F.lit(segment).alias("segment"))
+    postings = index.table("postings").join(_live(index), ["project_id", "segment"], "left_semi").select("token", "project_id", F.lit(segment).alias("segment"))
+    sizes = _live(index).select("project_id", F.lit(segment).alias("segment"), "length")
     return store.commit(
         index,
-        [Change("postings", postings, ("token",), "replace", ("token", "project_id")), Change("sizes", sizes, ("project_id",), "replace", ("project_id",))],
+        [Change("postings", postings, ("token",), "replace", ("token", "project_id"), buckets=1, as_dealt=True), Change("sizes", sizes, ("project_id",), "replace", ("project_id",))],
         lambda after: _numbers(after, segment),
     )
 
@@ -112,18 +109,19 @@ def rank(index: Snapshot, queries: DataFrame, most: int = 50) -> DataFrame:
     words = queries.select("query_id", F.explode(F.array_distinct(_tokens(F.coalesce("query", F.lit(""))))).alias("token"))
     needed = words.groupBy("query_id").agg(F.count("*").alias("needed"))
     looked_up = words.select("token").distinct()
-    some = looked_up.select("token", bucket_of(["token"], index.tables["postings"].buckets).alias("b")).limit(WORDS + 1).collect()
-    if len(some) <= WORDS:
-        hits = _live(index, sorted({r["b"] for r in some})).where(F.col("token").isin([r["token"] for r in some]))
-    else:
-        hits = _live(index).join(looked_up, "token", "left_semi")
+    some = [r["token"] for r in looked_up.limit(WORDS + 1).collect()]
+    few = len(some) <= WORDS
+    postings = index.table("postings")
+    places = postings.where(F.col("token").isin(some)) if few else postings.join(looked_up, "token", "left_semi")
+    counted = places.groupBy("project_id", "segment", "token").agg(F.count("*").alias("tf"))
+    hits = counted.join(_live(index), ["project_id", "segment"])
     n, mean = index.facts["projects"], index.facts["tokens"] / max(1, index.facts["projects"])
     frequency = hits.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighed = words.join(frequency, "token").select("query_id", "token", idf.alias("idf"))
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
     scored = hits.join(weighed, "token").select("query_id", "project_id", F.round(gain * 1_000_000).cast("long").alias("gain"))
-    found = scored.groupBy("query_id", "project_id").agg(F.sum("gain").alias("score"), F.count("*").alias("n")).join(F.broadcast(needed) if len(some) <= WORDS else needed, "query_id").where("n = needed")
+    found = scored.groupBy("query_id", "project_id").agg(F.sum("gain").alias("score"), F.count("*").alias("n")).join(F.broadcast(needed) if few else needed, "query_id").where("n = needed")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "project_id"))
     return found.withColumn("place", place).where(F.col("place") <= most).select("query_id", "place", "project_id", (F.col("score") / 1_000_000).alias("score"))
 

@@ -1,4 +1,8 @@
-"""A region dictionary: labels of a tree of places, matched within texts. The dictionary is small, checked, and part of the plan."""
+"""A region dictionary: labels of a tree of places, matched within texts.
+
+``Places`` is a small dictionary, read from configuration, whose labels are a constant of the plan. ``label_table`` and ``matched`` are the same for a dictionary of
+any size in a table: stretches of the texts meet labels by hash.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,17 @@ import json
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import bind, normalize_region
+from tidemark.sources.store import new_folder
 
 LEVELS = {"province": 0, "special_region": 0, "city": 1, "prefecture": 1, "county": 2, "district": 2}
-#: Labels that a plan may carry; more belong in a table of their own.
+#: Labels that a plan may carry; more belong in a table of their own (``label_table``).
 MOST = 20_000
+#: Labels that are broadcast; characters of a text that are worked on as one row.
+BROADCAST, BLOCK = 200_000, 256
 _SCHEMA = "array<struct<level:int,length:int,place:int,label:string,code:string,path:array<string>>>"
 
 
@@ -52,7 +59,7 @@ class Places:
                 if plain:
                     rows.append({"level": LEVELS.get(e["level"], 0), "length": len(plain), "place": -i, "label": plain, "code": e["code"], "path": [x["name"] for x in self.chain(e["code"])]})
         if len(rows) > MOST:
-            raise ValueError(f"{len(rows)} labels are more than a plan should carry")
+            raise ValueError(f"{len(rows)} labels are more than a plan should carry: use label_table and matched")
         return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), _SCHEMA)  # folded once to a constant
 
     def match(self, text: Column) -> Column:
@@ -61,6 +68,58 @@ class Places:
         return bind(best, lambda b: F.when(b.isNotNull(), F.struct(b.code.alias("code"), b.path.alias("path"))))
 
 
+def saved(df: DataFrame) -> DataFrame:
+    path = new_folder(df.sparkSession, "places")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def label_table(entries: DataFrame) -> DataFrame:
+    """(label, length, level, place, code, path): every normalised name and alias of a table of places (code, name, aliases, level, parent, place).
+
+    ``place`` is the order of the entries, which decides between labels that are alike; ``path`` are names from the root. A parent that is missing, or that would make
+    a circle, ends the path. Labels that normalise to nothing are left out. A code that occurs twice is an error.
+    """
+    twice = entries.groupBy("code").count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"region code {twice['code']} occurs twice")
+    above = entries.select(F.col("code").alias("up"), F.col("name").alias("up_name"), F.col("parent").alias("up_parent"))
+    paths = saved(entries.select("code", F.array("name").alias("path"), F.array("code").alias("seen"), F.when(F.col("parent") != F.col("code"), F.col("parent")).alias("up")))
+    while paths.where("up is not null").limit(1).count():  # a round for each level of the tree
+        up = F.when(~F.array_contains("seen", F.col("up_parent")), F.col("up_parent"))
+        paths = saved(paths.join(above, "up", "left").select("code", F.when(F.col("up_name").isNull(), F.col("path")).otherwise(F.concat(F.array("up_name"), "path")).alias("path"), F.concat("seen", F.array(F.coalesce("up", "code"))).alias("seen"), up.alias("up")))
+    rank = F.create_map(*[x for level, n in LEVELS.items() for x in (F.lit(level), F.lit(n))])
+    level = F.coalesce(F.try_element_at(rank, F.col("level")), F.lit(0))
+    every = F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    labels = entries.select("code", "place", level.alias("level"), every.alias("label")).withColumn("label", normalize_region(F.col("label"))).where("label <> ''").distinct()
+    return labels.join(paths.select("code", "path"), "code").select("label", F.length("label").alias("length"), "level", "place", "code", "path")
+
+
+def matched(texts: DataFrame, keys: list[str], text: str, labels: DataFrame) -> DataFrame:
+    """``keys``, code and path of the deepest place that a text names, of equal ones that with the longest label, then the first; no row for texts that name none.
+
+    Every place of a text where a label can begin (its first characters, as many as the shortest label has, begin some label) is cut to the lengths that such labels have, and
+    these stretches meet the labels by hash; what wins is an aggregation. ``labels`` (a written table, as of ``label_table``) are read several times, and broadcast up to a count.
+    Rows of equal keys are one text. Null texts name nothing.
+    """
+    size = labels.agg(F.min("length").alias("least"), F.max("length").alias("most"), F.count("*").alias("n")).first()
+    if not size["n"]:
+        return texts.select(*keys, F.lit(None).cast(labels.schema["code"].dataType).alias("code"), F.lit(None).cast("array<string>").alias("path")).limit(0)
+    least, most, block = size["least"], size["most"], max(BLOCK, size["most"])
+    small = (lambda df: F.broadcast(df)) if size["n"] <= BROADCAST else (lambda df: df)
+    cut = texts.select(*keys, F.regexp_extract_all(normalize_region(F.col(text)), F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("_blocks"))
+    # a block and the beginning of the next: a label may run over
+    rows = cut.select(*keys, F.explode(F.transform("_blocks", lambda b, i: F.struct(F.length(b).alias("own"), F.concat(b, F.left(F.coalesce(F.get("_blocks", i + 1), F.lit("")), F.lit(most - 1))).alias("of")))).alias("_b"))
+    begins = rows.select(*keys, F.col("_b.of").alias("_of"), F.explode(F.sequence(F.lit(1), F.col("_b.own"))).alias("_at")).withColumn("_head", F.substring("_of", F.col("_at"), F.lit(least)))
+    heads = labels.groupBy(F.left("label", F.lit(least)).alias("_head")).agg(F.collect_set("length").alias("_lengths"))
+    starts = begins.join(small(heads), "_head").select(*keys, F.col("_of"), "_at", F.explode("_lengths").alias("_length"))
+    stretches = starts.select(*keys, F.substring("_of", F.col("_at"), F.col("_length")).alias("label"), "_length").where(F.length("label") == F.col("_length")).drop("_length")
+    if size["n"] > BROADCAST:
+        stretches = stretches.distinct()
+    best = F.max(F.struct("level", "length", (-F.col("place")).alias("place"), "code", "path"))
+    return stretches.join(small(labels), "label").groupBy(*keys).agg(best.alias("_x")).select(*keys, "_x.code", "_x.path")
+
+
 def region_passes(wanted: Column, actual: Column, whole: Column, exact: bool = False) -> Column:
     """One level of a region filter: the wanted name occurs in the whole place, or the level is empty, or one name holds the other."""
     w, a, t = normalize_region(wanted), normalize_region(actual), normalize_region(whole)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import fulltext
+from tidemark.operators import fulltext, places
 from tidemark.plans.bindings import load
 from tidemark.plans.catalog import query
 from tidemark.sources.store import Store, new_folder
@@ -57,3 +57,35 @@ def refreshed_search(spark: SparkSession, sf: str) -> DataFrame:
     changed = projects.where("agency = 'de'")
     index = fulltext.refresh(store, changed, texts.withColumn("clean_text", F.concat("clean_text", F.lit(" the thing"))))
     return fulltext.rank(index, _typed(spark)).select("query_id", "place", F.col("project_id").alias("doc_id"), "score")
+
+
+#: Two and three words of a benchmark passage are a city and a county of it; every part has a name and ten aliases.
+_DICTIONARY = r"""items AS (SELECT item_id, regexp_extract_all(text, '[^ ]+') AS w FROM benchmark),
+entries AS MATERIALIZED (
+  SELECT 'b' || item_id AS code, array_to_string(w[1:4], ' ') AS name, 0 AS level, NULL AS parent, item_id * 100000 AS place FROM items
+  UNION ALL SELECT 'b' || item_id || '-' || i, w[i] || ' ' || w[i + 1], 1, 'b' || item_id, item_id * 100000 + i * 10 + 2 FROM items, range(1, 1000) r(i) WHERE i < len(w)
+  UNION ALL SELECT 'b' || item_id || '-' || i || '+', array_to_string(w[i:i + 2], ' '), 2, 'b' || item_id || '-' || i, item_id * 100000 + i * 10 + 3 FROM items, range(1, 1000) r(i) WHERE i + 1 < len(w)
+  UNION ALL SELECT 'p' || p_partkey, p_name || ' ' || p_partkey, 2, NULL, 1000000000000 + p_partkey FROM part),
+names AS (SELECT * FROM entries UNION ALL SELECT code, name || ' ' || chr((97 + k)::INT), level, parent, place FROM entries, range(10) r(k) WHERE code LIKE 'p%'),
+plain AS MATERIALIZED (SELECT code, level, place, lower(regexp_replace(name, '[\s，。、；：:（）()【】\[\]「」《》/\\_\-]+', '', 'g')) AS label FROM names),
+texts AS MATERIALIZED (SELECT doc_id, lower(regexp_replace(text, '[\s，。、；：:（）()【】\[\]「」《》/\\_\-]+', '', 'g')) AS t FROM documents),
+best AS (SELECT doc_id, arg_max(code, (level, length(label), -place)) AS code FROM texts JOIN plain ON contains(t, label) GROUP BY 1)"""
+
+
+@query(f"""WITH {_DICTIONARY} SELECT doc_id, b.code, concat_ws('/', gg.name, g.name, e.name) AS path
+  FROM best b JOIN entries e ON e.code = b.code LEFT JOIN entries g ON g.code = e.parent LEFT JOIN entries gg ON gg.code = g.parent""")
+def place_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """The deepest place that a whole text names, by a dictionary of more labels than a plan could carry."""
+    items = load(spark, sf, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("w"))
+    none = F.array().cast("array<string>")
+    roots = items.select(F.concat(F.lit("b"), "item_id").alias("code"), F.array_join(F.slice("w", 1, 4), " ").alias("name"), none.alias("aliases"), F.lit("province").alias("level"), F.lit(None).cast("string").alias("parent"), (F.col("item_id") * 100000).alias("place"))
+    at = items.select("item_id", "w", F.posexplode("w").alias("i", "first"))
+    code = F.concat(F.lit("b"), "item_id", F.lit("-"), F.col("i") + 1)
+    words = lambda n: F.array_join(F.slice("w", F.col("i") + 1, F.lit(n)), " ")
+    place = F.col("item_id") * 100000 + (F.col("i") + 1) * 10
+    cities = at.where(F.col("i") + 1 < F.size("w")).select(code.alias("code"), words(2).alias("name"), none, F.lit("city"), F.concat(F.lit("b"), "item_id"), place + 2)
+    counties = at.where(F.col("i") + 2 < F.size("w")).select(F.concat(code, F.lit("+")).alias("code"), words(3).alias("name"), none, F.lit("county"), code, place + 3)
+    name = F.concat("p_name", F.lit(" "), "p_partkey")
+    parts = load(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey"), name, F.array(*[F.concat(name, F.lit(f" {chr(97 + k)}")) for k in range(10)]), F.lit("district"), F.lit(None).cast("string"), F.lit(1000000000000) + F.col("p_partkey"))
+    labels = places.saved(places.label_table(roots.union(cities).union(counties).union(parts)))
+    return places.matched(load(spark, sf, "documents"), ["doc_id"], "text", labels).select("doc_id", "code", F.array_join("path", "/").alias("path"))

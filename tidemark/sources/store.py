@@ -57,7 +57,8 @@ class Table:
 class Change:
     """Rows for a table. ``append`` adds them, ``upsert`` also removes rows of equal keys (nulls are equal), ``replace`` removes all, ``delete`` only removes equal keys.
 
-    ``order``: columns that files are sorted by, so that filters on them skip parts of files.
+    ``order``: columns that files are sorted by, so that filters on them skip parts of files. ``as_dealt``: rows are written by the tasks that make them, not
+    first brought together by buckets; for tables of one bucket.
     """
 
     table: str
@@ -66,6 +67,7 @@ class Change:
     mode: str = "upsert"
     order: tuple[str, ...] = ()
     buckets: int = BUCKETS
+    as_dealt: bool = False
 
 
 @dataclass(frozen=True)
@@ -142,7 +144,8 @@ class Store:
         folder = f"data/{change.table}/{uuid.uuid4().hex}"
         schema = old.schema if old and change.mode != "replace" else change.rows.schema.json()
         # buckets stay together as far as files of a good size allow; large ones are split
-        dealt = rows.withColumn("_bucket", bucket_of(key, n)).hint("rebalance", "_bucket")
+        dealt = rows.withColumn("_bucket", bucket_of(key, n))
+        dealt = dealt if change.as_dealt else dealt.hint("rebalance", "_bucket")
         dealt.sortWithinPartitions("_bucket", *change.order).write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
         made = [(int(x.split("=")[1]), f"{folder}/{x}") for x in self._names(folder) if x.startswith("_bucket=")]
         return Table(schema, tuple(key), n, tuple(sorted(kept + made)))
