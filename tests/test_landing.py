@@ -45,7 +45,7 @@ def test_connectors(spark):
     assert (row.source_id, row.url, row.published_at) == ("h", "https://h.cn/l/1.html", dt.datetime(2026, 8, 3, 17))
     assert L.listed_items(pages, L.Connector("n", kind="none"), 2026).count() == 0
     known = {"ggzy": c}
-    assert L.connector_of({"source_id": "s", "adapter": "ggzy"}, known) is c and L.connector_of({"source_id": "b", "adapter": "ggzy", "adapter_level": "CUSTOM_BROWSER"}, known).kind == "none"
+    assert L.connector_of({"source_id": "s", "adapter": "ggzy"}, known) == c and L.connector_of({"source_id": "b", "adapter": "ggzy", "adapter_level": "CUSTOM_BROWSER"}, known).kind == "none"
     assert L.connector_of({"source_id": "g", "adapter": "generic:x"}, known).kind == "html" and L.connector_of({"source_id": "o", "adapter": "configured"}, known).kind == "none"
 
 
@@ -117,3 +117,24 @@ def test_document_closure(spark):
     assert got[1].candidate_values["owner"] == "甲" and got[1].candidate_values["project_name"] == "乙能源基地" and got[1].completeness_score == 15 + 10 + 10 + 3 + 2 and got[1].enrichment_state == "PARTIAL"
     assert (got[2].blocker, got[2].enrichment_state) == ("EXTRACTION_FAILED", "BLOCKED") and got[3].completeness_score == 0
     assert {r.field_name for r in every.collect()} == {"project_name", "owner", "bid_deadline"}
+
+
+def test_sites_are_configuration(spark):
+    from tidemark.operators.landing import connector_of, listed_items, metadata_of
+    from tidemark.sources.sites import SITES
+
+    read = lambda adapter, url, body, terms="": [(r.url, r.title, str(r.published_at or "")[:10]) for r in listed_items(spark.createDataFrame([(1, url, body)], "page int, url string, body string"), connector_of({"source_id": "s", "adapter": adapter, "base_url": "https://h.cn/"}, SITES), 2026, terms).orderBy("url").collect()]
+    anchors = "<ul><li><a href='/cggg/dfgg/gkzb/t1.htm'>One</a> 2026-08-01</li><li><a href='/about.htm'>About</a></li></ul>"
+    assert read("ccgp", "https://h.cn/cggg/", anchors) == [("https://h.cn/cggg/dfgg/gkzb/t1.htm", "One", "2026-08-01")]
+    ids = "<div><a href=\"javascript:urlOpen('u-1')\">Bulletin</a> 2026-08-02</div><div><a href='/x'>other</a></div>"
+    assert read("cebpubservice", "https://h.cn/", ids) == [("https://ctbpsp.com/#/bulletinDetail?uuid=u-1&inpvalue=&dataSource=0&tenderAgency=", "Bulletin", "2026-08-02")]
+    assert read("gsei", "https://h.cn/", "<p><a href='/html/1336/2026-08-03/content-7.html'>G</a>2026-08-03</p><p><a href='/html/1/list.html'>no</a></p>") == [("https://h.cn/html/1336/2026-08-03/content-7.html", "G", "2026-08-03")]
+    named = "<ul><li><a class='infolink' title='Whole title' href='/bidweb/001/1.html'>Whole...</a><i class='author'>C-1</i>2026-08-04</li></ul>"
+    assert read("chnenergy_e_zhao", "https://h.cn/", named) == [("https://h.cn/bidweb/001/1.html", "Whole title", "2026-08-04")]
+    assert read("xinjiang_ggzy", "x", '{"result": {"records": [{"title": "X", "linkurl": "https://ggzy.xinjiang.gov.cn/jyxx/1.html", "webdate": "2026-08-05"}]}}') == [("https://ggzy.xinjiang.gov.cn/xinjiangggzy_new/jyxx/1.html", "X", "2026-08-05")]
+    body = '{"data": {"rows": [{"id": "a/1", "title": "P", "publishTime": "2026-08-06", "procuringEntity": "Owner", "tenderNumber": "T-1", "bidOpenTime": ""}]}}'
+    assert read("powerchina", "x", body) == [("https://bid.powerchina.cn/notice/detail?id=a%2F1", "P", "2026-08-06")]
+    items = listed_items(spark.createDataFrame([(1, "x", body)], "page int, url string, body string"), SITES["powerchina"], 2026)
+    said = items.select(metadata_of(F.col("content"), SITES["powerchina"]).alias("m")).first().m
+    assert said == {"owner": "Owner", "purchaser": "Owner", "tendercode": "T-1", "published_at": "2026-08-06", "powerchina_id": "a/1"}
+    assert connector_of({"source_id": "s", "adapter": "unknown"}, SITES).kind == "none" and set(SITES) == {c.source_id for c in SITES.values()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import places
 from tidemark.operators.places import Places, label_table, matched
+from tidemark.sources.store import saved
 
 LEVELS = ["province", "city", "county", "special_region", "district", "village"]
 
@@ -31,7 +32,7 @@ def test_equal_to_the_array_form(spark, monkeypatch, n, broadcast):
     entries = made(rng, n)
     texts = [(i, "".join(rng.choice("甲乙丙丁ab😀 -，x") for _ in range(rng.choice([0, 3, 10, 60, 300])))) for i in range(60)] + [(60, None), (61, "")]
     df = spark.createDataFrame(texts, "id int, text string")
-    labels = places.saved(label_table(table(spark, entries)))
+    labels = saved(label_table(table(spark, entries)), "labels")
     got = {r.id: (r.code, r.path) for r in matched(df, ["id"], "text", labels).collect()}
     want = df.select("id", Places(entries).match(F.col("text")).alias("m")).where("m is not null").collect()
     assert got == {r.id: (r.m.code, r.m.path) for r in want} and (n == 1 or got)
@@ -39,7 +40,7 @@ def test_equal_to_the_array_form(spark, monkeypatch, n, broadcast):
 
 def test_many_labels_long_texts_and_none(spark):
     entries = [{"code": f"c{i}", "name": f"place {i:05d}", "aliases": [f"alias{i}"], "level": "city", "parent": "c0" if i else None} for i in range(30_000)]
-    labels = places.saved(label_table(table(spark, entries)))
+    labels = saved(label_table(table(spark, entries)), "labels")
     assert labels.count() == 60_000
     texts = [(1, "x" * 5000 + " Place-29 999 " + "y" * 300 + "alias7"), (2, "nothing"), (3, "alias12345 and alias1"), (1, "place 00003")]
     got = {r.id: (r.code, r.path) for r in matched(spark.createDataFrame(texts, "id int, text string"), ["id"], "text", labels).collect()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from tidemark.operators import runs
 from tidemark.operators.core import conflicts
 from tidemark.operators.notices import evidence_of, extract_notices
 from tidemark.sources import html as H
+from tidemark.sources.select import Items
+from tidemark.sources.select import list_items as selected_items
 
 #: Keys below which search answers keep their records, and the usual names of a record's fields.
 ENVELOPE = ("records", "data", "items", "rows", "list", "result", "content")
@@ -25,7 +27,8 @@ ITEM = "source_id string, url string, title string, published_at timestamp_ntz,
 @dataclass(frozen=True)
 class Connector:
     """How a source's landed answers are read: ``kind`` json or html; ``fields``: its names for the usual ones; ``detail``: a url with ``{}`` for a
-    record's id; ``rewrite``: a path's beginning and what takes its place."""
+    record's id; ``rewrite``: a path's beginning and what takes its place; ``page``: by tags and classes, or by selectors; ``lists``: paths of its list pages; ``metadata``: its names for
+    what records say beside the usual; ``filtered``: the site doesn't search by all terms, so its items are filtered by them."""
 
     source_id: str
     kind: str = "json"
@@ -33,7 +36,10 @@ class Connector:
     fields: Mapping[str, Sequence[str]] = field(default_factory=dict)
     detail: str = ""
     rewrite: tuple[str, str] = ("", "")
-    page: H.ListPage = field(default_factory=H.ListPage)
+    page: H.ListPage | Items = field(default_factory=H.ListPage)
+    lists: Sequence[str] = ()
+    metadata: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    filtered: bool = False
 
 
 def json_records(body: Column, depth: int = 4) -> Column:
@@ -50,13 +56,15 @@ def json_records(body: Column, depth: int = 4) -> Column:
 def listed_items(answers: DataFrame, c: Connector, year: int, terms: str = "") -> DataFrame:
     """source_id, url, title, published_at, content of landed answers (page, url, body), each url once, the first page's first; only items that hold all ``terms``."""
     spark = answers.sparkSession
-    if c.kind == "html":
+    if c.kind == "html" and isinstance(c.page, Items):
+        rows = selected_items(answers, "page", "url", "body", c.page, year)
+    elif c.kind == "html":
         rows = H.list_items(answers, "page", "url", "body", c.page, year)
         rows = rows.select("page", F.lit(0).alias("at"), "url", "title", "published_at", "content")
     elif c.kind == "json":
         one = answers.select("page", F.posexplode(json_records(F.col("body"))).alias("at", "r"))
         named = lambda n: F.coalesce(*[F.nullif(F.trim(F.get_json_object("r", f"$.{k}")), F.lit("")) for k in c.fields.get(n, USUAL[n])])
-        link = F.replace(F.lit(c.detail), F.lit("{}"), named("url")) if c.detail else named("url")
+        link = F.replace(F.lit(c.detail), F.lit("{}"), F.url_encode(named("url"))) if c.detail else named("url")
         link = F.when(F.startswith(link, F.lit(c.rewrite[0])), F.concat(F.lit(c.rewrite[1]), F.substring(link, len(c.rewrite[0]) + 1, 10_000))).otherwise(link) if c.rewrite[0] else link
         rows = one.select("page", "at", H.absolute_url(link, F.lit(c.base_url)).alias("url"), H.visible(named("title")).alias("title"), parse_datetime(named("published_at"), year).alias("published_at"), F.col("r").alias("content"))
     else:
@@ -68,6 +76,13 @@ def listed_items(answers: DataFrame, c: Connector, year: int, terms: str = "") -
     return first.select(F.lit(c.source_id).alias("source_id"), "url", "x.title", "x.published_at", "x.content")
 
 
+def metadata_of(content: Column, c: Connector) -> Column:
+    """What a record says under a site's own names, by the usual names; a name without a value isn't in the map."""
+    named = lambda keys: F.coalesce(*[F.nullif(F.trim(F.get_json_object(content, f"$.{k}")), F.lit("")) for k in keys])
+    every = F.array(*[F.struct(F.lit(n).alias("key"), named(keys).alias("value")) for n, keys in c.metadata.items()])
+    return F.map_from_entries(F.filter(every, lambda e: e.value.isNotNull())) if c.metadata else F.create_map().cast("map<string,string>")
+
+
 def connector_of(definition: Mapping, known: Mapping[str, Connector]) -> Connector:
     """The connector of a registered source: one that its adapter names, a configured page, or one that reads nothing (browser and catalogue sources)."""
     if definition.get("adapter_level") == "CUSTOM_BROWSER":
@@ -75,7 +90,8 @@ def connector_of(definition: Mapping, known: Mapping[str, Connector]) -> Connect
     adapter = str(definition.get("adapter") or "")
     if adapter.startswith("generic"):
         return Connector(definition["source_id"], kind="html", base_url=str(definition.get("base_url") or ""))
-    return known.get(adapter, Connector(definition["source_id"], kind="none"))
+    found = known.get(adapter)
+    return replace(found, source_id=definition["source_id"], base_url=str(definition.get("base_url") or found.base_url)) if found else Connector(definition["source_id"], kind="none")
 
 
 def since(items: DataFrame, state: DataFrame, now: Column, days: int, asked: int | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import bind, normalize_region
-from tidemark.sources.store import new_folder
+from tidemark.sources.store import saved
 
 LEVELS = {"province": 0, "special_region": 0, "city": 1, "prefecture": 1, "county": 2, "district": 2}
 #: Labels that a plan may carry; more belong in a table of their own (``label_table``).
@@ -68,12 +68,6 @@ class Places:
         return bind(best, lambda b: F.when(b.isNotNull(), F.struct(b.code.alias("code"), b.path.alias("path"))))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    path = new_folder(df.sparkSession, "places")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def label_table(entries: DataFrame) -> DataFrame:
     """(label, length, level, place, code, path): every normalised name and alias of a table of places (code, name, aliases, level, parent, place).
 
@@ -84,10 +78,10 @@ def label_table(entries: DataFrame) -> DataFrame:
     if twice:
         raise ValueError(f"region code {twice['code']} occurs twice")
     above = entries.select(F.col("code").alias("up"), F.col("name").alias("up_name"), F.col("parent").alias("up_parent"))
-    paths = saved(entries.select("code", F.array("name").alias("path"), F.array("code").alias("seen"), F.when(F.col("parent") != F.col("code"), F.col("parent")).alias("up")))
+    paths = saved(entries.select("code", F.array("name").alias("path"), F.array("code").alias("seen"), F.when(F.col("parent") != F.col("code"), F.col("parent")).alias("up")), "places")
     while paths.where("up is not null").limit(1).count():  # a round for each level of the tree
         up = F.when(~F.array_contains("seen", F.col("up_parent")), F.col("up_parent"))
-        paths = saved(paths.join(above, "up", "left").select("code", F.when(F.col("up_name").isNull(), F.col("path")).otherwise(F.concat(F.array("up_name"), "path")).alias("path"), F.concat("seen", F.array(F.coalesce("up", "code"))).alias("seen"), up.alias("up")))
+        paths = saved(paths.join(above, "up", "left").select("code", F.when(F.col("up_name").isNull(), F.col("path")).otherwise(F.concat(F.array("up_name"), "path")).alias("path"), F.concat("seen", F.array(F.coalesce("up", "code"))).alias("seen"), up.alias("up")), "places")
     rank = F.create_map(*[x for level, n in LEVELS.items() for x in (F.lit(level), F.lit(n))])
     level = F.coalesce(F.try_element_at(rank, F.col("level")), F.lit(0))
     every = F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import fulltext, places
 from tidemark.plans.bindings import load
+from tidemark.sources.select import Items, list_items, parsed, select, with_html
 from tidemark.plans.catalog import query
-from tidemark.sources.store import Store, new_folder
+from tidemark.sources.store import Store, new_folder, saved
 
 #: Typed queries: frequent words of several languages, a repeated one, a name of a source, one that nothing has.
 TYPED = {1: "the thing", 2: "Die und, die!", 3: "src1 de la", 4: "que", 5: "of nothing-like-this"}
@@ -87,5 +88,23 @@ def place_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     counties = at.where(F.col("i") + 2 < F.size("w")).select(F.concat(code, F.lit("+")).alias("code"), words(3).alias("name"), none, F.lit("county"), code, place + 3)
     name = F.concat("p_name", F.lit(" "), "p_partkey")
     parts = load(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey"), name, F.array(*[F.concat(name, F.lit(f" {chr(97 + k)}")) for k in range(10)]), F.lit("district"), F.lit(None).cast("string"), F.lit(1000000000000) + F.col("p_partkey"))
-    labels = places.saved(places.label_table(roots.union(cities).union(counties).union(parts)))
+    labels = saved(places.label_table(roots.union(cities).union(counties).union(parts)), "labels")
     return places.matched(load(spark, sf, "documents"), ["doc_id"], "text", labels).select("doc_id", "code", F.array_join("path", "/").alias("path"))
+
+
+@query(r"""WITH navs AS (SELECT page_id, url, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>(<a href="[^"]*">[^<]*</a>)', 1)) AS a FROM pages),
+read AS (SELECT page_id, regexp_extract(url, '^[^/?#]*//[^/?#]*', 0) || regexp_extract(a, 'href="([^"]*)"', 1) AS url, trim(replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&'), ' :：;；,，') AS title FROM navs)
+SELECT page_id, url, title, count(*) AS n FROM read WHERE title <> '' GROUP BY ALL""")
+def navigation_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The links of each page's navigation, as items that selectors name; how often the page has each."""
+    items = list_items(load(spark, sf, "pages"), "page_id", "url", "html", Items("nav ul > li", "a[href]", "a[href]"), 2026)
+    return items.groupBy("page_id", "url", "title").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(a, '<p[ >]')) AS n_paragraphs, length(a) AS size FROM (SELECT page_id, regexp_extract(regexp_replace(html, '(?is)<!--.*?-->|<(script|style|noscript|template|svg|canvas)\b[^>]*>.*?</(script|style|noscript|template|svg|canvas)\s*>', ' ', 'g'), '(?s)<article>.*?</article>', 0) AS a FROM pages) WHERE a <> ''""")
+def article_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The article of each page and its paragraphs, whether they are closed or not."""
+    page = parsed(load(spark, sf, "pages"), ["page_id"], "html")
+    articles = with_html(page, select(page, "article")).select("page_id", F.length("html").cast("long").alias("size"))
+    inner = select(page, "article p").groupBy("page_id").agg(F.count("*").alias("n"))
+    return articles.join(inner, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"), "size")

@@ -39,6 +39,13 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder, which is read as often as needed."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Conflict(RuntimeError):
     """Another commit came first."""
 
