@@ -74,16 +74,42 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
+#: Characters of a name that are compared as the bits of one number.
+BITS = 61
+
+
+def places_of(chars: Column) -> Column:
+    """A map from each character of an array of at most ``BITS`` to its places, as bits."""
+    bits = lambda c: F.aggregate(F.transform(chars, lambda y, j: F.when(y == c, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("key"), bits(c).alias("value"))))
+
+
+def common_by_bits(xs: Column, places: Column, size: Column) -> Column:
+    """Length of the longest common subsequence of an array of characters and a name of ``size`` characters, given by its ``places_of``.
+
+    Bit j of the state is 0 where a row of the dynamic program rises at j; a character changes the whole row by one addition.
+    """
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), size) - F.lit(1).cast("long")
+
+    def step(v: Column, x: Column) -> Column:
+        here = F.coalesce(F.try_element_at(places, x), F.lit(0).cast("long"))
+        return (v + v.bitwiseAND(here)).bitwiseOR(v.bitwiseAND(F.bitwise_not(here))).bitwiseAND(full)
+
+    return size - F.bit_count(F.aggregate(xs, full, step))
+
+
 def indel_ratio(a: Column, b: Column) -> Column:
-    """200 times the longest common subsequence over both lengths; 0 if either is empty. One row of the table at a time."""
-    xs, ys = F.filter(F.split(a, ""), lambda x: x != ""), F.filter(F.split(b, ""), lambda x: x != "")
+    """200 times the longest common subsequence over both lengths; 0 if either is empty. By the bits of a number where the shorter text allows, else one row of the table at a time."""
+    first = F.length(a) >= F.length(b)
+    xs, ys = (F.filter(F.split(c, ""), lambda x: x != "") for c in (F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)))
     zero = F.transform(F.sequence(F.lit(0), F.size(ys)), lambda _: F.lit(0))
 
     def row(prev: Column, x: Column) -> Column:
         step = lambda acc, j: F.concat(acc, F.array(F.when(F.get(ys, j) == x, F.get(prev, j) + 1).otherwise(F.greatest(F.get(prev, j + 1), F.element_at(acc, -1)))))
         return F.aggregate(F.sequence(F.lit(0), F.size(ys) - 1), F.array(F.lit(0)), step)
 
-    lcs = F.element_at(F.aggregate(xs, zero, row), -1)
+    by_bits = bind(places_of(ys), lambda places: common_by_bits(xs, places, F.size(ys)))
+    lcs = F.when(F.least(F.length(a), F.length(b)) <= BITS, by_bits).otherwise(F.element_at(F.aggregate(xs, zero, row), -1))
     return F.when((F.length(a) > 0) & (F.length(b) > 0), 200.0 * lcs / (F.length(a) + F.length(b))).otherwise(0.0)
 
 
