@@ -27,8 +27,6 @@ from tidemark.sources.store import saved
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 OPEN = ("li", "p", "td", "th", "tr", "dt", "dd", "option", "thead", "tbody")
 TOKEN = r"<[A-Za-z/!][^<>]*>|[^<]+|<"
-#: Tokens that meet elements as one stretch.
-STRETCH = 64
 
 _STEP = re.compile(r"\s*(>?)\s*((?:[\w*-]+|\#[\w-]+|\.[\w-]+|\[[^\]]*\])+)")
 _PART = re.compile(r"(?P<tag>^(?:\*|[\w-]+))|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<name>[\w:-]+)\s*(?:(?P<op>[*^$~]?=)\s*[\"']?(?P<value>[^\"'\]]*)[\"']?\s*)?\]")
@@ -36,10 +34,10 @@ _PART = re.compile(r"(?P<tag>^(?:\*|[\w-]+))|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|
 
 @dataclass(frozen=True)
 class Page:
-    """Tokens (keys, at, raw) and elements (keys, at, end, tag, raw) of pages; ``end`` is the place behind an element."""
+    """Pages (keys, _html) and their elements (keys, at, end, tag, raw): places count tokens, ``end`` is the place behind an element."""
 
     keys: tuple[str, ...]
-    tokens: DataFrame
+    pages: DataFrame
     elements: DataFrame
 
 
@@ -49,22 +47,29 @@ def attribute(raw: Column, name: str) -> Column:
     return F.when(F.regexp_like(raw, F.lit(rf"(?is)[\s\"']{re.escape(name)}(?=[\s=/>])")), value)
 
 
+def _tokens(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
+
+
 def parsed(pages: DataFrame, keys: Sequence[str], html: str) -> Page:
-    """Tokens and elements of pages, one a row of ``keys``. Null pages have none."""
+    """Elements of pages, one page for each value of ``keys``. Null pages have none."""
     keys = tuple(keys)
-    tokens = pages.select(*keys, F.posexplode(F.regexp_extract_all(cleaned(F.col(html)), F.lit(TOKEN), F.lit(0))).alias("at", "raw"))
-    tags = tokens.withColumn("tag", F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))).where("tag <> ''")
+    whole = pages.select(*keys, cleaned(F.col(html)).alias("_html"))
+    tokens = whole.select(*keys, F.posexplode(_tokens(F.col("_html"))).alias("at", "raw"))
+    # one exchange, by page, serves all windows
+    tags = tokens.where(F.regexp_like("raw", F.lit("^</?[A-Za-z]"))).withColumn("last", F.max("at").over(Window.partitionBy(*keys)))
+    tags = tags.withColumn("tag", F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1)))
     closes = F.startswith("raw", F.lit("</"))
     tags = tags.withColumns({"closes": closes, "step": F.when(closes, -1).otherwise(1), "void": F.col("tag").isin(*VOID)}).where("not (void and closes)")
     kind = Window.partitionBy(*keys, "tag")
     running = F.sum("step").over(kind.orderBy("at"))
     left_open = F.col("tag").isin(*OPEN) & (F.sum("step").over(kind) != 0)
     level = F.when(left_open, 0).otherwise(running + F.when(closes, 1).otherwise(0))
-    leveled = tags.withColumns({"level": level, "last": F.max("at").over(Window.partitionBy(*keys))})
+    leveled = tags.withColumn("level", level)
     same = Window.partitionBy(*keys, "tag", "level").orderBy("at")
     behind = F.lead("at").over(same) + F.when(F.lead("closes").over(same), 1).otherwise(0)
     ended = leveled.withColumn("end", F.when(F.col("void"), F.col("at") + 1).otherwise(F.coalesce(behind, F.col("last") + 1)))
-    return Page(keys, tokens, ended.where(~F.col("closes")).select(*keys, "at", "end", "tag", "raw"))
+    return Page(keys, whole, ended.where(~F.col("closes")).select(*keys, "at", "end", "tag", "raw"))
 
 
 def innermost(page: Page, which: Column) -> DataFrame:
@@ -150,15 +155,13 @@ def select(page: Page, selector: str) -> DataFrame:
 
 
 def with_html(page: Page, nodes: DataFrame, begin: str = "at", end: str = "end", name: str = "html") -> DataFrame:
-    """``nodes`` with the page from ``begin`` up to ``end``. Tokens and nodes meet by stretches, so a page's cost grows with what its nodes hold."""
+    """``nodes`` with what their page has from ``begin`` up to ``end``; null if these are. The nodes of a page meet it once, as a list, and are cut from its tokens there."""
     keys = page.keys
-    spans = nodes.select(*keys, F.col(begin).alias("_b"), F.col(end).alias("_e")).where("_b is not null").distinct()
-    spread = spans.withColumn("_s", F.explode(F.sequence(F.floor(F.col("_b") / STRETCH), F.floor((F.col("_e") - 1) / STRETCH))))
-    tokens = page.tokens.withColumn("_s", F.floor(F.col("at") / STRETCH)).select(*_renamed(keys), F.col("at").alias("_token"), "raw", F.col("_s").alias("_of"))
-    met = spread.join(tokens, [*_same(keys), F.col("_s") == F.col("_of"), F.col("_token") >= F.col("_b"), F.col("_token") < F.col("_e")])
-    texts = met.groupBy(*keys, "_b", "_e").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_token", "raw"))), lambda t: t["raw"]), "").alias(name))
-    texts = texts.select(*_renamed(keys), "_b", "_e", name)
-    return nodes.join(texts, [*_same(keys), F.col(begin) == F.col("_b"), F.col(end) == F.col("_e")], "left").select(*nodes.columns, name)
+    of_page = nodes.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in nodes.columns if c not in keys])).alias("_nodes"))
+    met = of_page.join(page.pages.select(*_renamed(keys), "_html"), _same(keys)).select(*keys, "_nodes", _tokens(F.col("_html")).alias("_tokens"))
+    cut = F.transform("_nodes", lambda n: F.struct(n.alias("_node"), F.array_join(F.slice("_tokens", n[begin] + 1, n[end] - n[begin]), "").alias(name)))
+    each = met.select(*keys, F.explode(cut).alias("_x"))
+    return each.select(*[F.col(c) if c in keys else F.col(f"_x._node.{c}") for c in nodes.columns], f"_x.{name}")
 
 
 @dataclass(frozen=True)
