@@ -88,6 +88,36 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return named.mapInPandas(decode, "path string, suffix string, content_hash string, text string, error string")
 
 
+def texts_of(suffix: str, data: bytes) -> list[tuple[str | None, str | None, str | None]]:
+    """(member, text, error) of a file's bytes: one without a member, or one for each member of an archive that is expanded; a fault of the whole file is one row."""
+    if suffix == "zip":
+        return [(member, text, error) for _, member, _, text, error in _expanded("", data, False)]
+    if suffix in OFFICE:
+        try:
+            return [(None, office_text(suffix, data), None)]
+        except ValueError as broken:
+            return [(None, None, str(broken))]
+    if suffix not in PARSEABLE:
+        return [(None, None, "UNSUPPORTED_TYPE")]
+    for code in ("utf-8-sig", "gb18030", "big5"):
+        try:
+            return [(None, data.decode(code), None)]
+        except UnicodeDecodeError:
+            continue
+    return [(None, data.decode("utf-8", "replace"), None)]
+
+
+def landed_texts(files: DataFrame) -> DataFrame:
+    """content_hash, suffix, member, text, error of landed files (content_hash, suffix, content), read on the executors."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for key, suffix, data in zip(p["content_hash"], p["suffix"], p["content"], strict=True):
+                yield pd.DataFrame([(key, suffix, *row) for row in texts_of(suffix or "", bytes(data))], columns=["content_hash", "suffix", "member", "text", "error"])
+
+    return files.select("content_hash", "suffix", "content").mapInPandas(read, "content_hash string, suffix string, member string, text string, error string")
+
+
 def member_fault(info: zipfile.ZipInfo, seen: set[str]) -> str | None:
     """Why a member of an archive isn't expanded; None if it may be. ``seen``: names taken before."""
     steps = info.filename.replace("\\", "/").split("/")
