@@ -128,8 +128,8 @@ def test_mixing(spark, docs, empty):
     plan = mixing.plan_mix(docs).collect()
     sizes = {}
     for r in plan:
-        assert r["size"] == len(WORD.findall(r.text or ""))
-        sizes[r.source] = sizes.get(r.source, 0) + r["size"]
+        assert r["size"] == len(WORD.findall(r.row.text or ""))
+        sizes[r.row.source] = sizes.get(r.row.source, 0) + r["size"]
     order = sorted(k for k in sizes if k is not None) + [None]
     weight = {k: i % 3 + 1 for i, k in enumerate(order)}
     full, level = set(), 0.0
@@ -140,9 +140,10 @@ def test_mixing(spark, docs, empty):
             break
         full |= more
     for r in plan:
-        assert r.target == pytest.approx(3 * sizes[r.source] if r.source in full else weight[r.source] * level)
-        rate = min(3.0, r.target / sizes[r.source]) if sizes[r.source] else 0
-        u = int(hashlib.md5(f"mix:{r.doc_id if r.doc_id is not None else ''}".encode()).hexdigest()[:13], 16) / 2**52
+        source = r.row.source
+        assert r.target == pytest.approx(3 * sizes[source] if source in full else weight[source] * level)
+        rate = min(3.0, r.target / sizes[source]) if sizes[source] else 0
+        u = int(hashlib.md5(f"mix:{r.row.doc_id if r.row.doc_id is not None else ''}".encode()).hexdigest()[:13], 16) / 2**52
         assert r.copies == math.floor(rate) + (u < rate - math.floor(rate)) <= 3
     out = mixing.mix(docs)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in plan)

@@ -7,8 +7,8 @@ seeded by a hash of its id, falls below the fraction.
 
 Defined cases. Null text: size 0. Null source: a source of its own, last in order. Null id: drawn as the empty
 string. Repeated rows: each counts and is drawn by its id, so alike. A source without words: target and rate 0.
-No documents: no rows. Equal draws don't matter, as each is compared with its own fraction. Further columns
-are kept; those named like the columns added here are replaced.
+No documents: no rows. Equal draws don't matter, as each is compared with its own fraction. Very long texts are
+counted whole, where they are. Further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import maybe_broadcast, n_words, table, written
 
-ADDED = ("size", "source_size", "target", "rate", "copies")
-
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> tuple[DataFrame, int]:
     """(source, source_size, target, rate) from (source, source_size), and the number of sources; weights repeat over the sources by code point, null last.
@@ -51,27 +49,27 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: i
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Every document with its size, its source's size, target and rate, and the number of copies that the mix takes."""
-    bare = docs.drop(*[c for c in docs.columns if c in ADDED])
-    sized = bare.withColumn("size", n_words(F.col(text)))
+    """Every document as ``row``, with its size, its source's size, target and rate, and the number of copies that the mix takes."""
+    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("string").alias("drawn"), F.col(source).alias("of"), n_words(F.col(text)).alias("size"))
     sizes = docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
     targets, n = source_targets(sizes, weights, most)
-    targets = targets.withColumnRenamed("source", "mixed_source")
-    joined = sized.join(maybe_broadcast(targets, n, 100_000), F.col(source).eqNullSafe(F.col("mixed_source"))).drop("mixed_source")
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+    joined = sized.join(maybe_broadcast(targets, n, 100_000), F.col("of").eqNullSafe(F.col("source")))
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce("drawn", F.lit(""))).cast("binary"))
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     whole = F.floor("rate")
-    return joined.withColumn("copies", (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int"))
+    copies = (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int")
+    return joined.select("row", "size", "source_size", "target", "rate", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it, with the columns of ``docs``."""
-    return plan_mix(docs, **options).withColumn("copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))))).select(*docs.columns)
+    copy = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))))
+    return plan_mix(docs, **options).select("row", copy.alias("copy")).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = plan_mix(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    plan = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return plan.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 SQL = r"""

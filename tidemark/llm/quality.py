@@ -6,7 +6,7 @@ least hash of their id. A fifth of them is held out to calibrate probabilities (
 each class has among all labels. Texts are scored in Arrow batches and kept at a fixed probability.
 
 Defined cases. Null text: no words, so it fails the base. Null labels or ids without a text: not trained on. Repeated
-ids among the labels: each row counts. Labels of one class or none: the classifier keeps all. Repeated rows: alike.
+ids among the labels: each row counts, among the documents: the text of least hash is trained on, all are judged. Labels of one class or none: the classifier keeps all. Repeated rows: alike.
 Empty table: no rows. Further columns are ignored, or kept by ``keep_good``; those named like the added ones are too.
 A very long text is held whole, its words and code points as arrays of some twenty times its bytes, and hashed in pieces.
 """
@@ -158,7 +158,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, do
     h = F.xxhash64(F.lit("quality"), "doc_id")
     some = [known.where(F.col("quality") == q).orderBy(h, "doc_id").limit(sample) for q in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(5)) == 0))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(chosen, "doc_id").select("text", "quality", "held", "doc_id")
+    # of the documents of one id, one is trained on, so the sample bounds them whatever their number
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    one = own.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    texts = one.join(chosen, "doc_id").select("text", "quality", "held", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text", 1 << 20):
