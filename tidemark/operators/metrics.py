@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import first_match, yes
-from tidemark.functions.text import bind, normalize_identity
+from tidemark.functions.text import normalize_identity
 
 #: What each fact adds to completeness, and what attachments and evidence add.
 WEIGHTS = {
@@ -142,46 +142,42 @@ def recall_cases(cases: DataFrame, rows: DataFrame, artifacts: DataFrame) -> Dat
     return j.select("case_id", "region", "availability", status.alias("status"), by.alias("matched_by"), "matched_project_id", (~absent).alias("observable"))
 
 
-#: Characters by which cases and texts meet, at most, where a term has few words; else words.
-GRAM, WORDS = 16, 3
+#: Characters by which cases and texts meet, at most; stretches of cases that are broadcast, and their hashes beyond that.
+GRAM, BROADCAST, HASHES = 16, 200_000, 2_000_000
 
 
-def _char_grams(text: Column, n: Column) -> Column:
-    """All stretches of ``n`` characters. A text is taken apart once, as characters can't be reached by place."""
-    grams = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array().cast("array<string>"))
-    return bind(F.filter(F.split(text, ""), lambda x: x != ""), grams)
-
-
-def _word_grams(text: Column, inner: bool) -> Column:
-    """All stretches of ``WORDS`` words with the white space behind each; ``inner``: without the first and last word, which may be parts of words."""
-    end = WORDS + 2 * inner
-
-    def grams(p: Column) -> Column:
-        joined = lambda i: F.concat(*[F.get(p, i + k) for k in range(WORDS)])
-        return F.when(F.size(p) >= end, F.transform(F.sequence(F.lit(int(inner)), F.size(p) - end + int(inner)), joined)).otherwise(F.array().cast("array<string>"))
-
-    return bind(F.split(text, r"(?<=\s)(?=\S)"), grams)
+def stretches(rows: DataFrame, keys: list[str], text: str, sizes: list[int], block: int = 64) -> DataFrame:
+    """``keys``, stretch: every stretch of each of ``sizes`` characters of a text. A text is cut to blocks first, each with the beginning of the next, so that characters are reached in few steps."""
+    most = max(sizes)
+    block = max(block, most)
+    cut = rows.select(*keys, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("_blocks"))
+    whole = F.transform("_blocks", lambda b, i: F.struct(F.length(b).alias("own"), F.concat(b, F.left(F.coalesce(F.get("_blocks", i + 1), F.lit("")), F.lit(most - 1))).alias("of")))
+    begins = cut.select(*keys, F.explode(whole).alias("_b")).select(*keys, F.col("_b.of").alias("_of"), F.explode(F.sequence(F.lit(1), F.col("_b.own"))).alias("_at"))
+    return begins.select(*keys, F.explode(F.array(*[F.substring("_of", F.col("_at"), F.lit(n)) for n in sizes])).alias("stretch"))
 
 
 def containing(cases: DataFrame, rows: DataFrame, case_id: str, terms: str, row_id: str, text: str, gram: int = GRAM) -> DataFrame:
     """(case_id, row_id) of each row whose text holds all terms of a case, of any number of cases.
 
-    A case's rarest gram (by the rows that hold it) stands for it: rows meet cases by hash join on that gram, and whole terms are looked for in
-    what has met. Grams are three words where a term has two more, else characters; a shorter term is one by itself. Rows are read once, and only
-    grams that some case has leave them.
+    The beginning and the end of each term, up to ``gram`` characters, are its stretches. Rows' stretches of these sizes are held against those of the cases, which are broadcast up to a
+    count, before anything is shuffled. A case's rarest stretch (by the rows that hold it) stands for it: rows meet cases by hash join on it, and whole terms are looked for in what has met.
     """
-    worded = lambda t: F.size(F.split(t, r"(?<=\s)(?=\S)")) >= WORDS + 2
-    size = lambda t: F.when(worded(t), 0).otherwise(F.least(F.lit(gram), F.length(t)))
-    own = lambda t: F.when(worded(t), _word_grams(t, True)).otherwise(_char_grams(t, size(t)))
     some = F.filter(terms, lambda t: t != "")
-    wanted = cases.where(F.size(some) > 0).select(F.col(case_id), F.col(terms), F.explode(F.array_distinct(F.flatten(F.transform(some, own)))).alias("g"))
-    sizes = sorted(r[0] for r in cases.select(F.explode(F.transform(some, size))).distinct().collect())  # at most ``gram`` + 1 numbers
+    powers = [2**k for k in range(gram.bit_length()) if 2**k <= gram]
+    size = lambda t: F.greatest(*[F.when(F.length(t) >= n, n) for n in powers], F.lit(1))
+    ends = F.array_distinct(F.flatten(F.transform(some, lambda t: F.array(F.left(t, size(t)), F.right(t, size(t))))))
+    wanted = cases.where(F.size(some) > 0).select(F.col(case_id), F.col(terms), F.explode(ends).alias("g"))
+    sizes = sorted(r[0] for r in wanted.select(F.length("g")).distinct().collect())  # powers of two up to ``gram``
     if not sizes:
         return cases.join(rows, F.lit(False)).select(case_id, row_id)
-    of = F.array_distinct(F.flatten(F.array(*[_char_grams(F.col(text), F.lit(n)) if n else _word_grams(F.col(text), False) for n in sizes])))
-    known = rows.select(row_id, F.explode(of).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
+    distinct = wanted.select("g").distinct()
+    n = distinct.count()
+    made = stretches(rows, [row_id], text, sizes).withColumnRenamed("stretch", "g")
+    if BROADCAST < n <= HASHES:
+        made = made.withColumn("_h", F.xxhash64("g")).join(F.broadcast(distinct.select(F.xxhash64("g").alias("_h")).distinct()), "_h", "left_semi").drop("_h")
+    known = made.join(F.broadcast(distinct) if n <= BROADCAST else distinct, "g", "left_semi").select(row_id, "g").distinct()
     often = known.groupBy("g").agg(F.count("*").alias("n_rows"))
-    # a gram that no row has rules its case out
+    # a stretch that no row has rules its case out
     rarest = wanted.join(often, "g", "left").groupBy(case_id).agg(F.min(F.struct(F.coalesce("n_rows", F.lit(0)).alias("n"), "g")).alias("r"), F.any_value(F.col(terms)).alias(terms)).select(case_id, terms, F.col("r.g").alias("g"))
     met = rarest.join(known, "g").select(case_id, terms, row_id)
     return met.join(rows.select(row_id, text), row_id).where(F.forall(terms, lambda t: F.contains(F.col(text), t))).select(case_id, row_id)

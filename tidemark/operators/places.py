@@ -19,8 +19,10 @@ from tidemark.sources.store import saved
 LEVELS = {"province": 0, "special_region": 0, "city": 1, "prefecture": 1, "county": 2, "district": 2}
 #: Labels that a plan may carry; more belong in a table of their own (``label_table``).
 MOST = 20_000
-#: Labels that are broadcast; characters of a text that are worked on as one row.
-BROADCAST, BLOCK = 200_000, 256
+#: Labels that are broadcast, and hashes of labels, of eight bytes each; characters of a text that are worked on as one row.
+BROADCAST, HASHES, BLOCK = 200_000, 2_000_000, 64
+#: Lengths at which a tier of labels begins.
+TIERS = (6, 12)
 _SCHEMA = "array<struct<level:int,length:int,place:int,label:string,code:string,path:array<string>>>"
 
 
@@ -92,26 +94,32 @@ def label_table(entries: DataFrame) -> DataFrame:
 def matched(texts: DataFrame, keys: list[str], text: str, labels: DataFrame) -> DataFrame:
     """``keys``, code and path of the deepest place that a text names, of equal ones that with the longest label, then the first; no row for texts that name none.
 
-    Every place of a text where a label can begin (its first characters, as many as the shortest label has, begin some label) is cut to the lengths that such labels have, and
-    these stretches meet the labels by hash; what wins is an aggregation. ``labels`` (a written table, as of ``label_table``) are read several times, and broadcast up to a count.
+    Every place of a text where a label can begin (its first characters, by tiers of the labels' lengths as many as the shortest of the tier has, begin some label of the tier) is cut to the
+    lengths that such labels have, and these stretches meet the labels by hash; what wins is an aggregation. ``labels`` (a written table, as of ``label_table``) are read several times. They are broadcast up to a count; up to a
+    larger one their hashes are, so that only stretches that are labels are shuffled.
     Rows of equal keys are one text. Null texts name nothing.
     """
     size = labels.agg(F.min("length").alias("least"), F.max("length").alias("most"), F.count("*").alias("n")).first()
     if not size["n"]:
         return texts.select(*keys, F.lit(None).cast(labels.schema["code"].dataType).alias("code"), F.lit(None).cast("array<string>").alias("path")).limit(0)
     least, most, block = size["least"], size["most"], max(BLOCK, size["most"])
-    small = (lambda df: F.broadcast(df)) if size["n"] <= BROADCAST else (lambda df: df)
     cut = texts.select(*keys, F.regexp_extract_all(normalize_region(F.col(text)), F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("_blocks"))
     # a block and the beginning of the next: a label may run over
     rows = cut.select(*keys, F.explode(F.transform("_blocks", lambda b, i: F.struct(F.length(b).alias("own"), F.concat(b, F.left(F.coalesce(F.get("_blocks", i + 1), F.lit("")), F.lit(most - 1))).alias("of")))).alias("_b"))
-    begins = rows.select(*keys, F.col("_b.of").alias("_of"), F.explode(F.sequence(F.lit(1), F.col("_b.own"))).alias("_at")).withColumn("_head", F.substring("_of", F.col("_at"), F.lit(least)))
-    heads = labels.groupBy(F.left("label", F.lit(least)).alias("_head")).agg(F.collect_set("length").alias("_lengths"))
-    starts = begins.join(small(heads), "_head").select(*keys, F.col("_of"), "_at", F.explode("_lengths").alias("_length"))
+    begins = rows.select(*keys, F.col("_b.of").alias("_of"), F.explode(F.sequence(F.lit(1), F.col("_b.own"))).alias("_at"))
+    tiers = sorted({least, *[t for t in TIERS if least < t <= most]})
+    begins = begins.withColumn("_head", F.explode(F.array(*[F.substring("_of", F.col("_at"), F.lit(t)) for t in tiers])))
+    tier = F.greatest(*[F.when(F.col("length") >= t, t) for t in tiers], F.lit(least))
+    heads = labels.groupBy(F.left("label", tier).alias("_head")).agg(F.collect_set("length").alias("_lengths"))
+    starts = begins.join(F.broadcast(heads) if heads.count() <= BROADCAST else heads, "_head").select(*keys, F.col("_of"), "_at", F.explode("_lengths").alias("_length"))
     stretches = starts.select(*keys, F.substring("_of", F.col("_at"), F.col("_length")).alias("label"), "_length").where(F.length("label") == F.col("_length")).drop("_length")
+    named = F.broadcast(labels) if size["n"] <= BROADCAST else labels
     if size["n"] > BROADCAST:
+        if size["n"] <= HASHES:
+            stretches = stretches.withColumn("_hash", F.xxhash64("label")).join(F.broadcast(labels.select(F.xxhash64("label").alias("_hash")).distinct()), "_hash", "left_semi").drop("_hash")
         stretches = stretches.distinct()
     best = F.max(F.struct("level", "length", (-F.col("place")).alias("place"), "code", "path"))
-    return stretches.join(small(labels), "label").groupBy(*keys).agg(best.alias("_x")).select(*keys, "_x.code", "_x.path")
+    return stretches.join(named, "label").groupBy(*keys).agg(best.alias("_x")).select(*keys, "_x.code", "_x.path")
 
 
 def region_passes(wanted: Column, actual: Column, whole: Column, exact: bool = False) -> Column:

@@ -188,17 +188,17 @@ def coverage_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NORM = r"lower(regexp_replace({}, '[\s\-—_()（）【】\[\]，。,.;；:：/\\]+', '', 'g'))"
-_CASES = f"""cases AS (SELECT item_id, 'r' || item_id % 3 AS region, {_NORM.format("substr(text, 1, 60)")} AS a, {_NORM.format("substr(text, 80, 60)")} AS b, item_id % 7 = 0 AS absent, CASE WHEN item_id % 11 = 0 THEN item_id END AS pid, item_id % 5 = 0 AS art, {_NORM.format("text")} AS whole FROM benchmark),
-plain AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents WHERE doc_id % 2 = 0),
-hit AS (SELECT item_id, min(doc_id) AS doc_id FROM (SELECT item_id, doc_id FROM cases JOIN plain ON contains(t, a) AND contains(t, b) UNION ALL SELECT item_id, doc_id FROM cases JOIN plain ON pid = doc_id) GROUP BY 1),
-judged AS (SELECT c.*, doc_id, CASE WHEN doc_id IS NOT NULL THEN 'database' WHEN art AND contains(whole, a) AND contains(whole, b) THEN 'artifact' END AS how FROM cases c LEFT JOIN hit USING (item_id)),
+_CASES = f"""cases AS (SELECT item_id, 'r' || item_id % 3 AS region, list_transform(string_split(text, '. '), lambda x: {_NORM.format("x")}) AS terms, item_id % 7 = 0 AS absent, CASE WHEN item_id % 11 = 0 THEN item_id END AS pid, item_id % 5 = 0 AS art, {_NORM.format("text")} AS whole FROM benchmark),
+plain AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents),
+hit AS (SELECT item_id, min(doc_id) AS doc_id FROM (SELECT item_id, doc_id FROM cases JOIN plain ON len(list_filter(terms, lambda x: NOT contains(t, x))) = 0 UNION ALL SELECT item_id, doc_id FROM cases JOIN plain ON pid = doc_id) GROUP BY 1),
+judged AS (SELECT c.*, doc_id, CASE WHEN doc_id IS NOT NULL THEN 'database' WHEN art AND len(list_filter(terms, lambda x: NOT contains(whole, x))) = 0 THEN 'artifact' END AS how FROM cases c LEFT JOIN hit USING (item_id)),
 states AS (SELECT *, CASE WHEN how IS NOT NULL THEN 'MATCHED' WHEN absent THEN 'UNAVAILABLE_IN_LOCAL_CORPUS' ELSE 'NOT_RECALLED' END AS status FROM judged)"""
 
 
 def _recalled(spark: SparkSession, sf: str) -> DataFrame:
     b = load(spark, sf, "benchmark")
-    cases = b.selectExpr("item_id AS case_id", "concat('r', item_id % 3) AS region", "array(substring(text, 1, 60), substring(text, 80, 60)) AS title_terms", "IF(item_id % 7 = 0, 'UNAVAILABLE_X', 'PUBLIC') AS availability", "IF(item_id % 11 = 0, item_id, NULL) AS project_id", "CAST(NULL AS STRING) AS source_url", "IF(item_id % 5 = 0, concat('art', item_id), NULL) AS source_artifact")
-    rows = load(spark, sf, "documents").where("doc_id % 2 = 0").selectExpr("doc_id AS project_id", "CAST(NULL AS STRING) AS source_url", "text")
+    cases = b.selectExpr("item_id AS case_id", "concat('r', item_id % 3) AS region", "split(text, '[.] ') AS title_terms", "IF(item_id % 7 = 0, 'UNAVAILABLE_X', 'PUBLIC') AS availability", "IF(item_id % 11 = 0, item_id, NULL) AS project_id", "CAST(NULL AS STRING) AS source_url", "IF(item_id % 5 = 0, concat('art', item_id), NULL) AS source_artifact")
+    rows = load(spark, sf, "documents").selectExpr("doc_id AS project_id", "CAST(NULL AS STRING) AS source_url", "text")
     artifacts = b.where("item_id % 5 = 0").selectExpr("concat('art', item_id) AS name", "text")
     return metrics.recall_cases(cases, rows, artifacts)
 
