@@ -132,16 +132,24 @@ def capacity_mw(c: Column) -> Column:
 
 def parse_datetime(c: Column, year: int, default_hour: int = 17) -> Column:
     """Local time of a Chinese or ISO date; without a clock at ``default_hour``, without a year in ``year``, null if invalid."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), "(星期|周)[一二三四五六日天]", " "), "^DATE ", ""), "半", "30分")
-    return bind(text, lambda t: _datetime(t, year, default_hour))
+    plain = F.replace(F.regexp_replace(F.trim(c), "(星期|周)[一二三四五六日天]|^DATE ", " "), F.lit("半"), F.lit("30分"))
+    return bind(plain, lambda t: _datetime(t, year, default_hour))
 
 
 def _datetime(text: Column, year: int, default_hour: int) -> Column:
     iso = F.regexp_like(text, F.lit(r"\dT\d.*(Z|[+-]\d{2}:?\d{2})$"))
-    date = r"(?:(\d{4})\s*[年/\-.])?\s*(\d{1,2})\s*[月/\-.]\s*(\d{1,2})\s*日?"
-    clock = r"日?\s*(上午|下午|晚上|傍晚|AM|PM)?\s*(\d{1,2})(?:[:：]|[点时]\s*)(\d{1,2})?"
-    part, after = (lambda k: F.regexp_extract(text, date, k)), F.regexp_replace(text, "^.*?" + date, "")
-    bound = F.struct(*[part(k).alias(n) for k, n in ((1, "y"), (2, "m"), (3, "d"))], *[F.regexp_extract(after, clock, k).alias(n) for k, n in ((1, "period"), (2, "hour"), (3, "minute"))])
+    # one replacement writes all parts of the date, one those of the clock behind it; a text without them stays as it is
+    sep = "\x1f"
+    date = r"(?s)^.*?(?:(\d{4})\s*[年/\-.])?\s*(\d{1,2})\s*[月/\-.]\s*(\d{1,2})\s*日?(.*)$"
+    clock = r"(?s)^.*?日?\s*(上午|下午|晚上|傍晚|AM|PM)?\s*(\d{1,2})(?:[:：]|[点时]\s*)(\d{1,2})?.*$"
+    parts = F.split(F.regexp_replace(text, date, f"{sep}$1{sep}$2{sep}$3{sep}$4"), sep)
+
+    def timed(p: Column) -> Column:
+        hands = F.split(F.regexp_replace(F.coalesce(F.get(p, 4), F.lit("")), clock, f"{sep}$1{sep}$2{sep}$3"), sep)
+        named = lambda h: F.struct(F.get(p, 1).alias("y"), F.get(p, 2).alias("m"), F.get(p, 3).alias("d"), *[F.coalesce(F.get(h, k), F.lit("")).alias(n) for k, n in ((1, "period"), (2, "hour"), (3, "minute"))])
+        return bind(hands, named)
+
+    bound = bind(parts, timed)
 
     def local(x: Column) -> Column:
         h = F.when(x.hour == "", default_hour).otherwise(x.hour.try_cast("int"))

@@ -14,6 +14,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt to all cores, for work that costs far more than moving them; a table of many files is dealt so already."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as projects whose dates follow from the key."""
     day = lambda n, when: f"CASE WHEN {when} THEN o_orderdate + make_dt_interval({n}) END"

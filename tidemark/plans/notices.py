@@ -10,7 +10,7 @@ from tidemark.functions import leads as L
 from tidemark.operators import enrich, merge, notices
 from tidemark.operators.core import code_groups, recalculate_status
 from tidemark.operators.places import Places
-from tidemark.plans.bindings import NOW, PROJECTS, evidence, load, projects
+from tidemark.plans.bindings import NOW, PROJECTS, evidence, load, projects, spread
 from tidemark.plans.catalog import now, query
 
 PROVINCES = (("陕西省", "西安市"), ("甘肃省", "兰州市"), ("青海省", "西宁市"), ("新疆维吾尔自治区", "哈密市"), ("宁夏回族自治区", "银川市"))
@@ -36,7 +36,8 @@ def written_notices(spark: SparkSession, sf: str) -> DataFrame:
       '预算金额：', {k} % 90 + 10, '万元。', '装机', {k} % 200 + 1, 'MW。',
       if({k} % 5 = 0, '', concat('报名时间：', {day('0')}, '09:00至', {day(f'{k} % 40')}, '17:00。')),
       '投标截止时间：', {day(f'30 + {k} % 90')}, '17:30。开标时间：', {day(f'31 + {k} % 90')}, '上午9点。建设地点：', {_pick([c for _, c in PROVINCES], f'{k} % 5')}, '。')"""
-    return load(spark, sf, "orders").selectExpr(f"{k} AS project_id", "o_custkey", f"concat('https://example.com/n/', {k}) AS url", f"concat({name}, {_pick(KINDS, f'{k} % 5')}) AS title", f"{text} AS text")
+    orders = spread(load(spark, sf, "orders").select(k, "o_custkey", "o_orderdate"))
+    return orders.selectExpr(f"{k} AS project_id", "o_custkey", f"concat('https://example.com/n/', {k}) AS url", f"concat({name}, {_pick(KINDS, f'{k} % 5')}) AS title", f"{text} AS text")
 
 
 _CITY = "(['西安','兰州','西宁','哈密','银川'])[o_orderkey % 5 + 1]"

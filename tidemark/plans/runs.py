@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import leads as L
 from tidemark.operators import concepts, findings, runs
-from tidemark.plans.bindings import NOW, PROJECTS, load, projects
+from tidemark.plans.bindings import NOW, PROJECTS, load, projects, spread
 from tidemark.plans.catalog import now, query
 from tidemark.sources import html as H
 
@@ -265,7 +265,7 @@ def page_titles(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def html_main_text(spark: SparkSession, sf: str) -> DataFrame:
     """Title and main text of whole pages; entities and blocks are beyond SQL, so tests hold it against a parser."""
-    return load(spark, sf, "pages").select("page_id", H.page_title(F.col("html")).alias("title"), H.main_text(F.col("html")).alias("text"))
+    return spread(load(spark, sf, "pages")).select("page_id", H.page_title(F.col("html")).alias("title"), H.main_text(F.col("html")).alias("text"))
 
 
 _TABLE = "'<table><tr><th>项目名称</th><td>' || c_name || '</td><td>预算金额</td><td>' || c_custkey || '万元</td></tr><tr><td></td></tr><tr><td>招标人</td><td> a &amp; b </td></tr><tr><td>项目名称</td><td>other</td></tr></table>'"
