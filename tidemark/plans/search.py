@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import fulltext, places
+from tidemark.operators.paging import page_of
 from tidemark.plans.bindings import load
 from tidemark.sources.select import Items, list_items, parsed, select, with_html
 from tidemark.plans.catalog import query
@@ -108,3 +111,19 @@ def article_blocks(spark: SparkSession, sf: str) -> DataFrame:
     articles = with_html(page, select(page, "article")).select("page_id", F.length("html").cast("long").alias("size"))
     inner = select(page, "article p").groupBy("page_id").agg(F.count("*").alias("n"))
     return articles.join(inner, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"), "size")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS updated_at FROM orders),
+placed AS (SELECT *, row_number() OVER (ORDER BY o_orderstatus, updated_at DESC NULLS LAST, o_orderkey) - 1 AS place, count(*) OVER () AS total FROM o)
+SELECT (place // 40 + 1)::INT AS page, o_orderkey AS project_id, total FROM placed WHERE place < 120""")
+def project_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three pages of a list of projects, each begun where the one before ended, with the number of all."""
+    rows = load(spark, sf, "orders").selectExpr("o_orderkey AS project_id", "o_orderstatus AS status", "IF(o_orderkey % 7 = 0, NULL, o_orderdate) AS updated_at")
+    order, after, out = [("status", False), ("updated_at", True), ("project_id", False)], None, []
+    for n in range(1, 4):
+        page = page_of(rows, order, 40, after)
+        out.append(page.rows.select(F.lit(n).alias("page"), "project_id", F.lit(page.total).cast("long").alias("total")))
+        after = page.after
+        if after is None:
+            break
+    return reduce(DataFrame.unionByName, out)

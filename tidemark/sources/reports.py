@@ -57,8 +57,8 @@ def review_report(items: DataFrame, evidence: DataFrame, most_evidence: int = 12
 
 
 def write_reviews(items: DataFrame, path: str) -> None:
-    """The queue as JSON lines in its order; one file, as a queue is read from its head."""
-    items.orderBy("priority", "created_at", "review_id").select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """The queue as JSON lines in its order: ranges of it are files, whose names follow the order."""
+    items.orderBy("priority", "created_at", "review_id").select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
 def recall_report(cases: DataFrame, regions: DataFrame) -> str:
