@@ -69,10 +69,14 @@ def discovery_queries(regions: DataFrame, terms: Sequence[str], day: int, budget
     extras = [x for x in EXTRAS if wechat or x[1] != "weixin_candidate"]
     base = max(0, budget - len(extras))
     spark = regions.sparkSession
-    ordered = regions.groupBy("region").agg(F.min("at").alias("at")).orderBy("at").limit(100_000)
-    numbered = ordered.withColumn("k", F.row_number().over(Window.orderBy("at")) - 1)  # a catalogue of places
-    n = max(1, numbered.count())
-    turned = numbered.withColumn("index", F.pmod(F.col("k") - F.lit(day % n), F.lit(n))).where(F.col("index") < base)  # each region asks at least once
+    ordered = regions.groupBy("region").agg(F.min("at").alias("at"))
+    n = ordered.count()
+    first = day % max(1, n)
+    # of any number of regions the budget's, from the day's place on and then from the beginning: each asks at least once
+    turned = ordered.orderBy("at").offset(first).limit(min(base, n - first)).withColumn("again", F.lit(0))
+    if base > n - first:
+        turned = turned.unionByName(ordered.orderBy("at").limit(min(base - (n - first), first)).withColumn("again", F.lit(1)))
+    turned = turned.withColumn("index", F.row_number().over(Window.orderBy("again", "at")) - 1)
     word = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(k, F.lit(len(words))) + 1).cast("int"))
     asked = turned.select("region", "index", F.posexplode(F.array(*[F.lit(t) for t in terms])).alias("t", "term"))
     text = F.concat_ws(" ", *[F.concat(F.lit('"'), c, F.lit('"')) for c in (F.col("region"), F.col("term"), word(ACTIONS, F.col("index") + day), word(OBJECTS, F.col("index") + F.length("term")))])

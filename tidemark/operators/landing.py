@@ -152,18 +152,20 @@ def by_key(df: DataFrame, key: str, value: object) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
 
 
-def project_list(projects: DataFrame, day: Column, text: str = "", status: str = "", view: str = "all") -> DataFrame:
-    """Projects of a list page: found by a text, of a status, in a view (today-new, today-changed, reopened, favorite, ignored); ignored ones only in their own view."""
+def project_list(projects: DataFrame, day: Column, text: str = "", status: str = "", view: str = "all", most: int = 500) -> DataFrame:
+    """Projects of a list page: of a text the first ``most`` found, of a status, in a view (today-new, today-changed, reopened, favorite, ignored); ignored ones only in their own view."""
     from tidemark.operators.recall import find_projects
 
-    out = find_projects(projects, text, 500) if text.strip() else projects
+    out = projects
     if status.upper() in ("OPEN", "UNKNOWN", "CLOSED"):
         out = out.where(F.col("status") == status.upper())
     views = {"today-new": (F.col("lifecycle_state") == "NEW") & (F.col("created_at") >= day), "today-changed": F.col("last_change_at") >= day, "reopened": F.col("lifecycle_state") == "REOPENED", "favorite": F.col("favorite")}
     if view in views:
         out = out.where(views[view])
     ignored = yes(F.col("ignored"))
-    return out.where(ignored if view == "ignored" else ~ignored)
+    out = out.where(ignored if view == "ignored" else ~ignored)
+    # what a text finds is limited last, so that a filtered list lacks nothing
+    return find_projects(out, text, most) if text.strip() else out
 
 
 def missing_tables(spark: SparkSession, required: Sequence[str]) -> list[str]:
