@@ -76,3 +76,11 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     query.awaitTermination()
     got = {(r.source, r["items"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("a", 2), ("b", 1)}  # the last window isn't closed yet
+
+
+def test_evidence_of_merged_notices(spark):
+    base = spark.createDataFrame([(1, "owner", "a"), (2, "owner", "b")], "notice_id int, field_name string, value string")
+    more = spark.createDataFrame([(1, "agency", "c", 10), (3, "agency", "d", 11)], "notice_id int, field_name string, value string, document_id int")
+    assert rows(runs.merged_evidence(base, more), "notice_id", "field_name", "document_id") == sorted([(1, "owner", None), (2, "owner", None), (1, "agency", 10)], key=repr)
+    both = spark.createDataFrame([(["x", "y"], ["y", "z"]), (None, ["z"])], "a array<string>, b array<string>")
+    assert [r[0] for r in both.select(runs.merged_reasons(F.col("a"), F.col("b"))).collect()] == [["x", "y", "z"], ["z"]]

@@ -148,3 +148,32 @@ def response_action(status: Column, body: Column) -> Column:
 
 def result_mode(explicit: Column, phrase: Column) -> Column:
     return F.coalesce(explicit, F.when(contains_any(phrase, ("完整结果", "全部结果", "完整")), "FULL"), F.lit("DELTA"))
+
+
+#: The levels of official sources.
+OFFICIAL_LEVELS = ("A", "B")
+
+
+def project_blocker(reason: Column, status: Column, source_level: Column, has_window: Column) -> Column:
+    """What keeps a project's candidate from being taken up; null if nothing. ``has_window``: a qualification, registration or document deadline is known."""
+    unknown = status == "UNKNOWN"
+    return first_match(
+        [
+            (reason == "UNKNOWN_CONFLICTING_DATES", "DATE_CONFLICT"),
+            (reason == "UNKNOWN_NEEDS_CODEX_REVIEW", "SOURCE_INCOMPLETE"),
+            (unknown & ~yes(has_window), "MISSING_PARTICIPATION_DEADLINE"),
+            (unknown, "SOURCE_INCOMPLETE"),
+            (F.upper(source_level).isin("D", "E"), "SECONDARY_ONLY"),
+        ]
+    )
+
+
+def project_verification(source_level: Column, has_text: Column) -> Column:
+    """Whether an official source speaks for a project, and with a text; no level counts as the lowest."""
+    official = F.upper(F.coalesce(source_level, F.lit("E"))).isin(*OFFICIAL_LEVELS)
+    return first_match([(official & yes(has_text), "OFFICIAL_VERIFIED"), (official, "OFFICIAL_PARTIAL")], "SECONDARY_ONLY")
+
+
+def project_state(score: Column) -> Column:
+    """The state of a project's candidate by its completeness."""
+    return first_match([(score >= 85, "COMPLETE"), (score >= 60, "USABLE"), (score >= 30, "PARTIAL")], "NEW")

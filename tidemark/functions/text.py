@@ -78,6 +78,11 @@ def content_hash(*parts: Column) -> Column:
 BITS = 61
 
 
+def candidate_id(key: Column) -> Column:
+    """The id of a candidate, which follows from its key."""
+    return F.concat(F.lit("candidate_"), F.left(F.sha2(key, 256), F.lit(40)))
+
+
 def places_of(chars: Column) -> Column:
     """A map from each character of an array of at most ``BITS`` to its places, as bits."""
     bits = lambda c: F.aggregate(F.transform(chars, lambda y, j: F.when(y == c, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)

@@ -100,6 +100,18 @@ def merged_extractions(base: DataFrame, supplement: DataFrame, fields: Sequence[
     return out.withColumns({"status": status_of(F.col("reason_code")), "needs_review": (F.size("missing") > 0) | (F.col("reason_code") == "UNKNOWN_CONFLICTING_DATES")})
 
 
+def merged_evidence(base: DataFrame, supplement: DataFrame) -> DataFrame:
+    """Evidence of merged notices: all of a notice's own, and all of its attachments', whose ``document_id`` it keeps (null: the notice's own). Attachments of other notices add nothing."""
+    more = supplement.join(base.select("notice_id").distinct(), "notice_id", "left_semi")
+    return base.withColumn("document_id", F.lit(None).cast(dict(supplement.dtypes)["document_id"])).unionByName(more)
+
+
+def merged_reasons(base: Column, supplement: Column) -> Column:
+    """Reasons for review of a merged notice: its own, then those of its attachments that are new."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(base, none), F.coalesce(supplement, none)))
+
+
 def cached(announcements: DataFrame, parses: DataFrame, attachments: DataFrame, version: str, parser: str) -> DataFrame:
     """id of announcements that needn't be extracted again: extracted by this version, the body parsed by this parser with the same content, and every supported local attachment too.
 
