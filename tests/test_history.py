@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.rules import NONE, STRONG, TIME_FIELDS, WEAK
 from tidemark.operators.core import recalculate_status
 from tidemark.operators.history import FIELDS, replay, transitions
+from tidemark.plans import history as plans
 
 DAY = dt.datetime(2026, 1, 1)
 
@@ -34,3 +35,12 @@ def test_status_at_each_snapshot(spark, parts):
         assert got[row[0], row[1]] == (plain.status, plain.reason_code, old, old is not None and old != plain.status)
         before[row[0]] = plain.status
     assert transitions(replay(s, e)).count() == sum(x[3] for x in got.values())
+
+
+def test_no_projects_pass_through_the_driver(spark, tmp_path):
+    """The bound query has nothing to broadcast, whatever the threshold."""
+    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, 'O' AS o_orderstatus, 1D AS o_totalprice, timestamp_ntz '1996-05-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(200)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = plans.replayed_history(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert got.count() == 600

@@ -33,13 +33,13 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each project, time field and the participation text, with its strength."""
+def evidence(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """A row for each project, time field and the participation text, with its strength and, if named, columns of the project's order."""
     k = F.col("o_orderkey")
     strength = lambda i: F.when((k + i) % 61 == 0, WEAK).when((k + i) % 67 == 0, NONE).otherwise(STRONG)
     rows = [F.struct(F.lit(f).alias("field_name"), strength(i).alias("strength")) for i, f in enumerate(TIME_FIELDS)]
     rows.append(F.struct(F.lit("participation").alias("field_name"), F.lit(STRONG).alias("strength")))
-    return load(spark, sf_dir, "orders").select(k.alias("project_id"), F.explode(F.array(*rows)).alias("e")).select("project_id", "e.*")
+    return load(spark, sf_dir, "orders").select(k.alias("project_id"), *columns, F.explode(F.array(*rows)).alias("e")).select("project_id", *columns, "e.*")
 
 
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
