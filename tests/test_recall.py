@@ -1,6 +1,7 @@
 """Recall, delivery, matching and steps of runs on small literals."""
 
 import datetime as dt
+import random
 from dataclasses import replace
 from html.parser import HTMLParser
 
@@ -125,6 +126,27 @@ def test_containing(spark):
     assert metrics.containing(cases.limit(0), rows, "case_id", "terms", "row_id", "text").count() == 0
 
 
+def test_containing_meets_by_long_terms(spark, monkeypatch):
+    """A short term makes no pieces where its case has a long one; what meets is exact for any length and place, and for cases of one id."""
+    kept = {}
+    monkeypatch.setattr(metrics, "saved", lambda df, tag: kept.setdefault(tag, df.localCheckpoint()))
+    rng = random.Random(5)
+    made = lambda n: "".join(rng.choice("ab😀\n") for _ in range(n))
+    texts = [made(rng.choice([0, 1, 5, 40, 300])) for _ in range(80)]
+    cut = lambda n: (lambda t, i: t[i : i + n])(rng.choice(texts), rng.randrange(40))
+    terms = [[x for x in (cut(rng.choice([1, 2, 3, 7, 15, 30, 31, 32, 70])) for _ in range(rng.randint(1, 3))) if x] for _ in range(120)]
+    cases = spark.createDataFrame([(i // 2, t) for i, t in enumerate(terms) if t], "case_id int, terms array<string>")
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
+    want = {(i // 2, k) for i, t in enumerate(terms) if t for k, x in enumerate(texts) if all(y in x for y in t)}
+    assert set(map(tuple, metrics.containing(cases, rows, "case_id", "terms", "row_id", "text").collect())) == want and want
+    kept.clear()
+    long = "what every notice of a region says of its grid"
+    cases = spark.createDataFrame([(1, ["x", long])], "case_id int, terms array<string>")
+    rows = spark.createDataFrame([(k, "x" * 100) for k in range(50)] + [(50, f"x {long}")], "row_id int, text string")
+    assert metrics.containing(cases, rows, "case_id", "terms", "row_id", "text").collect() == [(1, 50)]
+    assert {r.row_id for r in kept["pieces"].collect()} == {50} and kept["pieces"].count() <= 3
+
+
 @pytest.mark.parametrize("n", [1, 3, 5, 9])
 def test_review_sample(spark, n):
     tags = {1: ["UNKNOWN"], 2: ["OPEN", "PDF"], 3: ["OPEN"], 4: ["PDF", "CHANGE"], 5: [], 6: ["CHANGE"], 7: ["SECONDARY_SOURCE"]}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rules import first_match, yes
 from tidemark.functions.text import normalize_identity
+from tidemark.sources.store import saved
 
 #: What each fact adds to completeness, and what attachments and evidence add.
 WEIGHTS = {
@@ -142,45 +143,44 @@ def recall_cases(cases: DataFrame, rows: DataFrame, artifacts: DataFrame) -> Dat
     return j.select("case_id", "region", "availability", status.alias("status"), by.alias("matched_by"), "matched_project_id", (~absent).alias("observable"))
 
 
-#: Characters by which cases and texts meet, at most; stretches of cases that are broadcast, and their hashes beyond that.
+#: Characters by which cases and texts meet, at most; stretches of cases (and ids of rows that met) that are broadcast, and their hashes beyond that.
 GRAM, BROADCAST, HASHES = 16, 200_000, 2_000_000
 
 
-def stretches(rows: DataFrame, keys: list[str], text: str, sizes: list[int], block: int = 64) -> DataFrame:
-    """``keys``, stretch: every stretch of each of ``sizes`` characters of a text. A text is cut to blocks first, each with the beginning of the next, so that characters are reached in few steps."""
-    most = max(sizes)
-    block = max(block, most)
-    cut = rows.select(*keys, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("_blocks"))
-    whole = F.transform("_blocks", lambda b, i: F.struct(F.length(b).alias("own"), F.concat(b, F.left(F.coalesce(F.get("_blocks", i + 1), F.lit("")), F.lit(most - 1))).alias("of")))
-    begins = cut.select(*keys, F.explode(whole).alias("_b")).select(*keys, F.col("_b.of").alias("_of"), F.explode(F.sequence(F.lit(1), F.col("_b.own"))).alias("_at"))
-    return begins.select(*keys, F.explode(F.array(*[F.substring("_of", F.col("_at"), F.lit(n)) for n in sizes])).alias("stretch"))
-
-
 def containing(cases: DataFrame, rows: DataFrame, case_id: str, terms: str, row_id: str, text: str, gram: int = GRAM) -> DataFrame:
     """(case_id, row_id) of each row whose text holds all terms of a case, of any number of cases.
 
-    The beginning and the end of each term, up to ``gram`` characters, are its stretches. Rows' stretches of these sizes are held against those of the cases, which are broadcast up to a
-    count, before anything is shuffled. A case's rarest stretch (by the rows that hold it) stands for it: rows meet cases by hash join on it, and whole terms are looked for in what has met.
+    A text is cut to pieces of a size, one after another. A term of at least twice that size less one character holds one of them whole wherever it stands, and it is one of the ``size``
+    stretches at the beginnings of the term's first characters (and of those at its end). Each case takes part with the terms that allow the largest size, a power of two up to ``gram``; of these
+    ends the one that the fewest rows hold stands for it. Pieces are held against the stretches of the cases, which are broadcast up to a count, before anything is shuffled; whole
+    terms are looked for in what has met, and only rows that have met are read again.
     """
     some = F.filter(terms, lambda t: t != "")
     powers = [2**k for k in range(gram.bit_length()) if 2**k <= gram]
-    size = lambda t: F.greatest(*[F.when(F.length(t) >= n, n) for n in powers], F.lit(1))
-    ends = F.array_distinct(F.flatten(F.transform(some, lambda t: F.array(F.left(t, size(t)), F.right(t, size(t))))))
-    wanted = cases.where(F.size(some) > 0).select(F.col(case_id), F.col(terms), F.explode(ends).alias("g"))
-    sizes = sorted(r[0] for r in wanted.select(F.length("g")).distinct().collect())  # powers of two up to ``gram``
+    size = lambda t: F.greatest(*[F.when(F.length(t) >= 2 * n - 1, n) for n in powers], F.lit(1))
+    sized = cases.where(F.size(some) > 0).select(F.col(case_id), F.col(terms), some.alias("_some"), F.array_max(F.transform(some, size)).alias("_n"))
+    ends = F.array_distinct(F.flatten(F.transform(F.filter("_some", lambda t: size(t) == F.col("_n")), lambda t: F.array(F.left(t, 2 * F.col("_n") - 1), F.right(t, 2 * F.col("_n") - 1)))))
+    cut = sized.select(case_id, terms, "_n", F.explode(ends).alias("_end"))
+    wanted = cut.select(case_id, terms, "_end", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.substring(F.col("_end"), i, F.col("_n"))))).alias("g"))
+    sizes = sorted(r[0] for r in sized.select("_n").distinct().collect())  # powers of two up to ``gram``
     if not sizes:
         return cases.join(rows, F.lit(False)).select(case_id, row_id)
     distinct = wanted.select("g").distinct()
     n = distinct.count()
-    made = stretches(rows, [row_id], text, sizes).withColumnRenamed("stretch", "g")
+    made = rows.select(row_id, F.explode(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s).{{{k}}}"), F.lit(0)) for k in sizes])).alias("g"))
     if BROADCAST < n <= HASHES:
         made = made.withColumn("_h", F.xxhash64("g")).join(F.broadcast(distinct.select(F.xxhash64("g").alias("_h")).distinct()), "_h", "left_semi").drop("_h")
-    known = made.join(F.broadcast(distinct) if n <= BROADCAST else distinct, "g", "left_semi").select(row_id, "g").distinct()
+    known = saved(made.join(F.broadcast(distinct) if n <= BROADCAST else distinct, "g", "left_semi").select(row_id, "g").distinct(), "pieces")
     often = known.groupBy("g").agg(F.count("*").alias("n_rows"))
-    # a stretch that no row has rules its case out
-    rarest = wanted.join(often, "g", "left").groupBy(case_id).agg(F.min(F.struct(F.coalesce("n_rows", F.lit(0)).alias("n"), "g")).alias("r"), F.any_value(F.col(terms)).alias(terms)).select(case_id, terms, F.col("r.g").alias("g"))
-    met = rarest.join(known, "g").select(case_id, terms, row_id)
-    return met.join(rows.select(row_id, text), row_id).where(F.forall(terms, lambda t: F.contains(F.col(text), t))).select(case_id, row_id)
+    # an end that no row has rules its case out
+    held = wanted.join(often, "g", "left").groupBy(case_id, terms, "_end").agg(F.sum(F.coalesce("n_rows", F.lit(0))).alias("n"))
+    rarest = held.groupBy(case_id, terms).agg(F.min(F.struct("n", "_end")).alias("r")).select(case_id, terms, F.col("r._end").alias("_end"))
+    met = saved(wanted.join(rarest, [case_id, terms, "_end"]).select(case_id, terms, "g").join(known, "g").select(case_id, terms, row_id).distinct(), "met")
+    ids = met.select(row_id).distinct()
+    texts = rows.select(row_id, text)
+    if ids.count() <= BROADCAST:
+        texts = texts.join(F.broadcast(ids), row_id, "left_semi")
+    return met.join(texts, row_id).where(F.forall(terms, lambda t: F.contains(F.col(text), t))).select(case_id, row_id)
 
 
 def recall_by_region(cases: DataFrame) -> DataFrame:
