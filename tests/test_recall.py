@@ -256,6 +256,12 @@ def test_pages(spark, html, title, text):
     assert one(spark, F.regexp_replace(H.main_text(page), "^T(?=a)", "T\n")) == text
 
 
+def test_titles_read_all_entities(spark):
+    """Also those in the headings of the driver's pages, which a separator at the end must not cut."""
+    title = lambda h: one(spark, H.page_title(F.lit(h)))
+    assert title("<h1>token = &quot;2abc3ff2&quot;</h1>") == 'token = "2abc3ff2"' and title("<h1>a &amp;quot; b;</h1>") == "a &quot; b"
+
+
 def test_json_lines(spark):
     got = lambda s: one(spark, H.json_lines(F.lit(s).cast("string")))
     assert got('{"a": {"b": [1, {"c": null}]}, "d": true}') == ["a.b[0]: 1", "a.b[1].c: null", "d: true"]
