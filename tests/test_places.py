@@ -60,3 +60,17 @@ def test_paths(spark):
     assert got == {e["code"]: [x["name"] for x in plain.chain(e["code"])] for e in entries}
     with pytest.raises(ValueError, match="twice"):
         label_table(table(spark, [*entries, entries[0]]))
+
+
+def test_large_dictionaries_stay_off_the_driver(spark, monkeypatch):
+    """Nothing is broadcast because its file is expected to be small; beyond a count labels are held against a sketch, which loses none."""
+    entries = [{"code": f"c{i}", "name": f"place number {i:05d}", "aliases": [], "level": "city", "parent": "c0" if i else None} for i in range(3000)]
+    made = label_table(table(spark, entries))
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    labels = saved(made, "labels")
+    found = labels.select("label").unionByName(spark.range(3000).selectExpr("concat('other', id) AS label"))
+    kept = {r.label for r in places._perhaps(found, labels, 3000).collect()}
+    assert {r.label for r in labels.collect()} <= kept and len(kept) < 3600
+    monkeypatch.setattr(places, "BROADCAST", 20)
+    texts = spark.createDataFrame([(1, "x" * 200 + " Place-number 02 999 place number 00007"), (2, "place number 3"), (3, "place number 01234")], "id int, text string")
+    assert {r.id: r.code for r in matched(texts, ["id"], "text", labels).collect()} == {1: "c7", 3: "c1234"}

@@ -19,8 +19,10 @@ from tidemark.sources.store import saved
 LEVELS = {"province": 0, "special_region": 0, "city": 1, "prefecture": 1, "county": 2, "district": 2}
 #: Labels that a plan may carry; more belong in a table of their own (``label_table``).
 MOST = 20_000
-#: Labels that are broadcast, and hashes of labels, of eight bytes each; characters of a text that are worked on as one row.
-BROADCAST, HASHES, BLOCK = 200_000, 2_000_000, 64
+#: Labels (and beginnings of labels) that are broadcast; characters of a text that are worked on as one row.
+BROADCAST, BLOCK = 200_000, 64
+#: Beyond that a sketch of the labels' hashes is broadcast: bits for each label, numbers of 64 bits in a row, and rows at most (32 MB in all).
+BITS, NUMBERS, ROWS = 16, 512, 8192
 #: Lengths at which a tier of labels begins.
 TIERS = (6, 12)
 _SCHEMA = "array<struct<level:int,length:int,place:int,label:string,code:string,path:array<string>>>"
@@ -81,22 +83,51 @@ def label_table(entries: DataFrame) -> DataFrame:
         raise ValueError(f"region code {twice['code']} occurs twice")
     above = entries.select(F.col("code").alias("up"), F.col("name").alias("up_name"), F.col("parent").alias("up_parent"))
     paths = saved(entries.select("code", F.array("name").alias("path"), F.array("code").alias("seen"), F.when(F.col("parent") != F.col("code"), F.col("parent")).alias("up")), "places")
+    # the size that Spark expects of a dictionary is that of compressed files: sides are merged, none is broadcast by it
     while paths.where("up is not null").limit(1).count():  # a round for each level of the tree
         up = F.when(~F.array_contains("seen", F.col("up_parent")), F.col("up_parent"))
-        paths = saved(paths.join(above, "up", "left").select("code", F.when(F.col("up_name").isNull(), F.col("path")).otherwise(F.concat(F.array("up_name"), "path")).alias("path"), F.concat("seen", F.array(F.coalesce("up", "code"))).alias("seen"), up.alias("up")), "places")
+        paths = saved(paths.join(above.hint("merge"), "up", "left").select("code", F.when(F.col("up_name").isNull(), F.col("path")).otherwise(F.concat(F.array("up_name"), "path")).alias("path"), F.concat("seen", F.array(F.coalesce("up", "code"))).alias("seen"), up.alias("up")), "places")
     rank = F.create_map(*[x for level, n in LEVELS.items() for x in (F.lit(level), F.lit(n))])
     level = F.coalesce(F.try_element_at(rank, F.col("level")), F.lit(0))
     every = F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
     labels = entries.select("code", "place", level.alias("level"), every.alias("label")).withColumn("label", normalize_region(F.col("label"))).where("label <> ''").distinct()
-    return labels.join(paths.select("code", "path"), "code").select("label", F.length("label").alias("length"), "level", "place", "code", "path")
+    return labels.join(paths.select("code", "path").hint("merge"), "code").select("label", F.length("label").alias("length"), "level", "place", "code", "path")
+
+
+def _heads(labels: DataFrame, tiers: list[int]) -> tuple[DataFrame, int]:
+    """The first characters of labels, as many as the shortest label of their tier has, with the lengths of labels that begin so; and how many there are."""
+    tier = F.greatest(*[F.when(F.col("length") >= t, t) for t in tiers], F.lit(tiers[0]))
+    heads = labels.groupBy(F.left("label", tier).alias("_head")).agg(F.collect_set("length").alias("_lengths"))
+    return heads, heads.count()
+
+
+def _place(h: Column, rows: int) -> tuple[Column, Column, Column]:
+    """Row, number and bit of a hash in a sketch."""
+    part = lambda by, n: F.shiftrightunsigned(h, by).bitwiseAND(F.lit(n - 1).cast("long")).cast("int")
+    return part(0, rows), part(20, NUMBERS), part(32, 64)
+
+
+def _perhaps(found: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """Rows of ``found`` whose label is one of the ``n`` labels, and few others: those whose bit in a sketch of bounded size is set."""
+    rows = 1
+    while rows < ROWS and rows * NUMBERS * 64 < BITS * n:
+        rows *= 2
+    row, number, bit = _place(F.xxhash64("label"), rows)
+    bits = labels.select(row.alias("_row"), number.alias("_number"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bits"))
+    every = labels.sparkSession.range(rows * NUMBERS).select(F.floor(F.col("id") / NUMBERS).cast("int").alias("_row"), (F.col("id") % NUMBERS).cast("int").alias("_number"), F.lit(0).cast("long").alias("_bits"))
+    numbers = bits.unionByName(every).groupBy("_row", "_number").agg(F.bit_or("_bits").alias("_bits"))
+    sketch = numbers.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_number", "_bits")))["_bits"].alias("_sketch"))
+    at = found.withColumns({"_at_row": row, "_at_number": number, "_at_bit": bit})
+    held = (F.col("_at_row") == F.col("_row")) & (F.getbit(F.get("_sketch", F.col("_at_number")), F.col("_at_bit")) == 1)
+    return at.join(F.broadcast(sketch), held, "left_semi").drop("_at_row", "_at_number", "_at_bit")
 
 
 def matched(texts: DataFrame, keys: list[str], text: str, labels: DataFrame) -> DataFrame:
     """``keys``, code and path of the deepest place that a text names, of equal ones that with the longest label, then the first; no row for texts that name none.
 
     Every place of a text where a label can begin (its first characters, by tiers of the labels' lengths as many as the shortest of the tier has, begin some label of the tier) is cut to the
-    lengths that such labels have, and these stretches meet the labels by hash; what wins is an aggregation. ``labels`` (a written table, as of ``label_table``) are read several times. They are broadcast up to a count; up to a
-    larger one their hashes are, so that only stretches that are labels are shuffled.
+    lengths that such labels have, and these stretches meet the labels by hash; what wins is an aggregation. ``labels`` (a written table, as of ``label_table``) are read several times. They are broadcast up to a count; beyond
+    it a sketch of their hashes is, of 32 MB at most, so that hardly any stretches but labels are shuffled. Where the beginnings are too many to be broadcast, those of the longest tier are cut shorter.
     Rows of equal keys are one text. Null texts name nothing.
     """
     size = labels.agg(F.min("length").alias("least"), F.max("length").alias("most"), F.count("*").alias("n")).first()
@@ -108,16 +139,16 @@ def matched(texts: DataFrame, keys: list[str], text: str, labels: DataFrame) ->
     rows = cut.select(*keys, F.explode(F.transform("_blocks", lambda b, i: F.struct(F.length(b).alias("own"), F.concat(b, F.left(F.coalesce(F.get("_blocks", i + 1), F.lit("")), F.lit(most - 1))).alias("of")))).alias("_b"))
     begins = rows.select(*keys, F.col("_b.of").alias("_of"), F.explode(F.sequence(F.lit(1), F.col("_b.own"))).alias("_at"))
     tiers = sorted({least, *[t for t in TIERS if least < t <= most]})
+    heads, n_heads = _heads(labels, tiers)
+    while n_heads > BROADCAST and len(tiers) > 1:
+        tiers = sorted({*tiers[:-1], max(tiers[-2], tiers[-1] - 2)})
+        heads, n_heads = _heads(labels, tiers)
     begins = begins.withColumn("_head", F.explode(F.array(*[F.substring("_of", F.col("_at"), F.lit(t)) for t in tiers])))
-    tier = F.greatest(*[F.when(F.col("length") >= t, t) for t in tiers], F.lit(least))
-    heads = labels.groupBy(F.left("label", tier).alias("_head")).agg(F.collect_set("length").alias("_lengths"))
-    starts = begins.join(F.broadcast(heads) if heads.count() <= BROADCAST else heads, "_head").select(*keys, F.col("_of"), "_at", F.explode("_lengths").alias("_length"))
+    starts = begins.join(F.broadcast(heads) if n_heads <= BROADCAST else heads.hint("merge"), "_head").select(*keys, F.col("_of"), "_at", F.explode("_lengths").alias("_length"))
     stretches = starts.select(*keys, F.substring("_of", F.col("_at"), F.col("_length")).alias("label"), "_length").where(F.length("label") == F.col("_length")).drop("_length")
-    named = F.broadcast(labels) if size["n"] <= BROADCAST else labels
-    if size["n"] > BROADCAST:
-        if size["n"] <= HASHES:
-            stretches = stretches.withColumn("_hash", F.xxhash64("label")).join(F.broadcast(labels.select(F.xxhash64("label").alias("_hash")).distinct()), "_hash", "left_semi").drop("_hash")
-        stretches = stretches.distinct()
+    few = size["n"] <= BROADCAST
+    named = F.broadcast(labels) if few else labels.hint("merge")
+    stretches = stretches if few else _perhaps(stretches, labels, size["n"]).distinct()
     best = F.max(F.struct("level", "length", (-F.col("place")).alias("place"), "code", "path"))
     return stretches.join(named, "label").groupBy(*keys).agg(best.alias("_x")).select(*keys, "_x.code", "_x.path")
 
