@@ -147,6 +147,23 @@ def test_containing_meets_by_long_terms(spark, monkeypatch):
     assert {r.row_id for r in kept["pieces"].collect()} == {50} and kept["pieces"].count() <= 3
 
 
+def test_recall_by_region_reads_texts_in_pieces(spark, monkeypatch):
+    """A text of n characters makes at most n / 16 pieces for cases with long terms, however many rows have their short ones."""
+    kept = {}
+    monkeypatch.setattr(metrics, "saved", lambda df, tag: kept.setdefault(tag, df.localCheckpoint()))
+    long = "whateverynoticeofaregionsaysofitsgrid"
+    shape = "case_id int, region string, title_terms array<string>, availability string, project_id int, source_url string, source_artifact string"
+    cases = spark.createDataFrame([(1, "r", ["x", long], "PUBLIC", None, None, None), (2, "r", [long, "absent"], "PUBLIC", None, None, None), (3, "s", ["x"], "UNAVAILABLE", 7, None, None)], shape)
+    rows = spark.createDataFrame([(k, None, "y" * 64) for k in range(40)] + [(40, None, "x" + long * 4)], "project_id int, source_url string, text string")
+    artifacts = spark.createDataFrame([], "name string, text string")
+    got = metrics.recall_by_region(metrics.recall_cases(cases.where("case_id < 3"), rows, artifacts)).collect()
+    assert [(r.region, r.total, r.matched, r.observable, r.observable_recall) for r in got] == [("r", 2, 1, 2, 0.5)]
+    assert 0 < kept["pieces"].count() <= len(long) * 4 // 16 + 1
+    kept.clear()
+    got = metrics.recall_by_region(metrics.recall_cases(cases, rows, artifacts)).collect()
+    assert sorted((r.region, r.total, r.matched, r.observable) for r in got) == [("r", 2, 1, 2), ("s", 1, 1, 0)]
+
+
 @pytest.mark.parametrize("n", [1, 3, 5, 9])
 def test_review_sample(spark, n):
     tags = {1: ["UNKNOWN"], 2: ["OPEN", "PDF"], 3: ["OPEN"], 4: ["PDF", "CHANGE"], 5: [], 6: ["CHANGE"], 7: ["SECONDARY_SOURCE"]}
