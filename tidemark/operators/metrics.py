@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.functions import pieces
 from tidemark.functions.rules import first_match, yes
 from tidemark.functions.text import normalize_identity
 from tidemark.sources.store import saved
@@ -131,8 +136,8 @@ def recall_cases(cases: DataFrame, rows: DataFrame, artifacts: DataFrame) -> Dat
     by_id = cases.select("case_id", "project_id").where("project_id is not null").join(rows.select("project_id"), "project_id").select("case_id", "project_id")
     by_url = cases.select("case_id", F.col("source_url").alias("u")).where("u is not null").join(rows.select("project_id", F.col("source_url").alias("u")), "u").select("case_id", "project_id")
     termed = cases.select("case_id", F.transform("title_terms", normalize_identity).alias("terms")).where(F.size("terms") > 0)
-    plain = rows.select("project_id", normalize_identity(F.col("text")).alias("text"))
-    hits = by_id.unionByName(by_url).unionByName(containing(termed, plain, "case_id", "terms", "project_id", "text"))
+    plain = rows.select("project_id", F.col("text").alias("raw"), normalize_identity(F.col("text")).alias("text"))
+    hits = by_id.unionByName(by_url).unionByName(least_containing(termed, plain, "case_id", "terms", "project_id", "text", "raw"))
     first = hits.groupBy("case_id").agg(F.min("project_id").alias("matched_project_id"))
     read = artifacts.select(F.col("name").alias("source_artifact"), normalize_identity(F.col("text")).alias("artifact_text"))
     j = cases.join(first, "case_id", "left").join(read, "source_artifact", "left")
@@ -143,44 +148,100 @@ def recall_cases(cases: DataFrame, rows: DataFrame, artifacts: DataFrame) -> Dat
     return j.select("case_id", "region", "availability", status.alias("status"), by.alias("matched_by"), "matched_project_id", (~absent).alias("observable"))
 
 
-#: Characters by which cases and texts meet, at most; stretches of cases (and ids of rows that met) that are broadcast, and their hashes beyond that.
+#: Characters by which cases and texts meet, at most (a power of two); stretches of cases (and ids of rows that met) that are broadcast, and hashes of pieces.
 GRAM, BROADCAST, HASHES = 16, 200_000, 2_000_000
 
 
-def containing(cases: DataFrame, rows: DataFrame, case_id: str, terms: str, row_id: str, text: str, gram: int = GRAM) -> DataFrame:
+def least_containing(cases: DataFrame, rows: DataFrame, case_id: str, terms: str, row_id: str, text: str, raw: str | None = None) -> DataFrame:
+    """(case_id, row_id) of the least row that holds all terms of a case. Cases of equal terms are looked for once, so their rows aren't paired with each of them."""
+    listed = cases.select(case_id, terms, F.sha2(F.to_json(terms), 256).alias("_list"))
+    hits = containing(listed.select("_list", terms).distinct(), rows, "_list", terms, row_id, text, raw=raw)
+    return listed.select(case_id, "_list").join(hits.groupBy("_list").agg(F.min(row_id).alias(row_id)), "_list").select(case_id, row_id)
+
+
+def containing(cases: DataFrame, rows: DataFrame, case_id: str, terms: str, row_id: str, text: str, gram: int = GRAM, raw: str | None = None) -> DataFrame:
     """(case_id, row_id) of each row whose text holds all terms of a case, of any number of cases.
 
-    A text is cut to pieces of a size, one after another. A term of at least twice that size less one character holds one of them whole wherever it stands, and it is one of the ``size``
-    stretches at the beginnings of the term's first characters (and of those at its end). Each case takes part with the terms that allow the largest size, a power of two up to ``gram``; of these
-    ends the one that the fewest rows hold stands for it. Pieces are held against the stretches of the cases, which are broadcast up to a count, before anything is shuffled; whole
-    terms are looked for in what has met, and only rows that have met are read again.
+    ``raw``: a column of ``rows`` of which ``text`` is made by lower-casing and by dropping spaces and signs; it is read in place of ``text`` until rows have met.
+
+    Texts are folded and cut to pieces of a size, one after another (functions/pieces.py). A folded term of at least twice that size less one character holds one of them whole wherever it
+    stands, and it is one of the ``size`` stretches at the beginnings of the term's first characters (and of those at its end). Each case takes part with the terms that allow the largest size,
+    a power of two up to ``gram``; of these ends the one that the fewest rows hold stands for it. Hashes of pieces are held against those of the cases, which tasks have up to a count, before
+    anything is shuffled; whole terms are looked for in what has met, and only rows that have met are read again. Cases of which folding leaves nothing meet texts by ``_met_unfolded``.
     """
+    kept = [cases.schema[case_id], cases.schema[terms]]
+    shape = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), T.StructField("_n", T.IntegerType()), T.StructField("_end", T.IntegerType()), T.StructField("g", T.LongType())])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces.fold_table()
+        for b in batches:
+            made = []
+            for k, listed in enumerate(b.column(1).to_pylist()):
+                n, found = pieces.ends_of([t for t in listed if t], gram, table)
+                made += [(k, n, e, g) for e, of in enumerate(found) for g in of.tolist()] or [(k, 0, None, None)]
+            k, n, e, g = zip(*made, strict=True) if made else ((), (), (), ())
+            at = pa.array(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(n, pa.int32()), pa.array(e, pa.int32()), pa.array(g, pa.int64())], [case_id, terms, "_n", "_end", "g"])
+
+    some = cases.where(F.size(F.filter(terms, lambda t: t != "")) > 0).select(case_id, terms)
+    every = saved(some.mapInArrow(ends, shape), "ends")
+    sizes = sorted(r[0] for r in every.select("_n").distinct().collect())  # powers of two up to ``gram``, and 0
+    if not sizes:
+        return cases.join(rows, F.lit(False)).select(case_id, row_id)
+    met = [_met_folded(every.where("_n > 0"), rows, case_id, terms, row_id, raw or text, [n for n in sizes if n])] if sizes != [0] else []
+    if sizes[0] == 0:
+        met.append(_met_unfolded(every.where("_n = 0").select(case_id, terms), rows, case_id, terms, row_id, text, gram))
+    hits = []
+    for m in met:
+        ids = m.select(row_id).distinct()
+        texts = rows.select(row_id, text).join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, row_id, "left_semi")
+        hits.append(m.join(texts, row_id).where(F.forall(terms, lambda t: F.contains(F.col(text), t))).select(case_id, row_id))
+    return reduce(DataFrame.unionByName, hits)
+
+
+def _met_folded(wanted: DataFrame, rows: DataFrame, case_id: str, terms: str, row_id: str, text: str, sizes: list[int]) -> DataFrame:
+    """(case_id, terms, row_id) where the folded text has a piece of the case's rarest end. ``wanted``: case_id, terms, _end, g (hash of a piece)."""
+    distinct = wanted.select("g").distinct()
+    few = distinct.count() <= HASHES
+    known = wanted.sparkSession.sparkContext.broadcast(np.sort(distinct.toArrow().column("g").to_numpy().view(np.uint64))) if few else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, among = pieces.fold_table(), None if known is None else pieces.Known(known.value)
+        for b in batches:
+            for row, g in pieces.pieces_of(b.column(1), sizes, among, table):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(g)], [row_id, "g"])
+
+    made = rows.select(row_id, text).mapInArrow(cut, T.StructType([T.StructField(row_id, rows.schema[row_id].dataType), T.StructField("g", T.LongType())]))
+    known_rows = saved((made if few else made.join(distinct, "g", "left_semi").select(row_id, "g")).distinct(), "pieces")
+    return saved(_by_rarest(wanted, known_rows, case_id, terms, row_id), "met")
+
+
+def _by_rarest(wanted: DataFrame, known: DataFrame, case_id: str, terms: str, row_id: str) -> DataFrame:
+    """Cases meet the rows that have a piece of that of their ends which the fewest rows have."""
+    often = known.groupBy("g").agg(F.count("*").alias("n_rows"))
+    # an end that no row has rules its case out
+    held = wanted.join(often, "g", "left").groupBy(case_id, terms, "_end").agg(F.sum(F.coalesce("n_rows", F.lit(0))).alias("n"))
+    rarest = held.groupBy(case_id, terms).agg(F.min(F.struct("n", "_end")).alias("r")).select(case_id, terms, F.col("r._end").alias("_end"))
+    return wanted.join(rarest, [case_id, terms, "_end"]).select(case_id, terms, "g").join(known, "g").select(case_id, terms, row_id).distinct()
+
+
+def _met_unfolded(cases: DataFrame, rows: DataFrame, case_id: str, terms: str, row_id: str, text: str, gram: int) -> DataFrame:
+    """(case_id, terms, row_id) by pieces of the texts as they are: the same as ``_met_folded`` in Spark's expressions, for terms of letters beyond those that folding keeps."""
     some = F.filter(terms, lambda t: t != "")
     powers = [2**k for k in range(gram.bit_length()) if 2**k <= gram]
     size = lambda t: F.greatest(*[F.when(F.length(t) >= 2 * n - 1, n) for n in powers], F.lit(1))
-    sized = cases.where(F.size(some) > 0).select(F.col(case_id), F.col(terms), some.alias("_some"), F.array_max(F.transform(some, size)).alias("_n"))
+    sized = cases.select(case_id, terms, some.alias("_some"), F.array_max(F.transform(some, size)).alias("_n"))
     ends = F.array_distinct(F.flatten(F.transform(F.filter("_some", lambda t: size(t) == F.col("_n")), lambda t: F.array(F.left(t, 2 * F.col("_n") - 1), F.right(t, 2 * F.col("_n") - 1)))))
     cut = sized.select(case_id, terms, "_n", F.explode(ends).alias("_end"))
     wanted = cut.select(case_id, terms, "_end", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.substring(F.col("_end"), i, F.col("_n"))))).alias("g"))
     sizes = sorted(r[0] for r in sized.select("_n").distinct().collect())  # powers of two up to ``gram``
-    if not sizes:
-        return cases.join(rows, F.lit(False)).select(case_id, row_id)
     distinct = wanted.select("g").distinct()
     n = distinct.count()
     made = rows.select(row_id, F.explode(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s).{{{k}}}"), F.lit(0)) for k in sizes])).alias("g"))
     if BROADCAST < n <= HASHES:
         made = made.withColumn("_h", F.xxhash64("g")).join(F.broadcast(distinct.select(F.xxhash64("g").alias("_h")).distinct()), "_h", "left_semi").drop("_h")
-    known = saved(made.join(F.broadcast(distinct) if n <= BROADCAST else distinct, "g", "left_semi").select(row_id, "g").distinct(), "pieces")
-    often = known.groupBy("g").agg(F.count("*").alias("n_rows"))
-    # an end that no row has rules its case out
-    held = wanted.join(often, "g", "left").groupBy(case_id, terms, "_end").agg(F.sum(F.coalesce("n_rows", F.lit(0))).alias("n"))
-    rarest = held.groupBy(case_id, terms).agg(F.min(F.struct("n", "_end")).alias("r")).select(case_id, terms, F.col("r._end").alias("_end"))
-    met = saved(wanted.join(rarest, [case_id, terms, "_end"]).select(case_id, terms, "g").join(known, "g").select(case_id, terms, row_id).distinct(), "met")
-    ids = met.select(row_id).distinct()
-    texts = rows.select(row_id, text)
-    if ids.count() <= BROADCAST:
-        texts = texts.join(F.broadcast(ids), row_id, "left_semi")
-    return met.join(texts, row_id).where(F.forall(terms, lambda t: F.contains(F.col(text), t))).select(case_id, row_id)
+    known = saved(made.join(F.broadcast(distinct) if n <= BROADCAST else distinct, "g", "left_semi").select(row_id, "g").distinct(), "unfolded-pieces")
+    return saved(_by_rarest(wanted, known, case_id, terms, row_id), "unfolded-met")
 
 
 def recall_by_region(cases: DataFrame) -> DataFrame:

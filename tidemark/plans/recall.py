@@ -217,7 +217,7 @@ def recall_by_region(spark: SparkSession, sf: str) -> DataFrame:
 def recall_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     """The first document that holds each case whole."""
     cases = load(spark, sf, "benchmark").select("item_id", F.array("text").alias("terms"))
-    hits = metrics.containing(cases, load(spark, sf, "documents").select("doc_id", "text"), "item_id", "terms", "doc_id", "text")
+    hits = metrics.least_containing(cases, load(spark, sf, "documents").select("doc_id", "text"), "item_id", "terms", "doc_id", "text")
     return cases.select("item_id").join(hits.groupBy("item_id").agg(F.min("doc_id").alias("doc_id")), "item_id", "left")
 
 
