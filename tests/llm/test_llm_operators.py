@@ -69,6 +69,25 @@ def test_token_store_round_trip(spark, docs, empty):
     assert token_store.checksums(token_store.read_tokens(spark, none)).count() == 0
 
 
+def test_token_store_spares_offsets():
+    """New words go through the library's way without offsets, many in one call."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    e, t = token_store.WordEncoder(path, 1), Tokenizer.from_file(path)
+    calls, fast = [], e.bare.encode_batch_fast
+    e.bare = SimpleNamespace(encode_batch_fast=lambda texts, **k: (calls.append(len(texts[0].split())), fast(texts, **k))[1])
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcéñß'9.,!光") for _ in range(rng.randint(1, 9))) for _ in range(rng.choice([0, 1, 700]))) for _ in range(12)] + [None, "don't <|endoftext|> \u00a0x\u0301 \x00 y\u2028z"]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    ids, sizes = e.encode(pa.array(texts, pa.string()))
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    assert calls and max(calls) > 500
+
+
 def test_token_store_remembers_little(monkeypatch):
     import pyarrow as pa
     from tokenizers import Tokenizer
